@@ -7,6 +7,8 @@ about real code. Only the columns a query asks for are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stratalens.operators.parts import with_file_seq
@@ -152,16 +154,20 @@ def with_has_source(files: DataFrame, spark: SparkSession, sf_dir: str) -> DataF
     )
 
 
-_STAGED: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived input as a stored table, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = staged(make(), name)
+    return _STORED[key]
 
 
 def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The file metrics as a stored table, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STAGED:
-        files = with_has_source(order_files(spark, sf_dir, seq=True), spark, sf_dir)
-        _STAGED[key] = staged(files, "files")
-    return _STAGED[key]
+    return stored(spark, sf_dir, "files", lambda: with_has_source(
+        order_files(spark, sf_dir, seq=True), spark, sf_dir))
 
 
 def source_texts(files: DataFrame, sf_dir: str) -> DataFrame:
