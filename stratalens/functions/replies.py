@@ -6,7 +6,9 @@ else gives null, and the caller falls back to the model's own result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F, types as T
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stratalens.functions.layers import WHITESPACE
 from stratalens.schema import ASSESSMENT_REPLY
@@ -41,19 +43,34 @@ def _is_object(text: Column) -> Column:
     return F.coalesce(alone & (F.size(F.json_object_keys(text)) > 0), F.lit(False))
 
 
-def object_text(cleaned: Column) -> Column:
-    """The JSON object in a cleaned reply: the whole text, else the span from
-    the first to the last brace, else null."""
-    span = F.regexp_extract(cleaned, "(?s)\\{.*\\}", 0)
-    return F.when(_is_object(cleaned), cleaned).when(_is_object(span), span)
+def with_object(df: DataFrame, clean: Callable[[Column], Column] = without_outer_fence) -> DataFrame:
+    """Add ``obj``, the JSON object in ``reply``: the cleaned text itself,
+    else the span from its first to its last brace, else null.
+
+    Generating the single value keeps later filters above this step. Pushed
+    below it, each mention of ``obj`` would read the reply text again.
+    """
+    text, span = F.col("_text"), F.col("_span")
+    obj = F.when(_is_object(text), text).when(_is_object(span), span)
+    return (
+        df.withColumn("_text", clean(F.col("reply")))
+        .withColumn("_span", F.regexp_extract(text, "(?s)\\{.*\\}", 0))
+        .select(*df.columns, F.explode_outer(F.array(obj)).alias("obj"))
+    )
 
 
-def reply_object(text: Column) -> Column:
-    return object_text(without_outer_fence(text))
+def with_assessment(df: DataFrame) -> DataFrame:
+    """Add ``assessment``, the fields of a project assessment; one without
+    ``overall_score`` counts as unread."""
+    read = with_object(df, without_fence_lines)
+    has_overall = F.array_contains(F.json_object_keys("obj"), "overall_score")
+    return read.withColumn(
+        "assessment", F.when(has_overall, F.from_json("obj", ASSESSMENT_REPLY))
+    ).drop("obj")
 
 
 def parse_reply(obj: Column, schema: T.StructType) -> Column:
-    """Fields of a reply object (see ``reply_object``); null where unread."""
+    """Fields of a reply object; null where unread."""
     return F.when(obj.isNotNull(), F.from_json(obj, schema))
 
 
@@ -72,10 +89,3 @@ def truthy(obj: Column, field: str, absent: bool) -> Column:
         .when(F.startswith(kind, F.lit("OBJECT")), F.size(F.json_object_keys(text)) > 0)
         .otherwise(text.try_cast("double") != 0)
     )
-
-
-def parse_assessment(text: Column) -> Column:
-    """A project assessment; one without ``overall_score`` counts as unread."""
-    obj = object_text(without_fence_lines(text))
-    has_overall = F.array_contains(F.json_object_keys(obj), "overall_score")
-    return F.when(has_overall, F.from_json(obj, ASSESSMENT_REPLY))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stratalens.functions.numeric import clip, round_exact
-from stratalens.functions.replies import parse_assessment
+from stratalens.functions.replies import with_assessment
 from stratalens.operators.parts import spread
 from stratalens.operators.review import one_reply
 from stratalens.schema import KEY
@@ -29,9 +29,7 @@ def penalty(severity: Column) -> Column:
 
 def read_assessments(replies: DataFrame) -> DataFrame:
     """Readable assessments, one per (project, part)."""
-    parsed = one_reply(replies, "project_id", "part").withColumn(
-        "assessment", parse_assessment(F.col("reply"))
-    )
+    parsed = with_assessment(one_reply(replies, "project_id", "part"))
     return parsed.filter(F.col("assessment").isNotNull()).select(
         "project_id", "part", "assessment.*"
     )

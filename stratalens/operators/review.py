@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stratalens.functions.numeric import exact_decimal
-from stratalens.functions.replies import parse_reply, reply_object, truthy
+from stratalens.functions.replies import parse_reply, truthy, with_object
 from stratalens.functions.text import or_else
 from stratalens.operators.parts import spread, with_part
 from stratalens.operators.violations import (
@@ -59,11 +59,12 @@ def with_project_state(groups: DataFrame) -> DataFrame:
 
 
 def read_verdicts(replies: DataFrame) -> DataFrame:
-    read = one_reply(replies, *PART_GROUP).withColumn("_obj", reply_object(F.col("reply")))
-    fields = read.withColumn("_reply", parse_reply(F.col("_obj"), VERDICT_REPLY))
-    return fields.filter(F.col("_obj").isNotNull()).select(
+    """Fields of the readable verdicts."""
+    read = with_object(one_reply(replies, *PART_GROUP)).filter(F.col("obj").isNotNull())
+    fields = read.withColumn("_reply", parse_reply(F.col("obj"), VERDICT_REPLY))
+    return fields.select(
         *PART_GROUP,
-        truthy(F.col("_obj"), "is_valid", absent=True).alias("is_valid"),
+        truthy(F.col("obj"), "is_valid", absent=True).alias("is_valid"),
         *[F.col("_reply")[c].alias(c) for c in (*TEXTS, "severity")],
         F.lit(True).alias("_read"),
     )
@@ -127,14 +128,12 @@ def clean_candidates(status: DataFrame, below: float = RECHECK_BELOW) -> DataFra
 
 def discoveries(candidates: DataFrame, replies: DataFrame) -> DataFrame:
     """Findings reported for rechecked files: one row per finding."""
-    read = (
-        candidates.select(*KEY, "part", "file_name", "layer")
-        .join(one_reply(replies, *KEY), KEY)
-        .withColumn("_obj", reply_object(F.col("reply")))
+    read = with_object(
+        candidates.select(*KEY, "part", "file_name", "layer").join(one_reply(replies, *KEY), KEY)
     )
     found = (
-        read.filter(F.col("_obj").isNotNull() & truthy(F.col("_obj"), "has_issues", absent=False))
-        .withColumn("_reply", parse_reply(F.col("_obj"), CLEAN_CHECK_REPLY))
+        read.filter(F.col("obj").isNotNull() & truthy(F.col("obj"), "has_issues", absent=False))
+        .withColumn("_reply", parse_reply(F.col("obj"), CLEAN_CHECK_REPLY))
         .select(*KEY, "part", "file_name", "layer", F.posexplode("_reply.anti_patterns"))
     )
     finding = F.col("col")

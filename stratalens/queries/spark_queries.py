@@ -16,7 +16,7 @@ from stratalens.functions.features import (
 )
 from stratalens.functions.issues import derive_issues
 from stratalens.functions.layers import report_layer, resolve_layer, resolved_layer
-from stratalens.functions.replies import parse_assessment, parse_reply, reply_object, truthy
+from stratalens.functions.replies import parse_reply, truthy, with_assessment, with_object
 from stratalens.functions.scores import rule_score
 from stratalens.functions.text import truncate_lines
 from stratalens.operators import evaluate, fixes, hybrid, models, requests, review, rollups
@@ -163,7 +163,7 @@ def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replies = fx.verdict_replies(spark, sf_dir).withColumn("obj", reply_object(F.col("reply")))
+    replies = with_object(fx.verdict_replies(spark, sf_dir))
     return replies.select(
         *v.PART_GROUP, F.col("obj").isNotNull().alias("was_read"),
         F.when(F.col("obj").isNotNull(), truthy(F.col("obj"), "is_valid", True)).alias("is_valid"),
@@ -172,8 +172,7 @@ def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replies = fx.assessment_replies(spark, sf_dir)
-    a = replies.withColumn("a", parse_assessment(F.col("reply")))
+    a = with_assessment(fx.assessment_replies(spark, sf_dir)).withColumnRenamed("assessment", "a")
     return a.select(
         "project_id", "part", F.col("a").isNotNull().alias("was_read"),
         "a.overall_score", "a.reasoning",
