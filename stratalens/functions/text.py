@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
-# Line breaks, and the marker left where lines were cut.
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029]"
+# Characters that end a line (besides the pair CR LF), and the
+# marker left where lines were cut.
+LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029"
 CUT_MARKER = "\n// ... ({n} more lines truncated)"
 
 
+def _with_plain_breaks(code: Column) -> Column:
+    """Every line end as LF. Looking for the rare ones is much cheaper than
+    mapping each character, so texts without any pass through."""
+    rare = LINE_ENDS.replace("\n", "")
+    has_rare = reduce(lambda a, b: a | b, [F.contains(code, F.lit(c)) for c in rare])
+    paired = F.replace(code, F.lit("\r\n"), F.lit("\n"))
+    return F.when(has_rare, F.translate(paired, rare, "\n" * len(rare))).otherwise(code)
+
+
 def truncate_lines(code: Column, max_lines: int = 300) -> Column:
-    """Keep the first ``max_lines`` lines and say how many were left out."""
-    pieces = F.split(code, LINE_BREAK, -1)
+    """Keep the first ``max_lines`` lines and say how many were left out.
+    Plain string functions throughout: the text is never split into an array."""
+    text = _with_plain_breaks(code)
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     # A break at the very end closes the last line, it does not open another.
-    closed = F.element_at(pieces, -1) == ""
-    count = F.size(pieces) - F.when(closed, 1).otherwise(0)
+    count = breaks + F.when(F.endswith(text, F.lit("\n")), 0).otherwise(1)
     before, after = CUT_MARKER.split("{n}")
-    head = F.array_join(F.slice(pieces, 1, max_lines), "\n")
     return F.when(count <= max_lines, code).otherwise(
-        F.concat(head, F.lit(before), (count - max_lines).cast("string"), F.lit(after))
+        F.concat(
+            F.substring_index(text, "\n", max_lines), F.lit(before),
+            (count - max_lines).cast("string"), F.lit(after),
+        )
     )
 
 

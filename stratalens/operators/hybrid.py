@@ -46,15 +46,13 @@ def reply_scores(assessments: DataFrame) -> DataFrame:
     )
 
 
-def file_findings(
-    status: DataFrame, found: DataFrame | None, details: DataFrame,
-) -> DataFrame:
+def file_findings(found: DataFrame, details: DataFrame) -> DataFrame:
     """Penalties and findings added to files by discoveries."""
     severities = spread(details.select("project_id", "type", "severity", "last_seq"), "last_seq")
     rows = found.select(*KEY, "part", "type").join(
         severities.drop("last_seq"), ["project_id", "type", "part"]
     )
-    return rows.groupBy(*KEY).agg(
+    return rows.groupBy(*KEY, "part").agg(
         F.sum(penalty(F.col("severity"))).alias("found_penalty"),
         F.sort_array(F.collect_set(F.struct("type", "severity"))).alias("found"),
     )
@@ -76,8 +74,8 @@ def with_findings(
     listed_clean = (F.col("type") == "clean") | F.col("cleared")
     if found is None:
         return base.withColumn("in_clean_list", listed_clean)
-    extra = file_findings(status, found, details)
-    joined = base.join(extra, KEY, "left")
+    extra = file_findings(found, details)
+    joined = base.join(extra, [*KEY, "part"], "left")
     return joined.withColumns({
         "in_clean_list": listed_clean & F.col("found").isNull(),
         "penalty": F.col("penalty") + F.coalesce("found_penalty", F.lit(0)),

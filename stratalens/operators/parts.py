@@ -12,22 +12,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PART_FILES = 1000
+PLACE = ["project_id", "part"]
 _SPAN = 4096
 
 
-def part_of(file_seq: Column, size: int = PART_FILES) -> Column:
-    return F.floor(file_seq / F.lit(size)).cast("bigint")
+def part_of(file_seq: Column) -> Column:
+    return F.floor(file_seq / F.lit(PART_FILES)).cast("bigint")
 
 
-def with_part(df: DataFrame, size: int = PART_FILES) -> DataFrame:
-    return df.withColumn("part", part_of(F.col("file_seq"), size))
+def with_part(df: DataFrame) -> DataFrame:
+    return df.withColumn("part", part_of(F.col("file_seq")))
 
 
-def spread(per_project: DataFrame, last_seq: str, size: int = PART_FILES) -> DataFrame:
+def co_located(df: DataFrame) -> DataFrame:
+    """Place file rows by (project, part) once, for the several joins that
+    follow on those two keys and others. Only where the session lets a join
+    use a partitioning by some of its keys; else each join places its own."""
+    needs_all = df.sparkSession.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    return df if needs_all == "true" else df.repartition(*PLACE)
+
+
+def spread(per_project: DataFrame, last_seq: str) -> DataFrame:
     """One copy of a project-level row for each part of the project, for
     joining onto file-level rows by ``(project_id, part)``. Two explodes, so
     that no array is longer than the number of 4096-part spans."""
-    last_part = part_of(F.col(last_seq), size)
+    last_part = part_of(F.col(last_seq))
     spans = per_project.withColumn("_last", last_part).withColumn(
         "_span", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_last") / _SPAN)))
     )

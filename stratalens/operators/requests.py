@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stratalens.functions.numeric import mean_of_tenths, tenths, whole_text
 from stratalens.functions.text import or_else, truncate_lines
 from stratalens.operators.hybrid import PENALTIES
-from stratalens.operators.parts import spread, with_part
+from stratalens.operators.parts import PLACE, spread, with_part
 from stratalens.operators.review import false_positives
-from stratalens.operators.violations import PART_GROUP, mean_confidence
+from stratalens.operators.violations import (
+    PART_GROUP, first_architecture, mean_confidence, per_architecture, project_architectures,
+)
 from stratalens.schema import CLEAN, KEY
 from stratalens.sources.catalog import with_catalog
 
@@ -54,11 +56,14 @@ def _labelled(label: str, value: Column) -> Column:
     return F.concat(F.lit(f"{label}: "), value.cast("string"))
 
 
-def source_section(max_lines: int) -> Column:
-    return F.concat(
+def source_sections(sources: DataFrame, max_lines: int) -> DataFrame:
+    """Shown part of each text under its file name. Cutting comes before any
+    join or grouping, so only what is shown is shuffled."""
+    section = F.concat(
         F.lit("=== "), F.col("file_name"), F.lit(" ===\n"),
         truncate_lines(F.col("source_code"), max_lines),
     )
+    return sources.select(*KEY, section.alias("section"))
 
 
 def joined_sections(section: Column, *order: str, separator: str = "\n\n") -> Column:
@@ -73,15 +78,16 @@ def validation_requests(
 ) -> DataFrame:
     """One request per reviewed (project, type, part): what was predicted and
     the source of every affected file of the part."""
-    asked = verdict_groups.filter("asked").select(
-        *PART_GROUP, "project_architecture", "catalog_display_name", "catalog_severity",
+    architectures = spread(project_architectures(scored), "last_seq").drop("last_seq")
+    asked = verdict_groups.filter("asked").join(architectures, PLACE).select(
+        *PART_GROUP, "architecture_pattern", "catalog_display_name", "catalog_severity",
         "catalog_description", "layers",
         mean_confidence(F.col("confidence_total"), F.col("n_files")).alias("confidence"),
     )
     members = with_part(scored.filter(F.col("type") != CLEAN)).select(*KEY, "type", "part")
-    texts = members.join(sources.select(*KEY, "file_name", "source_code"), KEY)
+    texts = members.join(source_sections(sources, max_lines), KEY)
     blocks = texts.groupBy(*PART_GROUP).agg(
-        joined_sections(source_section(max_lines), "file_seq").alias("_sources"),
+        joined_sections(F.col("section"), "file_seq").alias("_sources"),
         F.count(F.lit(1)).alias("n_files"),
     )
     layer = F.array_join("layers", ", ")
@@ -89,7 +95,7 @@ def validation_requests(
         "Review a predicted anti-pattern against the source.",
         _labelled("Predicted", F.col("catalog_display_name")),
         _labelled("Type", F.col("type")),
-        _labelled("Architecture", F.col("project_architecture")),
+        _labelled("Architecture", F.col("architecture_pattern")),
         _labelled("Layer", layer),
         _labelled("Confidence", F.concat(whole_text(F.col("confidence") * 100), F.lit("%"))),
         _labelled("Severity", F.col("catalog_severity")),
@@ -102,8 +108,7 @@ def validation_requests(
         VERDICT_FORMAT,
     )
     return asked.join(blocks, PART_GROUP).select(
-        *PART_GROUP, F.col("project_architecture").alias("architecture_pattern"),
-        layer.alias("affected_layer"), "confidence",
+        *PART_GROUP, "architecture_pattern", layer.alias("affected_layer"), "confidence",
         F.col("catalog_severity").alias("severity"), "n_files", prompt.alias("prompt"),
     )
 
@@ -112,16 +117,17 @@ def clean_check_requests(
     candidates: DataFrame, sources: DataFrame, max_lines: int = MAX_SOURCE_LINES,
 ) -> DataFrame:
     """One request per low-confidence clean file."""
-    texts = candidates.select(*KEY, "architecture_pattern", "layer").join(
-        sources.select(*KEY, "file_name", "source_code"), KEY
+    shown = sources.select(
+        *KEY, "file_name", truncate_lines(F.col("source_code"), max_lines).alias("_shown")
     )
+    texts = candidates.select(*KEY, "architecture_pattern", "layer").join(shown, KEY)
     prompt = _lines(
         "This file was predicted free of anti-patterns, with little confidence.",
         _labelled("File", F.col("file_name")),
         _labelled("Architecture", F.col("architecture_pattern")),
         _labelled("Layer", F.col("layer")),
         "",
-        truncate_lines(F.col("source_code"), max_lines),
+        F.col("_shown"),
         "",
         F.concat(F.lit("Look for: "), F.lit(SHORT_NAMES)),
         CLEAN_CHECK_FORMAT,
@@ -131,24 +137,25 @@ def clean_check_requests(
 
 def model_overall(scored: DataFrame) -> DataFrame:
     """Mean model score per project over distinct file names, of which the
-    last file counts."""
-    by_name = scored.groupBy("project_id", "file_name").agg(
-        F.max(F.struct("file_seq", "quality_score"))["quality_score"].alias("score")
-    )
+    last file counts. Position and score travel as one number: the score has
+    at most 1000 tenths."""
+    packed = F.col("file_seq") * 1024 + tenths(F.col("quality_score"))
+    by_name = scored.groupBy("project_id", "file_name").agg(F.max(packed).alias("_last"))
     return by_name.groupBy("project_id").agg(
-        mean_of_tenths(F.sum(tenths(F.col("score"))), F.count(F.lit(1))).alias("model_overall")
+        mean_of_tenths(F.sum(F.col("_last") % 1024), F.count(F.lit(1))).alias("model_overall")
     )
 
 
 def project_counts(files: DataFrame, details: DataFrame, verdict_groups: DataFrame) -> DataFrame:
     """Figures in the head of an assessment request, per project."""
-    sizes = files.groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("n_files"),
-        F.count_if("in_clean_list").alias("n_clean"),
-        F.max("file_seq").alias("last_seq"),
-        F.max("any_source").alias("any_source"),
-        F.min(F.struct("file_seq", "architecture_pattern"))["architecture_pattern"]
-        .alias("architecture_pattern"),
+    sizes = per_architecture(
+        files,
+        F.count(F.lit(1)).alias("n"), F.count_if("in_clean_list").alias("clean"),
+        F.max("any_source").alias("any"),
+    ).groupBy("project_id").agg(
+        F.sum("n").alias("n_files"), F.sum("clean").alias("n_clean"),
+        F.max("last_seq").alias("last_seq"), F.max("any").alias("any_source"),
+        first_architecture(),
     )
     findings = details.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_violations"))
     rejected = false_positives(verdict_groups).groupBy("project_id").agg(
@@ -212,9 +219,8 @@ def assessment_requests(
         GUIDE,
         ASSESSMENT_FORMAT,
     )
-    keys = ["project_id", "part"]
-    return head.join(file_lines, keys).join(finding_lines, keys, "left").select(
-        *keys, "architecture_pattern", "n_files", "n_violations", "n_clean", "n_rejected",
+    return head.join(file_lines, PLACE).join(finding_lines, PLACE, "left").select(
+        *PLACE, "architecture_pattern", "n_files", "n_violations", "n_clean", "n_rejected",
         "model_overall", prompt.alias("prompt"),
     )
 
@@ -235,15 +241,14 @@ def fix_requests(
     per project, ``members`` come from ``final_members``."""
     top = first_members(members)
     if sources is None:
-        with_code = top.withColumn("source_code", F.lit(None).cast("string"))
+        with_code = top.withColumn("section", F.lit(None).cast("string"))
     else:
-        with_code = top.join(sources.select(*KEY, "source_code"), KEY, "left")
+        with_code = top.join(source_sections(sources, max_lines), KEY, "left")
     name = F.concat(F.lit("  - "), F.col("file_name"))
-    section = F.when(F.col("source_code").isNotNull(), source_section(max_lines))
     shown = with_code.groupBy("project_id", "type").agg(
         joined_sections(name, "rank", separator="\n").alias("_names"),
-        joined_sections(section, "rank").alias("_sources"),
-        F.count("source_code").alias("n_sources"),
+        joined_sections(F.col("section"), "rank").alias("_sources"),
+        F.count("section").alias("n_sources"),
         F.count(F.lit(1)).alias("n_shown"),
     )
     rows = with_catalog(details.filter(F.col("type") != CLEAN)).join(

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from stratalens.functions.numeric import exact_decimal
 from stratalens.functions.replies import parse_reply, truthy, with_object
 from stratalens.functions.text import or_else
-from stratalens.operators.parts import spread, with_part
+from stratalens.operators.parts import PLACE, co_located, spread, with_part
 from stratalens.operators.violations import (
     GROUP, PART_GROUP, detail_order, mean_confidence,
 )
@@ -46,8 +46,6 @@ def project_state(groups: DataFrame) -> DataFrame:
         F.max(F.col("n_with_source") > 0).alias("any_source"),
         F.max(F.col("type") != CLEAN).alias("has_findings"),
         F.max("last_seq").alias("project_last_seq"),
-        F.min(F.struct("first_seq", "architecture_pattern"))["architecture_pattern"]
-        .alias("project_architecture"),
     )
     return state.withColumn("attempted", F.col("any_source") & F.col("has_findings"))
 
@@ -55,7 +53,7 @@ def project_state(groups: DataFrame) -> DataFrame:
 def with_project_state(groups: DataFrame) -> DataFrame:
     """Part groups with the state of their project, joined part by part."""
     state = spread(project_state(groups), "project_last_seq").drop("project_last_seq")
-    return groups.join(state, ["project_id", "part"])
+    return groups.join(state, PLACE)
 
 
 def read_verdicts(replies: DataFrame) -> DataFrame:
@@ -109,7 +107,7 @@ def with_status(scored: DataFrame, verdicts_applied: DataFrame) -> DataFrame:
     """File rows with the verdict on their group. At most one part's files
     share a join key."""
     status = verdicts_applied.select(*PART_GROUP, *STATUS_COLS)
-    return with_part(scored).join(status, PART_GROUP)
+    return co_located(with_part(scored)).join(status, PART_GROUP)
 
 
 def false_positives(status: DataFrame) -> DataFrame:
@@ -128,8 +126,9 @@ def clean_candidates(status: DataFrame, below: float = RECHECK_BELOW) -> DataFra
 
 def discoveries(candidates: DataFrame, replies: DataFrame) -> DataFrame:
     """Findings reported for rechecked files: one row per finding."""
+    answers = one_reply(with_part(replies), *KEY, "part")
     read = with_object(
-        candidates.select(*KEY, "part", "file_name", "layer").join(one_reply(replies, *KEY), KEY)
+        candidates.select(*KEY, "part", "file_name", "layer").join(answers, [*KEY, "part"])
     )
     found = (
         read.filter(F.col("obj").isNotNull() & truthy(F.col("obj"), "has_issues", absent=False))
@@ -236,7 +235,7 @@ def clean_files(status: DataFrame, found: DataFrame | None) -> DataFrame:
     """Files without a finding after review: labelled clean or cleared by a
     verdict, less those a recheck found something in."""
     clean = status.filter((F.col("type") == CLEAN) | ~F.col("is_valid"))
-    return clean if found is None else clean.join(found.select(*KEY).distinct(), KEY, "left_anti")
+    return clean if found is None else clean.join(found, [*KEY, "part"], "left_anti")
 
 
 def final_members(status: DataFrame, found: DataFrame | None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Scores rolled up to layers and projects.
 
-Files are read once: they are summed per (project, layer) with map-side
-combining, and everything else is computed from those few rows.
+Files are read once: they are summed per (project, layer, architecture) with
+map-side combining, and everything else is computed from those few rows.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratalens.functions.numeric import mean_of_tenths, round_exact, tenths, whole_text
 from stratalens.functions.scores import score_display, score_emoji, score_label
-from stratalens.operators.violations import fill
+from stratalens.operators.violations import fill, first_architecture, per_architecture
 
 # Fixed value: points a fixed issue is expected to bring back.
 POINTS_PER_ISSUE = 1.5
@@ -27,8 +27,9 @@ PART_SEPARATOR = "  |  "
 
 
 def layer_sums(scored: DataFrame) -> DataFrame:
-    """Additive measures per (project, layer)."""
-    return scored.groupBy("project_id", "layer").agg(
+    """Additive measures per (project, layer, architecture)."""
+    return per_architecture(
+        scored,
         F.count(F.lit(1)).alias("n"),
         F.sum(tenths(F.col("quality_score"))).alias("score_tenths"),
         F.sum("n_issues").alias("issues"),
@@ -36,8 +37,7 @@ def layer_sums(scored: DataFrame) -> DataFrame:
         F.sum("loc").alias("loc"),
         F.sum("imports").alias("imports"),
         F.sum("total_cross_layer_deps").alias("deps"),
-        F.min(F.struct("file_seq", "architecture_pattern")).alias("first_file"),
-        F.max("file_seq").alias("last_seq"),
+        by=("layer",),
     )
 
 
@@ -46,8 +46,12 @@ def layer_rollup(sums: DataFrame) -> DataFrame:
     band follows the unrounded mean, the order the rounded one."""
     mean = mean_of_tenths(F.col("score_tenths"), F.col("n"))
     order = Window.partitionBy("project_id").orderBy(F.desc("mean_score"), "first_seq")
+    totals = sums.groupBy("project_id", "layer").agg(
+        F.sum("n").alias("n"), F.sum("score_tenths").alias("score_tenths"),
+        F.min("first_seq").alias("first_seq"),
+    )
     return (
-        sums.withColumn("mean", mean)
+        totals.withColumn("mean", mean)
         .select(
             "project_id", "layer",
             F.col("n").alias("file_count"),
@@ -55,7 +59,7 @@ def layer_rollup(sums: DataFrame) -> DataFrame:
             score_label(F.col("mean")).alias("quality_label"),
             score_emoji(F.col("mean")).alias("quality_emoji"),
             score_display(F.col("mean")).alias("quality_display"),
-            F.col("first_file")["file_seq"].alias("first_seq"),
+            "first_seq",
         )
         .withColumn("position", F.row_number().over(order).cast("bigint"))
     )
@@ -71,7 +75,7 @@ def project_rollup(sums: DataFrame) -> DataFrame:
         F.sum("loc").alias("loc"),
         F.sum("imports").alias("imports"),
         F.sum("deps").alias("deps"),
-        F.min("first_file").alias("first_file"),
+        first_architecture(),
         F.max("last_seq").alias("last_seq"),
     )
     n = F.col("n").cast("double")
@@ -80,8 +84,7 @@ def project_rollup(sums: DataFrame) -> DataFrame:
     return totals.withColumn(
         "overall", mean_of_tenths(F.col("score_tenths"), F.col("n"))
     ).select(
-        "project_id",
-        F.col("first_file")["architecture_pattern"].alias("architecture_pattern"),
+        "project_id", "architecture_pattern",
         F.col("n").alias("total_files_analyzed"),
         round_exact(overall, 1).alias("overall_score"),
         score_label(overall).alias("overall_label"),

@@ -40,8 +40,6 @@ def part_groups(scored: DataFrame) -> DataFrame:
     return with_part(scored).groupBy(*PART_GROUP).agg(
         *_group_measures(),
         F.count_if("has_source").alias("n_with_source"),
-        F.min(F.struct("file_seq", "architecture_pattern"))["architecture_pattern"]
-        .alias("architecture_pattern"),
     )
 
 
@@ -114,15 +112,38 @@ def fill(text: str, **values: Column) -> Column:
     return F.concat(*pieces, F.lit(rest))
 
 
+def per_architecture(scored: DataFrame, *measures: Column, by: tuple = ()) -> DataFrame:
+    """Fixed-width measures per project and architecture, one row for most
+    projects. The first file's architecture is then picked from these rows;
+    picking it from the files would need a text in the aggregation buffer,
+    which makes Spark sort all files instead of hashing them."""
+    return scored.groupBy("project_id", *by, "architecture_pattern").agg(
+        F.min("file_seq").alias("first_seq"), F.max("file_seq").alias("last_seq"), *measures
+    )
+
+
+def first_architecture() -> Column:
+    first = F.min(F.struct("first_seq", "architecture_pattern"))
+    return first["architecture_pattern"].alias("architecture_pattern")
+
+
+def project_architectures(scored: DataFrame) -> DataFrame:
+    """Architecture of each project's first file, and its last position."""
+    return per_architecture(scored).groupBy("project_id").agg(
+        first_architecture(), F.max("last_seq").alias("last_seq")
+    )
+
+
 def antipattern_summary(scored: DataFrame) -> DataFrame:
     """Project row of the anti-pattern analysis: architecture of the first
     file, file and violation totals, and a one-line summary."""
-    found = F.count_if(F.col("type") != CLEAN)
-    projects = scored.groupBy("project_id").agg(
-        F.min(F.struct("file_seq", "architecture_pattern"))["architecture_pattern"]
-        .alias("architecture_pattern"),
-        F.count(F.lit(1)).alias("total_files_analyzed"),
-        found.alias("total_violations"),
+    measures = [
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("type") != CLEAN).alias("found"),
+    ]
+    projects = per_architecture(scored, *measures).groupBy("project_id").agg(
+        first_architecture(),
+        F.sum("n").alias("total_files_analyzed"),
+        F.sum("found").alias("total_violations"),
     )
     n, v = F.col("total_files_analyzed"), F.col("total_violations")
     return projects.withColumn(

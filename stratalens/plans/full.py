@@ -114,9 +114,9 @@ def blended_files(review: Review, assessments: DataFrame | None) -> DataFrame:
 def analyze_full(
     scored: DataFrame, replies: Replies = Replies(), stage: bool = True,
 ) -> FullReport:
-    """``scored`` comes from ``score_files``."""
+    """``scored`` comes from ``score_files`` and should be a stored table, as
+    it is read more than once."""
     keep = staged if stage else (lambda df, name: df)
-    scored = keep(scored, "scored")
     review = review_findings(scored, replies, stage)
     assessments = None if replies.assessments is None else read_assessments(replies.assessments)
     files = keep(blended_files(review, assessments), "files")

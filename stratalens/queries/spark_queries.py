@@ -99,7 +99,7 @@ def defaulted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source table, with each text cut to ten lines."""
-    texts = source_texts(project_files(spark, sf_dir), sf_dir)
+    texts = source_texts(spark, sf_dir)
     cut = truncate_lines(F.col("source_code"), 10)
     return texts.select(
         *KEY, F.length("source_code").cast("bigint").alias("n_chars"),
@@ -325,10 +325,9 @@ def hybrid_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- requests -------------------------------------------------------------
 
 def validation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = project_files(spark, sf_dir)
     groups = review.apply_verdicts(v.part_groups(fx.scored(spark, sf_dir)), None)
     made = requests.validation_requests(
-        fx.scored(spark, sf_dir), groups, source_texts(files, sf_dir), max_lines=10
+        fx.scored(spark, sf_dir), groups, source_texts(spark, sf_dir), max_lines=10
     )
     return made.select(
         *v.PART_GROUP, "architecture_pattern", "affected_layer", "confidence", "severity",
@@ -337,9 +336,8 @@ def validation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_check_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = project_files(spark, sf_dir)
     made = requests.clean_check_requests(
-        review.clean_candidates(fx.status(spark, sf_dir)), source_texts(files, sf_dir), max_lines=10
+        review.clean_candidates(fx.status(spark, sf_dir)), source_texts(spark, sf_dir), max_lines=10
     )
     return made.select(*KEY, "layer", F.length("prompt").cast("bigint").alias("prompt_chars"))
 
@@ -356,11 +354,10 @@ def assessment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fix_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = project_files(spark, sf_dir)
     scored = fx.scored(spark, sf_dir)
     members = with_part(v.violations_only(scored)).withColumn("origin", F.lit(0))
     made = requests.fix_requests(
-        v.violation_details(scored), members, source_texts(files, sf_dir),
+        v.violation_details(scored), members, source_texts(spark, sf_dir),
         v.antipattern_summary(scored), max_lines=10,
     )
     return made.select(

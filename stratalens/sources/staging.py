@@ -25,7 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/stratalens/{uuid.uuid4().hex}/{name}"
+    """A new folder. All of an application's folders share one parent, which
+    can be dropped when the application is done."""
+    run = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/stratalens/{run}/{uuid.uuid4().hex}/{name}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

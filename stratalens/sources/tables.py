@@ -170,11 +170,15 @@ def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         order_files(spark, sf_dir, seq=True), spark, sf_dir))
 
 
-def source_texts(files: DataFrame, sf_dir: str) -> DataFrame:
-    """Text of each file that sends one: ``project_id, file_seq, file_name,
-    source_code``."""
-    docs = table(files.sparkSession, sf_dir, "documents").select(
-        "doc_id", F.col("text").alias("source_code")
-    )
-    senders = files.filter("has_source").select("project_id", "file_seq", "file_name", "doc_id")
-    return senders.join(docs, "doc_id").drop("doc_id")
+def source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of each file that sends one, as a stored table of evenly sized
+    files: ``project_id, file_seq, file_name, source_code``."""
+    def make() -> DataFrame:
+        docs = table(spark, sf_dir, "documents").select(
+            "doc_id", F.col("text").alias("source_code")
+        )
+        senders = project_files(spark, sf_dir).filter("has_source")
+        narrow = senders.select("project_id", "file_seq", "file_name", "doc_id")
+        return narrow.join(docs, "doc_id").drop("doc_id").hint("rebalance")
+
+    return stored(spark, sf_dir, "sources", make)
