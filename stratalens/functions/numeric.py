@@ -32,19 +32,20 @@ def whole_text(x: Column) -> Column:
     return F.rint(x).cast("bigint").cast("string")
 
 
-def tenths(score: Column) -> Column:
-    """A one-decimal score as a whole number of tenths. Whole numbers add up
-    to the same total in any order, doubles do not."""
-    return F.rint(score * F.lit(10.0)).cast("bigint")
+# Doubles below 2^7 and 1 are whole multiples of 2^-56 and 2^-60 (down to 0.1
+# and 1/256), so scaled by these powers they are whole numbers.
+SCORE_BITS, SHARE_BITS = 56, 60
 
 
-def mean_of_tenths(total: Column, count: Column) -> Column:
-    return (total.cast("double") / F.lit(10.0)) / count.cast("double")
+def exact_sum(x: Column, bits: int) -> Column:
+    """Sum of doubles as a decimal count of 2^-bits. Whole numbers add up to
+    the same total in any order, doubles do not."""
+    return F.sum((x * F.lit(2.0 ** bits)).cast("bigint").cast("decimal(28,0)"))
 
 
-def exact_decimal(x: Column) -> Column:
-    """A fraction in [0, 1] as a decimal, again for order-free sums."""
-    return x.cast("decimal(18,15)")
+def exact_mean(total: Column, count: Column, bits: int) -> Column:
+    """Mean from an exact sum, rounded once for the sum and once for the mean."""
+    return total.cast("double") / F.lit(2.0 ** bits) / count.cast("double")
 
 
 def clip(x: Column, low: float = 0.0, high: float = 100.0) -> Column:

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stratalens.functions.numeric import mean_of_tenths, tenths, whole_text
+from stratalens.functions.numeric import SCORE_BITS, exact_mean, exact_sum, whole_text
 from stratalens.functions.text import or_else, truncate_lines
 from stratalens.operators.hybrid import PENALTIES
 from stratalens.operators.parts import PLACE, spread, with_part
-from stratalens.operators.review import false_positives
+from stratalens.operators.review import rejected_counts
 from stratalens.operators.violations import (
     PART_GROUP, first_architecture, mean_confidence, per_architecture, project_architectures,
 )
@@ -139,10 +139,14 @@ def model_overall(scored: DataFrame) -> DataFrame:
     """Mean model score per project over distinct file names, of which the
     last file counts. Position and score travel as one number: the score has
     at most 1000 tenths."""
-    packed = F.col("file_seq") * 1024 + tenths(F.col("quality_score"))
-    by_name = scored.groupBy("project_id", "file_name").agg(F.max(packed).alias("_last"))
+    tenths = F.rint(F.col("quality_score") * 10).cast("bigint")
+    by_name = scored.groupBy("project_id", "file_name").agg(
+        F.max(F.col("file_seq") * 1024 + tenths).alias("_last")
+    )
+    score = (F.col("_last") % 1024) / F.lit(10.0)
     return by_name.groupBy("project_id").agg(
-        mean_of_tenths(F.sum(F.col("_last") % 1024), F.count(F.lit(1))).alias("model_overall")
+        exact_mean(exact_sum(score, SCORE_BITS), F.count(F.lit(1)), SCORE_BITS)
+        .alias("model_overall")
     )
 
 
@@ -158,9 +162,7 @@ def project_counts(files: DataFrame, details: DataFrame, verdict_groups: DataFra
         first_architecture(),
     )
     findings = details.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_violations"))
-    rejected = false_positives(verdict_groups).groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("n_rejected")
-    )
+    rejected = rejected_counts(verdict_groups)
     joined = (
         sizes.join(findings, "project_id", "left").join(rejected, "project_id", "left")
         .join(model_overall(files), "project_id")

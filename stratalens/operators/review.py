@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stratalens.functions.numeric import exact_decimal
+from stratalens.functions.numeric import SHARE_BITS, exact_sum
 from stratalens.functions.replies import parse_reply, truthy, with_object
 from stratalens.functions.text import or_else
 from stratalens.operators.parts import PLACE, co_located, spread, with_part
@@ -114,6 +114,13 @@ def false_positives(status: DataFrame) -> DataFrame:
     return status.filter(~F.col("is_valid"))
 
 
+def rejected_counts(verdicts_applied: DataFrame) -> DataFrame:
+    """Rejected groups per project; a group rejected in several parts counts
+    once."""
+    groups = false_positives(verdicts_applied).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n"))
+    return groups.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_rejected"))
+
+
 def clean_candidates(status: DataFrame, below: float = RECHECK_BELOW) -> DataFrame:
     """Files labelled clean with little confidence that can be read again.
     Files cleared by a verdict carry no clean confidence and are left alone;
@@ -167,7 +174,7 @@ def _found_rows(found: DataFrame) -> DataFrame:
     return per_type.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("n_files"),
         F.sort_array(F.collect_set("layer")).alias("layers"),
-        F.sum(exact_decimal(F.lit(0.0))).alias("confidence_total"),
+        exact_sum(F.lit(0.0), SHARE_BITS).alias("confidence_total"),
         F.min("file_seq").alias("first_seq"),
         F.max("file_seq").alias("last_seq"),
         F.min("verdict").alias("verdict"),

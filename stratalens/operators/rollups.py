@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stratalens.functions.numeric import mean_of_tenths, round_exact, tenths, whole_text
+from stratalens.functions.numeric import (
+    SCORE_BITS, exact_mean, exact_sum, round_exact, whole_text,
+)
 from stratalens.functions.scores import score_display, score_emoji, score_label
 from stratalens.operators.violations import fill, first_architecture, per_architecture
 
@@ -31,7 +33,7 @@ def layer_sums(scored: DataFrame) -> DataFrame:
     return per_architecture(
         scored,
         F.count(F.lit(1)).alias("n"),
-        F.sum(tenths(F.col("quality_score"))).alias("score_tenths"),
+        exact_sum(F.col("quality_score"), SCORE_BITS).alias("score_total"),
         F.sum("n_issues").alias("issues"),
         F.count_if(F.col("n_issues") > 0).alias("with_issues"),
         F.sum("loc").alias("loc"),
@@ -44,10 +46,10 @@ def layer_sums(scored: DataFrame) -> DataFrame:
 def layer_rollup(sums: DataFrame) -> DataFrame:
     """Mean score and band of each layer, best first inside its project. The
     band follows the unrounded mean, the order the rounded one."""
-    mean = mean_of_tenths(F.col("score_tenths"), F.col("n"))
+    mean = exact_mean(F.col("score_total"), F.col("n"), SCORE_BITS)
     order = Window.partitionBy("project_id").orderBy(F.desc("mean_score"), "first_seq")
     totals = sums.groupBy("project_id", "layer").agg(
-        F.sum("n").alias("n"), F.sum("score_tenths").alias("score_tenths"),
+        F.sum("n").alias("n"), F.sum("score_total").alias("score_total"),
         F.min("first_seq").alias("first_seq"),
     )
     return (
@@ -69,7 +71,7 @@ def project_rollup(sums: DataFrame) -> DataFrame:
     """Overall score, size averages and issue totals of each project."""
     totals = sums.groupBy("project_id").agg(
         F.sum("n").alias("n"),
-        F.sum("score_tenths").alias("score_tenths"),
+        F.sum("score_total").alias("score_total"),
         F.sum("issues").alias("issues"),
         F.sum("with_issues").alias("with_issues"),
         F.sum("loc").alias("loc"),
@@ -82,7 +84,7 @@ def project_rollup(sums: DataFrame) -> DataFrame:
     overall = F.col("overall")
     projected = F.least(F.lit(100.0), overall + F.col("issues") * F.lit(POINTS_PER_ISSUE))
     return totals.withColumn(
-        "overall", mean_of_tenths(F.col("score_tenths"), F.col("n"))
+        "overall", exact_mean(F.col("score_total"), F.col("n"), SCORE_BITS)
     ).select(
         "project_id", "architecture_pattern",
         F.col("n").alias("total_files_analyzed"),

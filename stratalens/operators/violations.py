@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stratalens.functions.numeric import exact_decimal, round_exact
+from stratalens.functions.numeric import SHARE_BITS, exact_mean, exact_sum, round_exact
 from stratalens.operators.parts import with_part
 from stratalens.schema import CLEAN
 from stratalens.sources.catalog import severity_rank, with_catalog
@@ -25,14 +25,14 @@ def _group_measures() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("n_files"),
         F.sort_array(F.collect_set("resolved_layer")).alias("layers"),
-        F.sum(exact_decimal(F.col("confidence"))).alias("confidence_total"),
+        exact_sum(F.col("confidence"), SHARE_BITS).alias("confidence_total"),
         F.min("file_seq").alias("first_seq"),
         F.max("file_seq").alias("last_seq"),
     ]
 
 
 def mean_confidence(total: Column, count: Column) -> Column:
-    return round_exact(total.cast("double") / count.cast("double"), 2)
+    return round_exact(exact_mean(total, count, SHARE_BITS), 2)
 
 
 def part_groups(scored: DataFrame) -> DataFrame:

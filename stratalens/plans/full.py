@@ -17,7 +17,7 @@ from stratalens.operators.hybrid import (
 )
 from stratalens.operators.review import (
     apply_verdicts, clean_candidates, clean_files, discoveries, final_members, member_lists,
-    merge_discoveries, reviewed_details, with_status,
+    merge_discoveries, rejected_counts, reviewed_details, with_status,
 )
 from stratalens.operators.rollups import (
     layer_rollup, layer_sums, project_rollup, quality_summary, violation_summary,
@@ -80,8 +80,9 @@ def _project_flags(review: Review, assessments: DataFrame | None) -> DataFrame:
     flags = review.verdict_groups.groupBy("project_id").agg(
         F.max("attempted").alias("llm_enhanced"),
         F.max("any_source").alias("any_source"),
-        F.count_if(~F.col("is_valid")).alias("false_positives_filtered"),
-    )
+    ).join(rejected_counts(review.verdict_groups), "project_id", "left").withColumn(
+        "false_positives_filtered", F.coalesce("n_rejected", F.lit(0).cast("bigint"))
+    ).drop("n_rejected")
     if assessments is None:
         blank = flags.withColumns({
             "assessed": F.lit(False), "quality_reasoning": F.lit(""),

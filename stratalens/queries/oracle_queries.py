@@ -38,6 +38,12 @@ def r2(x: str) -> str:
     return f"CAST(printf('%.2f', {x}) AS DOUBLE)"
 
 
+def exact(x: str, bits: int) -> str:
+    """Sum of doubles, rounded once: added as whole multiples of 2^-bits."""
+    scale = f"{2.0 ** bits:.0f}e0"
+    return f"CAST(CAST(sum(CAST({x}*{scale} AS HUGEINT)) AS VARCHAR) AS DOUBLE)/{scale}"
+
+
 def label(x: str) -> str:
     return (f"CASE WHEN {x}>=90 THEN 'Excellent' WHEN {x}>=75 THEN 'Good' "
             f"WHEN {x}>=60 THEN 'Fair' WHEN {x}>=40 THEN 'Poor' ELSE 'Critical' END")
@@ -184,17 +190,16 @@ def scored(name: str, source: str) -> str:
     {r1('greatest(0e0, least(100e0, 100e0 - 8e0*vs))')} AS quality_score,
     {ISSUE_TEXT} AS issues, {ISSUE_COUNT} AS n_issues
   FROM {source}),
-{name} AS (SELECT *, CAST(round(quality_score*10) AS BIGINT) AS tenths FROM {name}0)"""
+{name} AS (SELECT * FROM {name}0)"""
 
 
 SCORED = FILES + scored("s", "rl")
-CONF = "CAST(confidence AS DECIMAL(18,15))"
 
 # Part groups, project state, verdict replies and their reading.
 GROUPS = SCORED + f""",
 g AS (
   SELECT project_id, type, part, count(*) AS n_files,
-    list_sort(list(DISTINCT resolved_layer)) AS layers, sum({CONF}) AS conf,
+    list_sort(list(DISTINCT resolved_layer)) AS layers, {exact('confidence', 60)} AS conf,
     min(file_seq) AS first_seq, max(file_seq) AS last_seq,
     count(*) FILTER (has_source) AS n_src, arg_min(architecture_pattern, file_seq) AS arch
   FROM s GROUP BY ALL),
@@ -298,7 +303,7 @@ m AS (
     severity, backed, description, recommendation, before_code, after_code
   FROM va WHERE type<>'clean' AND is_valid
   UNION ALL
-  SELECT project_id, type, 1, [layer], 0::DECIMAL(18,15), file_seq, 1, file_seq, pos,
+  SELECT project_id, type, 1, [layer], 0e0, file_seq, 1, file_seq, pos,
     severity, true, description, recommendation, before_code, after_code
   FROM found),
 mg AS (
@@ -312,7 +317,7 @@ d0 AS (
   SELECT mg.project_id, mg.type, n_files, last_seq, v,
     coalesce(nullif(v.severity, ''), cat.severity, 'UNKNOWN') AS severity,
     array_to_string(layers, ', ') AS affected_layer,
-    {r2('conf::DOUBLE / n_files')} AS confidence, v.backed AS llm_validated,
+    {r2('conf / n_files')} AS confidence, v.backed AS llm_validated,
     coalesce(nullif(v.description, ''), cat.description, {q(UNKNOWN_DESCRIPTION)}) AS description,
     coalesce(nullif(v.recommendation, ''), cat.recommendation, {q(UNKNOWN_RECOMMENDATION)}) AS recommendation,
     coalesce(cat.impact, 0) AS impact
@@ -356,7 +361,7 @@ fp AS (
   SELECT found.project_id, file_seq, sum({penalty('d.severity')}) AS pts
   FROM found JOIN d USING (project_id, type) GROUP BY ALL),
 h0 AS (
-  SELECT stt.* EXCLUDE (tenths), NOT is_valid AS cleared,
+  SELECT stt.*, NOT is_valid AS cleared,
     CASE WHEN type<>'clean' AND is_valid THEN {penalty('severity')} ELSE 0 END + coalesce(pts, 0) AS penalty,
     (type='clean' OR NOT is_valid) AND pts IS NULL AS in_clean_list, reply, has_reply
   FROM stt LEFT JOIN fp USING (project_id, file_seq)
@@ -371,19 +376,19 @@ h2 AS (
       + CASE WHEN cleared THEN 3 ELSE 0 END
     ELSE model_score END AS raw FROM h1),
 h AS (
-  SELECT *, {r1('greatest(0e0, least(100e0, raw))')} AS quality_score,
-    CAST(round({r1('greatest(0e0, least(100e0, raw))')}*10) AS BIGINT) AS tenths FROM h2)"""
+  SELECT *, {r1('greatest(0e0, least(100e0, raw))')} AS quality_score FROM h2)"""
 
 
 def layers(source: str, name: str = "lr") -> str:
-    mean = "(tenths::DOUBLE / 10e0) / n"
+    mean = "total / n"
     return f""",
 {name}s AS (
-  SELECT project_id, layer, count(*) AS n, sum(tenths) AS tenths, sum(n_issues)::BIGINT AS issues,
+  SELECT project_id, layer, count(*) AS n, {exact('quality_score', 56)} AS total, sum(n_issues)::BIGINT AS issues,
     count(*) FILTER (n_issues>0) AS with_issues, sum(loc) AS loc, sum(imports) AS imports,
     sum(total_cross_layer_deps) AS deps, min(file_seq) AS first_seq,
     arg_min(architecture_pattern, file_seq) AS arch
   FROM {source} GROUP BY ALL),
+{name}q AS (SELECT project_id, {exact('quality_score', 56)} AS score_sum FROM {source} GROUP BY ALL),
 {name}m AS (SELECT *, {mean} AS mean FROM {name}s),
 {name} AS (
   SELECT project_id, layer, n AS file_count, {r1('mean')} AS mean_score,
@@ -397,9 +402,9 @@ def projects(sums: str = "lrs", name: str = "pr") -> str:
     return f""",
 {name}0 AS (
   SELECT project_id, arg_min(arch, first_seq) AS architecture_pattern, sum(n)::BIGINT AS n,
-    (sum(tenths)::DOUBLE / 10e0) / sum(n)::DOUBLE AS overall, sum(issues)::BIGINT AS issues,
+    any_value(score_sum) / sum(n)::DOUBLE AS overall, sum(issues)::BIGINT AS issues,
     sum(with_issues)::BIGINT AS with_issues, sum(loc) AS loc, sum(imports) AS imports, sum(deps) AS deps
-  FROM {sums} GROUP BY project_id),
+  FROM {sums} JOIN {sums[:-1]}q USING (project_id) GROUP BY project_id),
 {name} AS (
   SELECT project_id, architecture_pattern, n AS total_files_analyzed,
     {r1('overall')} AS overall_score, {label('overall')} AS overall_label,
@@ -450,11 +455,11 @@ ML_DETAILS = SCORED + f""",
 {CAT},
 md0 AS (
   SELECT project_id, type, count(*) AS n_files, list_sort(list(DISTINCT resolved_layer)) AS layers,
-    sum({CONF}) AS conf, min(file_seq) AS first_seq, max(file_seq) AS last_seq
+    {exact('confidence', 60)} AS conf, min(file_seq) AS first_seq, max(file_seq) AS last_seq
   FROM s WHERE type<>'clean' GROUP BY ALL),
 md AS (
   SELECT md0.*, cat.* EXCLUDE (type), array_to_string(layers, ', ') AS affected_layer,
-    {r2('conf::DOUBLE / n_files')} AS confidence,
+    {r2('conf / n_files')} AS confidence,
     row_number() OVER (PARTITION BY project_id ORDER BY {rank('severity')}, first_seq) AS position
   FROM md0 JOIN cat USING (type))"""
 
@@ -672,7 +677,7 @@ SELECT project_id, file_seq, model_score, quality_score, {label('quality_score')
   penalty::BIGINT AS penalty, in_clean_list, cleared FROM h""")
 ORACLE["hybrid_overall"] = select(SCORED + assessments("s"), f"""
 SELECT project_id, {r1(f"coalesce(0.4e0*mean + 0.6e0*TRY_CAST({field('overall_score')} AS DOUBLE), mean)")} AS overall
-FROM (SELECT project_id, (sum(tenths)::DOUBLE/10e0)/count(*) AS mean FROM s GROUP BY ALL)
+FROM (SELECT project_id, {exact('quality_score', 56)}/count(*) AS mean FROM s GROUP BY ALL)
 LEFT JOIN ar USING (project_id)""")
 
 _VALIDATION_PROMPT = lines(
@@ -692,7 +697,7 @@ vs1 AS (
         JOIN src USING (project_id, file_seq) WHERE type<>'clean') GROUP BY ALL),
 vq AS (
   SELECT g.project_id, type, g.part, p.arch AS project_arch, array_to_string(layers, ', ') AS affected_layer,
-    {r2('conf::DOUBLE / g.n_files')} AS confidence, vs1.n_files, sources
+    {r2('conf / g.n_files')} AS confidence, vs1.n_files, sources
   FROM g JOIN p USING (project_id) JOIN vs1 USING (project_id, type, part) WHERE attempted)""", f"""
 SELECT project_id, type, part, project_arch AS architecture_pattern, affected_layer, confidence,
   cat.severity, n_files, length({_VALIDATION_PROMPT}) AS prompt_chars
@@ -737,7 +742,7 @@ dl AS (
 ct AS (
   SELECT project_id, arg_min(architecture_pattern, file_seq) AS architecture_pattern,
     count(*) AS n_files, count(*) FILTER (in_clean_list) AS n_clean, bool_or(any_source) AS any_source,
-    (sum(round(model_score*10)::BIGINT)::DOUBLE/10e0)/count(*) AS mean
+    {exact('model_score', 56)}/count(*) AS mean
   FROM h GROUP BY project_id),
 cn AS (
   SELECT ct.*, coalesce(nv, 0) AS n_violations, coalesce(nr, 0) AS n_rejected FROM ct
