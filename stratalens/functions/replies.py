@@ -50,11 +50,12 @@ def with_object(df: DataFrame, clean: Callable[[Column], Column] = without_outer
     Generating the single value keeps later filters above this step. Pushed
     below it, each mention of ``obj`` would read the reply text again.
     """
-    text, span = F.col("_text"), F.col("_span")
+    text = F.col("_text")
+    # Only looked at where the whole text is no object.
+    span = F.regexp_extract(text, "(?s)\\{.*\\}", 0)
     obj = F.when(_is_object(text), text).when(_is_object(span), span)
     return (
         df.withColumn("_text", clean(F.col("reply")))
-        .withColumn("_span", F.regexp_extract(text, "(?s)\\{.*\\}", 0))
         .select(*df.columns, F.explode_outer(F.array(obj)).alias("obj"))
     )
 

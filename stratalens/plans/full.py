@@ -122,7 +122,7 @@ def analyze_full(
     assessments = None if replies.assessments is None else read_assessments(replies.assessments)
     files = keep(blended_files(review, assessments), "files")
 
-    sums = layer_sums(files)
+    sums = keep(layer_sums(files), "layer_sums")
     layers = layer_rollup(sums)
     projects = violation_summary(
         quality_summary(project_rollup(sums), layers).withColumnRenamed("summary", "quality_summary"),
