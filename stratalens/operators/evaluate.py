@@ -31,11 +31,10 @@ def accuracy(cases: DataFrame, by: str | None = None) -> DataFrame:
     )
     rows = groups
     if by is not None:
-        overall = groups.agg(F.sum("passed").alias("passed"), F.sum("total").alias("total"))
-        # An empty input has no overall row to report.
-        rows = groups.unionByName(
-            overall.filter(F.col("total").isNotNull()).withColumn("bucket", F.lit("(all)"))
-        )
+        rows = groups.rollup("bucket").agg(
+            F.sum("passed").alias("passed"), F.sum("total").alias("total"),
+            F.grouping("bucket").alias("_all"),
+        ).withColumn("bucket", F.when(F.col("_all") == 1, "(all)").otherwise(F.col("bucket"))).drop("_all")
     share = F.col("passed") * 100.0 / F.col("total")
     return rows.withColumn("accuracy", round_exact(share, 1))
 
@@ -50,13 +49,10 @@ def class_report(per_class: DataFrame) -> DataFrame:
 
 
 def run_totals(scored: DataFrame) -> DataFrame:
-    """Project figures compared between runs."""
-    projects = project_rollup(layer_sums(scored))
-    found = scored.groupBy("project_id").agg(
-        F.count_if(F.col("type") != CLEAN).alias("total_violations")
-    )
-    return projects.join(found, "project_id").select(
-        "project_id", "overall_score", "total_violations", "files_with_violations"
+    """Project figures compared between runs, from one pass over the files."""
+    return project_rollup(layer_sums(scored)).select(
+        "project_id", "overall_score", F.col("labelled_files").alias("total_violations"),
+        "files_with_violations",
     )
 
 

@@ -35,6 +35,13 @@ def read_assessments(replies: DataFrame) -> DataFrame:
     )
 
 
+def first_assessments(assessments: DataFrame) -> DataFrame:
+    """Texts and overall score of each project, from its first readable part."""
+    fields = ["part", "overall_score", "reasoning", "strengths", "improvements"]
+    first = assessments.groupBy("project_id").agg(F.min_by(F.struct(*fields), "part").alias("_a"))
+    return first.select("project_id", "_a.*")
+
+
 def reply_scores(assessments: DataFrame) -> DataFrame:
     """Reply score per file name; ``reply_score`` is null where the reply
     gives no number."""

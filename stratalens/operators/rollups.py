@@ -13,6 +13,10 @@ from stratalens.functions.numeric import (
 )
 from stratalens.functions.scores import score_display, score_emoji, score_label
 from stratalens.operators.violations import fill, first_architecture, per_architecture
+from stratalens.schema import CLEAN
+
+# Columns of project rows that later steps use and reports leave out.
+WORKING_COLS = ["overall_mean", "labelled_files", "last_seq"]
 
 # Fixed value: points a fixed issue is expected to bring back.
 POINTS_PER_ISSUE = 1.5
@@ -36,6 +40,7 @@ def layer_sums(scored: DataFrame) -> DataFrame:
         exact_sum(F.col("quality_score"), SCORE_BITS).alias("score_total"),
         F.sum("n_issues").alias("issues"),
         F.count_if(F.col("n_issues") > 0).alias("with_issues"),
+        F.count_if(F.col("type") != CLEAN).alias("labelled"),
         F.sum("loc").alias("loc"),
         F.sum("imports").alias("imports"),
         F.sum("total_cross_layer_deps").alias("deps"),
@@ -74,6 +79,7 @@ def project_rollup(sums: DataFrame) -> DataFrame:
         F.sum("score_total").alias("score_total"),
         F.sum("issues").alias("issues"),
         F.sum("with_issues").alias("with_issues"),
+        F.sum("labelled").alias("labelled"),
         F.sum("loc").alias("loc"),
         F.sum("imports").alias("imports"),
         F.sum("deps").alias("deps"),
@@ -99,6 +105,7 @@ def project_rollup(sums: DataFrame) -> DataFrame:
         F.col("issues").alias("total_issues_found"),
         round_exact(projected, 1).alias("projected_score_after_fixes"),
         overall.alias("overall_mean"),
+        F.col("labelled").alias("labelled_files"),
         "last_seq",
     )
 

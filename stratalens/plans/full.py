@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from stratalens.operators.fixes import fix_suggestions
 from stratalens.operators.hybrid import (
-    hybrid_scores, read_assessments, reply_scores, with_findings,
+    first_assessments, hybrid_scores, read_assessments, reply_scores, with_findings,
 )
 from stratalens.operators.review import (
     apply_verdicts, clean_candidates, clean_files, discoveries, final_members, member_lists,
     merge_discoveries, rejected_counts, reviewed_details, with_status,
 )
 from stratalens.operators.rollups import (
-    layer_rollup, layer_sums, project_rollup, quality_summary, violation_summary,
+    WORKING_COLS, layer_rollup, layer_sums, project_rollup, quality_summary, violation_summary,
 )
 from stratalens.operators.violations import part_groups
 from stratalens.plans.quality import FILE_COLS
@@ -90,16 +90,14 @@ def _project_flags(review: Review, assessments: DataFrame | None) -> DataFrame:
             "quality_improvements": F.array().cast("array<string>"),
         })
     else:
-        first = assessments.groupBy("project_id").agg(
-            F.min_by(F.struct("reasoning", "strengths", "improvements"), "part").alias("reply")
-        )
         none = F.array().cast("array<string>")
-        blank = flags.join(first, "project_id", "left").withColumns({
-            "assessed": F.col("any_source") & F.col("reply").isNotNull(),
-            "quality_reasoning": F.coalesce("reply.reasoning", F.lit("")),
-            "quality_strengths": F.coalesce("reply.strengths", none),
-            "quality_improvements": F.coalesce("reply.improvements", none),
-        }).drop("reply")
+        used = F.col("any_source")
+        blank = flags.join(first_assessments(assessments), "project_id", "left").withColumns({
+            "assessed": used & F.col("part").isNotNull(),
+            "quality_reasoning": F.coalesce(F.when(used, F.col("reasoning")), F.lit("")),
+            "quality_strengths": F.coalesce(F.when(used, F.col("strengths")), none),
+            "quality_improvements": F.coalesce(F.when(used, F.col("improvements")), none),
+        }).drop("part", "overall_score", "reasoning", "strengths", "improvements")
     method = (
         F.when(~F.col("any_source"), "ml_only").when(F.col("assessed"), "hybrid")
         .when(F.col("llm_enhanced"), "ml_adjusted").otherwise("ml_only")
@@ -127,7 +125,7 @@ def analyze_full(
     projects = violation_summary(
         quality_summary(project_rollup(sums), layers).withColumnRenamed("summary", "quality_summary"),
         review.details,
-    ).join(_project_flags(review, assessments), "project_id").drop("overall_mean", "last_seq")
+    ).join(_project_flags(review, assessments), "project_id").drop(*WORKING_COLS)
     stamped = projects.withColumn(
         "analysis_date", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
     )

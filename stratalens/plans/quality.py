@@ -6,7 +6,10 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from stratalens.operators.rollups import layer_rollup, layer_sums, project_rollup, quality_summary
+from stratalens.operators.rollups import (
+    WORKING_COLS, layer_rollup, layer_sums, project_rollup, quality_summary,
+)
+from stratalens.sources.staging import staged
 
 FILE_COLS = [
     "project_id", "file_seq", "file_name", "file_path", "layer", "quality_score",
@@ -27,10 +30,14 @@ def files_worst_first(files: DataFrame) -> DataFrame:
     return files.orderBy("project_id", "quality_score", "file_seq")
 
 
-def analyze_quality(scored: DataFrame) -> QualityReport:
+def analyze_quality(scored: DataFrame, stage: bool = True) -> QualityReport:
+    """With ``stage`` the layer sums, input of both rollups, are stored, so
+    the files are summed once."""
     sums = layer_sums(scored)
+    if stage:
+        sums = staged(sums, "layer_sums")
     layers = layer_rollup(sums)
-    projects = quality_summary(project_rollup(sums), layers).drop("overall_mean", "last_seq")
+    projects = quality_summary(project_rollup(sums), layers).drop(*WORKING_COLS)
     stamped = projects.withColumn(
         "analysis_date", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
     )

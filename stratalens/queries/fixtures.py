@@ -8,7 +8,7 @@ from stratalens.operators.review import (
     apply_verdicts, clean_candidates, discoveries, with_status,
 )
 from stratalens.operators.rules import classify_by_rules
-from stratalens.operators.violations import PART_GROUP, part_groups
+from stratalens.operators.violations import PART_GROUP, part_groups, violation_groups
 from stratalens.operators.parts import with_part
 from stratalens.plans.full import Replies
 from stratalens.plans.scored import score_files
@@ -144,7 +144,7 @@ def _assessment_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fix_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = part_groups(scored(spark, sf_dir)).filter("type <> 'clean' and part = 0")
+    groups = violation_groups(scored(spark, sf_dir))
     rows = groups.join(_customers(spark, sf_dir), "project_id").filter("c_acctbal >= 0")
     return rows.select(
         "project_id", "type", F.concat(F.lit("Move it. Files: "), F.col("n_files")).alias("reply")

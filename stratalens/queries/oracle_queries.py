@@ -785,8 +785,8 @@ SELECT project_id, position, type AS anti_pattern, affected_layer AS layer, seve
 FROM md JOIN vf USING (project_id, type)""")
 ORACLE["fixes_with_replies"] = select(DETAILS + """,
 fr AS (
-  SELECT project_id, type, 'Move it. Files: ' || n_files AS reply FROM g
-  JOIN customer c ON c.c_custkey=g.project_id WHERE c_acctbal>=0 AND type<>'clean' AND part=0)""", f"""
+  SELECT project_id, type, 'Move it. Files: ' || sum(n_files)::BIGINT AS reply FROM g
+  JOIN customer c ON c.c_custkey=g.project_id WHERE c_acctbal>=0 AND type<>'clean' GROUP BY ALL)""", f"""
 SELECT d.project_id, position, d.type AS anti_pattern, affected_layer AS layer,
   coalesce(cat.impact, {FIX_FALLBACK['impact']})::BIGINT AS impact_points, n_files,
   coalesce(reply, '') AS ai_fix, reply IS NOT NULL AS ai_powered
@@ -840,7 +840,7 @@ SELECT pr.* EXCLUDE (overall), summary AS quality_summary, total_violations, vio
   CASE WHEN NOT any_source THEN 'ml_only' WHEN reasoning IS NOT NULL THEN 'hybrid'
     WHEN llm_enhanced THEN 'ml_adjusted' ELSE 'ml_only' END AS scoring_method
 FROM pr JOIN qs USING (project_id) JOIN vt USING (project_id) JOIN flags USING (project_id)
-LEFT JOIN ap USING (project_id)""")
+LEFT JOIN ap ON ap.project_id=pr.project_id AND any_source""")
 ORACLE["full_report_layers"] = select(HYBRID + layers("h"), "SELECT * FROM lr")
 ORACLE["full_report_model_only"] = select(
     ML_DETAILS + layers("s") + projects() + quality_text() + violation_text("md"), """

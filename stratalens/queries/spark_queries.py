@@ -25,7 +25,7 @@ from stratalens.operators.parts import with_part
 from stratalens.operators.rules import classify_by_rules, rule_label
 from stratalens.plans.antipatterns import analyze_antipatterns
 from stratalens.plans.full import Replies, analyze_full, blended_files, review_findings
-from stratalens.plans.quality import analyze_quality
+from stratalens.plans.quality import analyze_quality, files_worst_first
 from stratalens.plans.scored import score_files
 from stratalens.queries import fixtures as fx
 from stratalens.schema import (
@@ -218,11 +218,12 @@ def antipattern_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze_quality(fx.scored(spark, sf_dir)).layers
+    return rollups.layer_rollup(rollups.layer_sums(fx.scored(spark, sf_dir)))
 
 
 def project_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze_quality(fx.scored(spark, sf_dir)).projects.drop("analysis_date", "summary")
+    projects = rollups.project_rollup(rollups.layer_sums(fx.scored(spark, sf_dir)))
+    return projects.drop(*rollups.WORKING_COLS)
 
 
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +231,7 @@ def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def worst_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze_quality(fx.scored(spark, sf_dir)).files.select(
+    return files_worst_first(fx.scored(spark, sf_dir)).select(
         "project_id", "file_name", "layer", "quality_score", _text("issues")
     )
 
@@ -314,7 +315,8 @@ def hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = requests.model_overall(fx.scored(spark, sf_dir))
-    replies = hybrid.read_assessments(fx.assessment_replies(spark, sf_dir)).filter("part = 0")
+    replies = hybrid.first_assessments(
+        hybrid.read_assessments(fx.assessment_replies(spark, sf_dir)))
     joined = means.join(replies.select("project_id", "overall_score"), "project_id", "left")
     return joined.select(
         "project_id",

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from stratalens.operators.parts import with_file_seq
 from stratalens.schema import NUMERIC_COLS
-from stratalens.sources.staging import staged
+from stratalens.sources.staging import staged_path
 
 # Orders per document: the tables hold 15 orders for each document.
 FILES_PER_DOCUMENT = 15
@@ -120,13 +121,12 @@ def _as_files(joined: DataFrame) -> DataFrame:
     )
 
 
-def order_files(spark: SparkSession, sf_dir: str, seq: bool = False) -> DataFrame:
-    """Files of every order that has line items. ``seq`` adds ``file_seq``."""
+def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of every order that has line items."""
     joined = _orders(spark, sf_dir).join(
         _line_counts(spark, sf_dir), F.col("l_orderkey") == F.col("file_id")
     )
-    files = _as_files(joined)
-    return with_file_seq(files, "file_id") if seq else files
+    return _as_files(joined)
 
 
 def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,20 +154,27 @@ def with_has_source(files: DataFrame, spark: SparkSession, sf_dir: str) -> DataF
     )
 
 
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A derived input as a stored table, written once per application."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        _STORED[key] = staged(make(), name)
-    return _STORED[key]
+        df = make()
+        path = staged_path(spark, name)
+        df.write.parquet(path)
+        _STORED[key] = path, df.schema
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files with their position in the project. Numbering looks at its
+    input twice, so the joined rows are stored first."""
+    unnumbered = stored(spark, sf_dir, "unnumbered", lambda: order_files(spark, sf_dir))
     return stored(spark, sf_dir, "files", lambda: with_has_source(
-        order_files(spark, sf_dir, seq=True), spark, sf_dir))
+        with_file_seq(unnumbered, "file_id"), spark, sf_dir))
 
 
 def source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
