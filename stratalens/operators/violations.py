@@ -134,19 +134,28 @@ def project_architectures(scored: DataFrame) -> DataFrame:
     )
 
 
-def antipattern_summary(scored: DataFrame) -> DataFrame:
+def antipattern_summary(scored: DataFrame, projects: DataFrame | None = None) -> DataFrame:
     """Project row of the anti-pattern analysis: architecture of the first
-    file, file and violation totals, and a one-line summary."""
+    file, file and violation totals, and a one-line summary. ``projects``
+    (one ``project_id`` per row) adds those without files, as empty and of
+    unknown architecture."""
     measures = [
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("type") != CLEAN).alias("found"),
     ]
-    projects = per_architecture(scored, *measures).groupBy("project_id").agg(
+    totals = per_architecture(scored, *measures).groupBy("project_id").agg(
         first_architecture(),
         F.sum("n").alias("total_files_analyzed"),
         F.sum("found").alias("total_violations"),
     )
+    if projects is not None:
+        zero = F.lit(0).cast("bigint")
+        totals = projects.select("project_id").join(totals, "project_id", "left").withColumns({
+            "architecture_pattern": F.coalesce("architecture_pattern", F.lit("unknown")),
+            "total_files_analyzed": F.coalesce("total_files_analyzed", zero),
+            "total_violations": F.coalesce("total_violations", zero),
+        })
     n, v = F.col("total_files_analyzed"), F.col("total_violations")
-    return projects.withColumn(
+    return totals.withColumn(
         "summary",
         F.when(v == 0, fill(NO_VIOLATIONS, n=n)).otherwise(fill(SOME_VIOLATIONS, v=v, n=n)),
     )

@@ -17,7 +17,10 @@ class AntipatternReport(NamedTuple):
     detail_files: DataFrame
 
 
-def analyze_antipatterns(scored: DataFrame) -> AntipatternReport:
+def analyze_antipatterns(
+    scored: DataFrame, projects: DataFrame | None = None,
+) -> AntipatternReport:
+    """``projects`` names projects to report even if they have no files."""
     return AntipatternReport(
-        antipattern_summary(scored), violation_details(scored), violation_files(scored)
+        antipattern_summary(scored, projects), violation_details(scored), violation_files(scored)
     )

@@ -631,11 +631,12 @@ FROM s WHERE type='clean' GROUP BY ALL""")
 ORACLE["violation_details"] = select(ML_DETAILS, """
 SELECT project_id, position, type, severity, affected_layer, confidence, n_files FROM md""")
 ORACLE["antipattern_summary"] = select(SCORED, """
-SELECT project_id, arg_min(architecture_pattern, file_seq) AS architecture_pattern,
-  count(*) AS total_files_analyzed, count(*) FILTER (type<>'clean') AS total_violations,
-  CASE WHEN count(*) FILTER (type<>'clean') = 0 THEN '✅ No violations in ' || count(*) || ' files'
-    ELSE '⚠️ ' || count(*) FILTER (type<>'clean') || ' violations across ' || count(*) || ' files' END AS summary
-FROM s GROUP BY project_id""")
+SELECT c_custkey AS project_id,
+  coalesce(arg_min(architecture_pattern, file_seq), 'unknown') AS architecture_pattern,
+  count(file_seq) AS total_files_analyzed, count(*) FILTER (type<>'clean') AS total_violations,
+  CASE WHEN count(*) FILTER (type<>'clean') = 0 THEN '✅ No violations in ' || count(file_seq) || ' files'
+    ELSE '⚠️ ' || count(*) FILTER (type<>'clean') || ' violations across ' || count(file_seq) || ' files' END AS summary
+FROM customer LEFT JOIN s ON project_id=c_custkey GROUP BY c_custkey""")
 ORACLE["layer_rollup"] = select(SCORED + layers("s"), "SELECT * FROM lr")
 ORACLE["project_rollup"] = select(SCORED + layers("s") + projects(), "SELECT * EXCLUDE (overall) FROM pr")
 ORACLE["quality_summary"] = select(

@@ -15,7 +15,7 @@ from stratalens.functions.features import (
     violation_score,
 )
 from stratalens.functions.issues import derive_issues
-from stratalens.functions.layers import report_layer, resolve_layer, resolved_layer
+from stratalens.functions.layers import resolve_layer
 from stratalens.functions.replies import parse_reply, truthy, with_assessment, with_object
 from stratalens.functions.scores import rule_score
 from stratalens.functions.text import truncate_lines
@@ -35,7 +35,7 @@ from stratalens.sources import projects as src
 from stratalens.sources.catalog import catalog, display_name, with_catalog
 from stratalens.sources.report import nested_reports, write_report
 from stratalens.sources.staging import staged_path
-from stratalens.sources.tables import order_records, project_files, source_texts
+from stratalens.sources.tables import order_records, project_files, source_texts, table
 from stratalens.streaming.scoring import file_stream, score_stream, write_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,7 +214,9 @@ def violation_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def antipattern_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze_antipatterns(fx.scored(spark, sf_dir)).projects
+    """Every customer's project, those without files included."""
+    projects = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"))
+    return analyze_antipatterns(fx.scored(spark, sf_dir), projects).projects
 
 
 def layer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,22 +401,13 @@ def fix_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels with the stated layer as expectation, labels without it as
     prediction: single-file prediction never sees the layer."""
-    files = project_files(spark, sf_dir)
-    blind = resolved_layer_without_layer()
-    return files.select(
-        F.when(F.col("layer") == "unknown", F.concat(F.lit("E-"), F.col("file_id")))
-        .otherwise(F.concat(F.lit("F-"), F.col("file_id"))).alias("name"),
-        "architecture_pattern",
-        rule_label().alias("expected"), rule_label(blind).alias("predicted"),
-    )
-
-
-def resolved_layer_without_layer() -> Column:
-    data = F.col("has_data_access")
-    return (
-        F.when(F.col("has_http_handling"), "controller")
-        .when((F.col("repository_deps") > 0) & data, "service")
-        .when(data, "repository").otherwise("service")
+    prefix = F.when(F.col("layer") == "unknown", "E-").otherwise("F-")
+    stated = project_files(spark, sf_dir).withColumns({
+        "name": F.concat(prefix, F.col("file_id")), "expected": rule_label(),
+    })
+    blind = stated.withColumn("layer", F.lit(None).cast("string"))
+    return blind.select(
+        "name", "architecture_pattern", "expected", rule_label().alias("predicted")
     )
 
 

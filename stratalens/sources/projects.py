@@ -13,6 +13,12 @@ from stratalens.schema import (
 NOT_NEGATIVE = [*SIZE_COLS, *DEPENDENCY_COLS]
 NO_FILES = "no files"
 
+# Defaults of a fix request.
+FIX_DEFAULTS = {
+    "architecture_pattern": "layered", "affected_layer": "unknown", "severity": "MEDIUM",
+    "description": "",
+}
+
 # Texts accepted as a truth value.
 TRUE_TEXTS = ["1", "true", "t", "yes", "y", "on"]
 FALSE_TEXTS = ["0", "false", "f", "no", "n", "off"]
@@ -48,9 +54,13 @@ def as_double(value: Column) -> Column:
 
 
 def with_defaults(df: DataFrame, kind: str = "file") -> DataFrame:
-    """Fill optional fields of a file record, or every field of a
-    quality-score record (``kind="quality"``); absent columns are added."""
-    if kind == "file":
+    """Fill optional fields of a file record, every field of a quality-score
+    record (``kind="quality"``) or those of a fix request (``kind="fix"``);
+    absent columns are added."""
+    if kind == "fix":
+        defaults = {c: F.lit(value) for c, value in FIX_DEFAULTS.items()}
+        defaults["files"] = F.array().cast("array<string>")
+    elif kind == "file":
         defaults = {"layer": F.lit("unknown"), "source_code": F.lit(None).cast("string")}
         defaults.update({c: F.lit(False) for c in OPTIONAL_SIGNAL_COLS})
     else:

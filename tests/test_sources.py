@@ -5,6 +5,7 @@ from helpers import files, record
 from pyspark.sql import functions as F
 
 from stratalens.operators import violations as v
+from stratalens.operators.evaluate import accuracy
 from stratalens.operators.fixes import fix_suggestions, with_files
 from stratalens.operators.models import feature_columns
 from stratalens.operators.parts import spread, with_file_seq
@@ -155,7 +156,20 @@ def test_spread_covers_every_part(spark):
         1: (1, 0, 1), 2: (1, 0, 1), 3: (2, 1, 2), 4: (4098, 4097, 4098)}
 
 
+def test_fix_request_defaults(spark):
+    asked = spark.createDataFrame([(1, 1, "broad_catch", 1)],
+                                  "project_id long, position long, type string, n_files long")
+    row = fix_suggestions(src.with_defaults(asked, "fix")).first()
+    assert (row["layer"], row["severity"], row["problem"]) == (
+        "unknown", "MEDIUM", TEXTS["broad_catch"][1])
+
+
 def test_empty_input(spark):
     none = score_files(files(spark, record()).filter("false"))
+    wanted = spark.createDataFrame([(4,)], "project_id long")
+    assert [tuple(r) for r in v.antipattern_summary(none, wanted).collect()] == [
+        (4, "unknown", 0, 0, "✅ No violations in 0 files")]
+    cases = spark.createDataFrame([], "expected string, predicted string")
+    assert accuracy(cases, "expected").count() == 0
     assert v.violation_details(none).count() == 0
     assert analyze_quality(none).projects.count() == 0
