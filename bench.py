@@ -13,7 +13,7 @@ import time
 from stratalens.queries import fixtures as fx
 from stratalens.queries.spark_queries import QUERIES
 from stratalens.session import SETTINGS, local_session
-from stratalens.sources.tables import project_files
+from stratalens.sources.tables import project_files, source_texts
 
 HEADLINE = [
     "file_scores", "rule_labels", "antipattern_inputs", "quality_inputs", "file_issues",
@@ -26,6 +26,7 @@ HEADLINE = [
 ]
 PREPARE = {
     "prepare_files": project_files,
+    "prepare_sources": source_texts,
     "prepare_scored": fx.scored,
     "prepare_verdict_replies": fx.verdict_replies,
     "prepare_clean_check_replies": fx.clean_check_replies,

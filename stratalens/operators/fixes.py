@@ -9,12 +9,6 @@ from stratalens.operators.review import one_reply
 from stratalens.schema import CLEAN
 from stratalens.sources.catalog import SCHEMA, fallback_entry, with_catalog
 
-FIX_COLS = [
-    "project_id", "position", "anti_pattern", "layer", "severity", "impact_points",
-    "problem", "recommendation", "n_files", "before_code", "after_code",
-    "ai_fix", "ai_powered",
-]
-
 
 def fix_suggestions(details: DataFrame, replies: DataFrame | None = None) -> DataFrame:
     """One row per violation. Layer and problem come from the detail, else

@@ -13,7 +13,7 @@ from stratalens.functions.text import CUT_MARKER
 from stratalens.operators import requests as rq
 from stratalens.operators import review as rv
 from stratalens.operators.parts import PART_FILES
-from stratalens.schema import DEPENDENCY_COLS, NUMERIC_COLS, SIGNAL_COLS
+from stratalens.schema import DEPENDENCY_COLS, SIGNAL_COLS
 from stratalens.sources.catalog import UNKNOWN_DESCRIPTION, UNKNOWN_RECOMMENDATION, rows
 
 NL = "chr(10)"

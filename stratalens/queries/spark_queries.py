@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stratalens.functions.features import (
     ANTIPATTERN_FEATURES, QUALITY_FEATURES, antipattern_features, quality_features,
-    violation_score,
 )
 from stratalens.functions.issues import derive_issues
 from stratalens.functions.layers import resolve_layer
@@ -24,15 +23,13 @@ from stratalens.operators import violations as v
 from stratalens.operators.parts import with_part
 from stratalens.operators.rules import classify_by_rules, rule_label
 from stratalens.plans.antipatterns import analyze_antipatterns
-from stratalens.plans.full import Replies, analyze_full, blended_files, review_findings
+from stratalens.plans.full import analyze_full, blended_files, review_findings
 from stratalens.plans.quality import analyze_quality, files_worst_first
 from stratalens.plans.scored import score_files
 from stratalens.queries import fixtures as fx
-from stratalens.schema import (
-    KEY, NUMERIC_COLS, OPTIONAL_SIGNAL_COLS, REQUIRED_COLS, SIGNAL_COLS, VERDICT_REPLY,
-)
+from stratalens.schema import KEY, OPTIONAL_SIGNAL_COLS, REQUIRED_COLS, VERDICT_REPLY
 from stratalens.sources import projects as src
-from stratalens.sources.catalog import catalog, display_name, with_catalog
+from stratalens.sources.catalog import catalog, display_name
 from stratalens.sources.report import nested_reports, write_report
 from stratalens.sources.staging import staged_path
 from stratalens.sources.tables import order_records, project_files, source_texts, table

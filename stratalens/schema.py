@@ -24,7 +24,6 @@ OPTIONAL_SIGNAL_COLS = ["uses_new_keyword", "has_broad_catch"]
 
 NUMERIC_COLS = ["architecture_confidence", *SIZE_COLS, *DEPENDENCY_COLS]
 REQUIRED_COLS = ["architecture_pattern", *NUMERIC_COLS, *SIGNAL_COLS]
-IDENTITY_COLS = ["project_id", "file_seq", "file_name", "file_path"]
 KEY = ["project_id", "file_seq"]
 
 # Defaults of the quality-score input; every other numeric
