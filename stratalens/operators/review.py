@@ -34,11 +34,18 @@ TEXTS = ["reasoning", "description", "recommendation", "before_code", "after_cod
 
 def one_reply(replies: DataFrame, *keys: str) -> DataFrame:
     """At most one reply per key; of several, the first in text order."""
-    if "part" in keys and "part" not in replies.columns:
-        replies = replies.withColumn("part", F.lit(0).cast("bigint"))
     return replies.groupBy(*keys).agg(F.min("reply").alias("reply"))
 
 
+def per_part(replies: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
+    """Replies by ``keys`` and part. A table without ``part`` speaks for every
+    part of its project or group; ``groups`` tell how far these reach."""
+    if "part" in replies.columns:
+        return replies
+    reach = groups.groupBy(*keys).agg(F.max("last_seq").alias("last_seq"))
+    return spread(one_reply(replies, *keys).join(reach, list(keys)), "last_seq").drop("last_seq")
+
+
 def project_state(groups: DataFrame) -> DataFrame:
     """Per project: whether any file has source, and whether review runs at
     all (source and at least one model finding)."""
@@ -81,7 +88,8 @@ def apply_verdicts(groups: DataFrame, verdicts: DataFrame | None) -> DataFrame:
             "is_valid": F.lit(True), "_read": F.lit(None).cast("boolean"), **blank,
         })
     else:
-        joined = groups.join(read_verdicts(verdicts), PART_GROUP, "left")
+        answers = read_verdicts(per_part(verdicts, groups, *GROUP))
+        joined = groups.join(answers, PART_GROUP, "left")
     backed = F.col("asked") & F.coalesce("_read", F.lit(False))
     severity = or_else(F.when(backed, F.col("severity")), F.col("catalog_severity"))
     texts = {c: F.when(backed, F.coalesce(c, F.lit(""))).otherwise("") for c in TEXTS[1:]}

@@ -17,7 +17,7 @@ from stratalens.operators.hybrid import (
 )
 from stratalens.operators.review import (
     apply_verdicts, clean_candidates, clean_files, discoveries, final_members, member_lists,
-    merge_discoveries, rejected_counts, reviewed_details, with_status,
+    merge_discoveries, per_part, rejected_counts, reviewed_details, with_status,
 )
 from stratalens.operators.rollups import (
     WORKING_COLS, layer_rollup, layer_sums, project_rollup, quality_summary, violation_summary,
@@ -117,7 +117,10 @@ def analyze_full(
     it is read more than once."""
     keep = staged if stage else (lambda df, name: df)
     review = review_findings(scored, replies, stage)
-    assessments = None if replies.assessments is None else read_assessments(replies.assessments)
+    assessments = None
+    if replies.assessments is not None:
+        assessments = read_assessments(
+            per_part(replies.assessments, review.verdict_groups, "project_id"))
     files = keep(blended_files(review, assessments), "files")
 
     sums = keep(layer_sums(files), "layer_sums")

@@ -511,7 +511,7 @@ def _quality_feature(name: str) -> str:
     value = special.get(name, size(name))
     if name in SIGNAL_COLS or value.startswith("(layer"):
         value = f"{value}::INT"
-    return f"round(CAST({value} AS DOUBLE), 9) AS {name}"
+    return f"CAST({value} AS DOUBLE) AS {name}"
 
 
 def _antipattern_feature(name: str) -> str:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stratalens.functions.features import (
-    ANTIPATTERN_FEATURES, QUALITY_FEATURES, antipattern_features, quality_features,
+    ANTIPATTERN_FEATURES, antipattern_features, quality_features,
 )
 from stratalens.functions.issues import derive_issues
 from stratalens.functions.layers import resolve_layer
@@ -135,8 +135,7 @@ def antipattern_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_features(project_files(spark, sf_dir), ["file_id"])
-    return rows.withColumns({c: F.round(c, 9) for c in QUALITY_FEATURES})
+    return quality_features(project_files(spark, sf_dir), ["file_id"])
 
 
 def file_issues(spark: SparkSession, sf_dir: str) -> DataFrame:

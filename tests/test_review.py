@@ -170,8 +170,12 @@ def tables(spark, rows: list[dict]):
     return scored, replies
 
 
-def outcome(spark, rows: list[dict], stage: bool = True) -> tuple:
+def outcome(spark, rows: list[dict], stage: bool = True, by_part: bool = True) -> tuple:
     scored, replies = tables(spark, rows)
+    if not by_part:
+        replies = replies._replace(
+            verdicts=replies.verdicts.drop("part").distinct(),
+            assessments=replies.assessments.drop("part").distinct())
     scored = scored.cache()
     report = analyze_full(scored, replies, stage=stage)
     found: dict[int, dict] = {}
@@ -213,8 +217,10 @@ def test_review_equals_walk(spark, seed):
     assert found == expected(scored, rows)
 
 
-def test_hot_project_in_many_parts(spark, monkeypatch):
-    """One project holds most files; parts of two files give the same report."""
+@pytest.mark.parametrize("by_part", [True, False])
+def test_hot_project_in_many_parts(spark, monkeypatch, by_part):
+    """One project holds most files; parts of two files give the same report,
+    with replies for each part or one reply for the whole."""
     rng = random.Random(9)
     rows = corpus(5, projects=4, size=4)
     rows = [r for r in rows if r["project_id"] != 1]
@@ -224,7 +230,7 @@ def test_hot_project_in_many_parts(spark, monkeypatch):
         for i in range(40)
     ]
     monkeypatch.setattr(parts, "PART_FILES", 2)
-    scored, found, _ = outcome(spark, rows)
+    scored, found, _ = outcome(spark, rows, by_part=by_part)
     want = expected(scored, rows)
     for pid in want:
         # Lists come part by part: model findings and discoveries of each part.
