@@ -7,21 +7,16 @@ executors, and it cuts the lineage.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Where none is set a local
-    session gets a temporary one; a cluster must name a shared one."""
+    """The folder named by ``spark.checkpoint.dir``, else the session's warehouse.
+    Both are places that the driver and all executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="stratalens-")
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def staged_path(spark: SparkSession, name: str) -> str:
