@@ -5,8 +5,9 @@ from __future__ import annotations
 import importlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratalens.llm import bpe
+from stratalens.llm import bpe, mixing, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +23,24 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(_table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(_table(spark, sf_dir, "documents"))
+
+
+def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(_table(spark, sf_dir, "documents"), shards=16)
+    return placed.withColumn("law", F.lit("key"))
+
+
 QUERIES = {
     "op3_bpe_codec": op3_bpe_codec,
+    "op6_source_mix": op6_source_mix,
+    "op7_secret_scan": op7_secret_scan,
+    "op9_jump_shards": op9_jump_shards,
 }
 
 ORACLE: dict[str, str] = {}
