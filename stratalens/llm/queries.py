@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import bpe, mixing, secrets, sharding
+from stratalens.llm import bpe, mixing, quality_rules, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +36,18 @@ def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("key"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.judged(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                       "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op3_bpe_codec": op3_bpe_codec,
     "op6_source_mix": op6_source_mix,
     "op7_secret_scan": op7_secret_scan,
     "op9_jump_shards": op9_jump_shards,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE: dict[str, str] = {}
