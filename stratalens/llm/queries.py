@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import bpe, mixing, quality_rules, secrets, sharding
+from stratalens.llm import bpe, fingerprints, mixing, quality_rules, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+def op1_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer())
 
@@ -43,6 +47,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_multiset_hash": op1_multiset_hash,
     "op3_bpe_codec": op3_bpe_codec,
     "op6_source_mix": op6_source_mix,
     "op7_secret_scan": op7_secret_scan,
