@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import bpe, fingerprints, mixing, quality_rules, secrets, sharding
+from stratalens.llm import bpe, fingerprints, line_templates, mixing, quality_rules, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_templates.dedup(_table(spark, sf_dir, "documents"), dropped="dropped_lines")
+    return rows.select("doc_id", F.size("dropped_lines").cast("bigint").alias("n_dropped"),
+                       F.array_join(F.col("dropped_lines").cast("array<string>"), ",").alias("dropped_lines"), "text")
+
+
 def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(_table(spark, sf_dir, "documents"), shards=16)
     return placed.withColumn("law", F.lit("key"))
@@ -51,6 +57,7 @@ QUERIES = {
     "op3_bpe_codec": op3_bpe_codec,
     "op6_source_mix": op6_source_mix,
     "op7_secret_scan": op7_secret_scan,
+    "op8_line_templates": op8_line_templates,
     "op9_jump_shards": op9_jump_shards,
     "op10_quality_rules": op10_quality_rules,
 }
