@@ -57,18 +57,46 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
 def attach(rows: DataFrame, small: DataFrame, keys: list[str], salt: Column) -> DataFrame:
     """Left join of a per-key table with null-safe keys, one row per key.
 
-    ``small`` must be a stored table. Up to BROADCAST_ROWS rows it is broadcast;
-    beyond, both sides are shuffled, with ``rows`` salted by ``salt`` and ``small``
-    repeated per salt, so that a hot key is met by SALTS tasks.
+    ``small`` must be a stored table. Up to BROADCAST_ROWS rows it is broadcast.
+    Beyond, it first meets the distinct (keys, salt) of ``rows``, at most SALTS per
+    key, and these meet the rows: no task gets all rows of a hot key.
     """
-    given = [c for c in small.columns if c not in keys]
-    right = small.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *given)
-    on = [rows[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(keys)]
+    right = small.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                         *[c for c in small.columns if c not in keys])
+    renamed = [f"_k{i}" for i in range(len(keys))]
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        joined = rows.join(F.broadcast(right), on, "left")
-    else:
-        spread = rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
-        right = right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        on = [spread[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(keys)]
-        joined = spread.join(right, [*on, spread["_salt"] == right["_s"]], "left").drop("_salt", "_s")
-    return joined.drop(*[f"_k{i}" for i in range(len(keys))])
+        right = F.broadcast(right)
+        return rows.join(right, [rows[k].eqNullSafe(right[r]) for k, r in zip(keys, renamed)], "left").drop(*renamed)
+    spread = rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
+    met = spread.select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(keys)], F.col("_salt").alias("_s")).distinct()
+    met = met.join(right, [met[f"_m{i}"].eqNullSafe(right[r]) for i, r in enumerate(renamed)]).drop(*renamed)
+    on = [spread[k].eqNullSafe(met[f"_m{i}"]) for i, k in enumerate(keys)]
+    return (spread.join(met, [*on, spread["_salt"] == met["_s"]], "left")
+            .drop("_salt", "_s", *[f"_m{i}" for i in range(len(keys))]))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for the nodes of the links (a, b): root is the least node reachable.
+
+    Large-star and small-star rounds until nothing changes. Each round is written down;
+    what comes to the driver is a count and a checksum.
+    """
+    edges = staged(links.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+                   .distinct(), "links")
+    seen = None
+    while True:
+        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("lo", "hi"))).first())
+        if now == seen:
+            break
+        seen = now
+        both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(
+            edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = (both.where("v > u").join(least, "u").where("m < v")
+                 .select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct())
+        large = staged(large, "large_star")
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(least, "hi").where("lo > m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
+        edges = staged(small.union(least.select(F.col("m").alias("lo"), "hi")).distinct(), "small_star")
+    roots = edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
+    return roots.union(edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")))

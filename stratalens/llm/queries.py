@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import bpe, fingerprints, line_templates, mixing, quality_rules, secrets, sharding
+from stratalens.llm import bpe, fingerprints, line_templates, mixing, quality_rules, secrets, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op5_simhash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(_table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_multiset_hash": op1_multiset_hash,
     "op3_bpe_codec": op3_bpe_codec,
+    "op5_simhash_grid": op5_simhash_grid,
     "op6_source_mix": op6_source_mix,
     "op7_secret_scan": op7_secret_scan,
     "op8_line_templates": op8_line_templates,
