@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import bpe, fingerprints, line_templates, mixing, quality_rules, secrets, sharding, simhash
+from stratalens.llm import bpe, fingerprints, line_templates, mixing, quality_rules, ranking, secrets, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,20 @@ def op1_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(_table(spark, sf_dir, "documents"))
 
 
+def op2_pairwise_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op4_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+                        "urlkey", "timestamp", "part", "place")
+
+
 def op5_simhash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(_table(spark, sf_dir, "documents"))
 
@@ -58,7 +68,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_multiset_hash": op1_multiset_hash,
+    "op2_pairwise_ranking": op2_pairwise_ranking,
     "op3_bpe_codec": op3_bpe_codec,
+    "op4_warc_merge": op4_warc_merge,
     "op5_simhash_grid": op5_simhash_grid,
     "op6_source_mix": op6_source_mix,
     "op7_secret_scan": op7_secret_scan,
