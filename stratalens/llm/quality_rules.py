@@ -32,7 +32,7 @@ SYMBOLS = r"[#*$%&|<>]+"
 
 #: Shares that the rules look at, with their least spread.
 LEAST_SPREAD = {"symbol_share": 300, "upper_share": 500, "dup_line_share": 1500,
-                "repeat_share": 700, "word_length": 10_000}
+                "repeat_share": 1300, "word_length": 10_000}
 REACH = 3
 FEW = 100
 #: Values below 2**DIGITS have buckets of their own, larger ones keep so many leading bits.
