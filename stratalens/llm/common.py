@@ -34,6 +34,13 @@ def with_row(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def given(df: DataFrame) -> DataFrame:
+    """Each row as one struct ``_given``, so that no column of it can clash with a working
+    one, and its number ``_row`` (see ``with_row``)."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return with_row(df.select(whole.alias("_given")), "_row")
+
+
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """Add ``name``: the 0-based place in ``order`` among all rows.
 

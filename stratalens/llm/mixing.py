@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import attach, numbered, text_of, with_row, words
+from stratalens.llm.common import attach, given, numbered, text_of, words
 from stratalens.sources.staging import staged
 
 # Weights of the sources in order, and the most that a target may be.
@@ -129,8 +129,9 @@ def plan(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``df``, each as often as the plan takes it. ``df`` must be a stored
     table, for its rows are numbered in two reads."""
-    rows = with_row(df, "_row")
-    taken = plan(rows, key, text, source, also=("_row",)).where("times > 0").select("_row", "times")
-    repeated = rows.join(taken, "_row").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
-    return repeated.select(*df.columns)
+    rows = given(df)
+    read = rows.select("_row", *[F.col("_given")[c].alias(n) for c, n in
+                                 ((key, "doc_id"), (text, "text"), (source, "source"))])
+    taken = plan(read, also=("_row",)).where("times > 0").select("_row", "times")
+    return rows.join(taken, "_row").select(
+        "_given", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select("_given.*")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import attach, text_of, with_row, words
+from stratalens.llm.common import attach, given, text_of, words
 from stratalens.llm.shingles import hashed_windows, repeated_units, shifted_left, shifted_right
 from stratalens.sources.staging import staged
 
@@ -146,6 +146,8 @@ def judged(df: DataFrame, text: str = "text", lang: str = "lang", source: str =
 def filter_rows(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``df`` that pass. ``df`` must be a stored table, for its rows are
     numbered in two reads."""
-    rows = with_row(df, "_row")
-    good = judged(rows, text, lang, source, also=("_row",)).where("kept").select("_row")
-    return rows.join(good, "_row").select(*df.columns)
+    rows = given(df)
+    read = rows.select("_row", *[F.col("_given")[c].alias(n) for c, n in
+                                 ((text, "text"), (lang, "lang"), (source, "source"))])
+    good = judged(read, also=("_row",)).where("kept").select("_row")
+    return rows.join(good, "_row").select("_given.*")

@@ -7,7 +7,9 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import bpe, fingerprints, line_templates, mixing, quality_rules, ranking, secrets, sharding, simhash, warc
+from stratalens.llm import (
+    bpe, fingerprints, line_templates, mixing, oracles, quality_rules, ranking, secrets, sharding, simhash, warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +35,7 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.round_trip(_table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
-                        "urlkey", "timestamp", "part", "place")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_simhash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +80,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op4_warc_merge": oracles.WARC,
+    "op10_quality_rules": oracles.QUALITY_RULES,
+}

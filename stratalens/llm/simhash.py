@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalens.llm.common import attach, components, with_row
+from stratalens.llm.common import attach, components, given
 from stratalens.sources.staging import staged
 
 # The seed of the shingle hash, and the bits in which linked fingerprints may differ.
@@ -230,6 +230,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, text: str, width: int, least: f
 def dedup(df: DataFrame, text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``df`` without near copies: of each group the first row in stored order
     stays. ``df`` must be a stored table, for its rows are numbered in several reads."""
-    rows = with_row(df, "_row")
-    gone = near_copies(rows, text, width, least).where("_row <> _root").select("_row")
-    return rows.join(gone, "_row", "left_anti").select(*df.columns)
+    rows = given(df)
+    read = rows.select("_row", F.col("_given")[text].alias("text"))
+    gone = near_copies(read, "text", width, least).where("_row <> _root").select("_row")
+    return rows.join(gone, "_row", "left_anti").select("_given.*")
