@@ -24,7 +24,7 @@ from stratalens.llm.common import numbered, text_of, with_row, words
 from stratalens.llm.shingles import bit_counts, bit_sums
 from stratalens.sources.staging import staged
 
-EXACT, LANES = 8, 128
+EXACT, LANES = 8, 64
 EXACT_MASK, LANE_MASK, LANE_SIGN = (1 << 32) - 1, (1 << 16) - 1, 1 << 15
 
 
@@ -48,8 +48,8 @@ def _hex(value: Column, digits: int) -> Column:
 
 
 def vectors(rows: DataFrame, by: list[str], body: str) -> DataFrame:
-    """Per row of ``by`` (unique, and partitioned by a part of it where possible): the
-    fingerprint as a string, and its likeness lanes as an array of signed numbers."""
+    """Per row of ``by`` (unique, and partitioned by a part of it where possible): the exact
+    lanes as bytes, and the likeness lanes as an array of signed numbers."""
     parts = rows.select(*by, paragraphs(F.col(body)).alias("_parts"))
     # the exact lanes ride along as one grouping key: they are known per row
     parts = parts.select(*by, "_parts", F.concat(*[_hex(x, 8) for x in exact_lanes(F.col("_parts"))]).alias("_exact"))
@@ -59,15 +59,17 @@ def vectors(rows: DataFrame, by: list[str], body: str) -> DataFrame:
     pairs = pairs.select(*by, "_exact", F.explode_outer(
         F.arrays_zip(F.col("_u").alias("a"), F.slice("_u", 2, F.greatest(F.size("_u"), F.lit(1))).alias("b"))).alias("_p"))
     there = F.col("_p").isNotNull()
-    hashed = pairs.select(*by, "_exact", F.when(there, F.xxhash64("_p")).alias("_h"),
-                          F.when(there, F.xxhash64("_p", F.lit(1))).alias("_g"))
-    sums = hashed.groupBy(*by, "_exact").agg(F.count("_h").alias("_n"), *bit_sums("_h", "_x"), *bit_sums("_g", "_y"))
-    signed = [c * 2 - F.col("_n") for c in bit_counts("_x") + bit_counts("_y")]
-    lanes = F.transform(F.array(*signed), lambda s: s.bitwiseAND(F.lit(LANE_MASK)))
-    made = sums.select(*by, "_exact", lanes.alias("_l"))
-    text = F.concat("_exact", F.array_join(F.transform("_l", lambda x: _hex(x, 4)), ""))
-    return made.select(*by, text.alias("fingerprint"), F.transform(
-        "_l", lambda x: (x.bitwiseXOR(F.lit(LANE_SIGN)) - LANE_SIGN).cast("int")).alias("lanes"))
+    hashed = pairs.select(*by, "_exact", F.when(there, F.xxhash64("_p")).alias("_h"))
+    sums = hashed.groupBy(*by, "_exact").agg(F.count("_h").alias("_n"), *bit_sums("_h", "_x"))
+    signed = [(c * 2 - F.col("_n")).bitwiseAND(F.lit(LANE_MASK)) for c in bit_counts("_x")]
+    lanes = F.array(*[(s.bitwiseXOR(F.lit(LANE_SIGN)) - LANE_SIGN).cast("smallint") for s in signed])
+    return sums.select(*by, F.unhex("_exact").alias("exact"), lanes.alias("lanes"))
+
+
+def shown(exact: str, lanes: str) -> Column:
+    """The fingerprint as a string: all lanes in hexadecimal."""
+    each = F.transform(lanes, lambda x: _hex(x.cast("bigint").bitwiseAND(F.lit(LANE_MASK)), 4))
+    return F.concat(F.lower(F.hex(exact)), F.array_join(each, ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -92,7 +94,7 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
 def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key and fingerprint. ``df`` must be a stored table."""
     rows = with_row(df.select(key, text), "_row").select("_row", key, text_of(text).alias("_body"))
-    return vectors(rows, ["_row", key], "_body").select(key, "fingerprint")
+    return vectors(rows, ["_row", key], "_body").select(key, shown("exact", "lanes").alias("fingerprint"))
 
 
 def edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -114,15 +116,19 @@ def edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     both = texts.join(heads, "_row")
     kept = F.substring("_body", F.lit(1), F.expr("cast(n_chars - n_chars div 2 as int)"))
     both = both.select("_row", "_next", "_id", "n_chars", "_body", F.concat(kept, "_head").alias("_edit"))
-    forms = both.select("_row", "_next", "_id", "n_chars", F.sha2("_edit", 256).alias("_sha"), F.explode(F.array(
+    forms = both.select("_row", "_next", "_id", "n_chars", F.unhex(F.sha2("_edit", 256)).alias("_sha"), F.explode(F.array(
         F.struct(F.lit(0).alias("form"), F.col("_body").alias("body")),
         F.struct(F.lit(1).alias("form"), F.col("_edit").alias("body")))).alias("_f"))
     forms = forms.select("_row", "_next", "_id", "n_chars", "_sha", F.col("_f.form").alias("_form"), F.col("_f.body").alias("_body"))
-    made = staged(vectors(forms, ["_row", "_next", "_id", "n_chars", "_sha", "_form"], "_body"), "vectors")
-    own = made.where("_form = 0")
-    edit = made.where("_form = 1").select("_row", F.col("fingerprint").alias("edited_fingerprint"), F.col("lanes").alias("_e"))
-    after = own.select(F.col("_row").alias("_next"), F.col("lanes").alias("_a"))
-    out = own.join(edit, "_row").join(after, "_next")
-    return out.select(F.col("_id").alias(key), "n_chars", F.col("_sha").alias("edited_sha256"), "fingerprint",
-                      "edited_fingerprint", likeness(F.col("lanes"), F.col("_e")).alias("near_edited"),
-                      likeness(F.col("lanes"), F.col("_a")).alias("near_next"))
+    by = ["_row", "_next", "_id", "n_chars", "_sha"]
+    made = vectors(forms, [*by, "_form"], "_body")
+    # both forms of a row are in one task already; lanes stay numbers until the end
+    form = lambda n, c: F.first(F.when(F.col("_form") == n, F.col(c)), ignorenulls=True)
+    made = staged(made.groupBy(*by).agg(form(0, "exact").alias("_x"), form(0, "lanes").alias("_l"),
+                                        form(1, "exact").alias("_ex"), form(1, "lanes").alias("_el")), "vectors")
+    after = made.select(F.col("_row").alias("_next"), F.col("_l").alias("_a"))
+    out = made.join(after, "_next")
+    return out.select(F.col("_id").alias(key), "n_chars", F.lower(F.hex("_sha")).alias("edited_sha256"),
+                      shown("_x", "_l").alias("fingerprint"), shown("_ex", "_el").alias("edited_fingerprint"),
+                      likeness(F.col("_l"), F.col("_el")).alias("near_edited"),
+                      likeness(F.col("_l"), F.col("_a")).alias("near_next"))
