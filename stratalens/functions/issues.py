@@ -50,7 +50,11 @@ def _text(name: str) -> Column:
     if name not in _MEASURED:
         return F.lit(text)
     before, after = text.split("{n}")
-    return F.concat(F.lit(before), F.col(_MEASURED[name]).cast("bigint").cast("string"), F.lit(after))
+    value = F.col(_MEASURED[name])
+    # beyond 2**53 every double is whole, and BIGINT may not hold it
+    whole = F.when(F.abs(value) < float(1 << 53), value.cast("bigint").cast("string")).otherwise(
+        F.format_string("%.0f", value))
+    return F.concat(F.lit(before), whole, F.lit(after))
 
 
 def issues() -> Column:

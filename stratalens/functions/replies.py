@@ -44,16 +44,19 @@ def _is_object(text: Column) -> Column:
 
 
 def with_object(df: DataFrame, clean: Callable[[Column], Column] = without_outer_fence) -> DataFrame:
-    """Add ``obj``, the JSON object in ``reply``: the cleaned text itself,
-    else the span from its first to its last brace, else null.
+    """Add ``obj``, the JSON object in ``reply``: the cleaned text itself; where
+    that is no JSON at all, the span from its first to its last brace; else
+    null. An object inside a list is not read.
 
     Generating the single value keeps later filters above this step. Pushed
     below it, each mention of ``obj`` would read the reply text again.
     """
     text = F.col("_text")
-    # Only looked at where the whole text is no object.
+    # Only looked at where the whole text is no JSON.
     span = F.regexp_extract(text, "(?s)\\{.*\\}", 0)
-    obj = F.when(_is_object(text), text).when(_is_object(span), span)
+    is_json = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    other_json = F.coalesce(is_json, F.lit(False)) & F.try_parse_json(text).isNotNull()
+    obj = F.when(_is_object(text), text).when(~other_json & _is_object(span), span)
     return (
         df.withColumn("_text", clean(F.col("reply")))
         .select(*df.columns, F.explode_outer(F.array(obj)).alias("obj"))

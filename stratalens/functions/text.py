@@ -38,8 +38,10 @@ def truncate_lines(code: Column, max_lines: int = 300) -> Column:
 
 
 def title_name(key: Column) -> Column:
-    """Readable form of a key that has no catalogue entry."""
-    return F.initcap(F.replace(key, F.lit("_"), F.lit(" ")))
+    """Readable form of a key that has no catalogue entry: every run of
+    letters begins with a capital."""
+    runs = F.regexp_extract_all(F.replace(key, F.lit("_"), F.lit(" ")), F.lit("\\p{L}+|\\P{L}+"), 0)
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def or_else(value: Column, other: Column) -> Column:

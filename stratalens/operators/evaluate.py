@@ -84,18 +84,28 @@ def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def file_transitions(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per file: labels and scores of both runs and the kind of change."""
-    old = before.select(*KEY, "file_name", F.col("type").alias("type_before"),
+    """Per file path: labels and scores of both runs and the kind of change.
+    A file that only one run has is ``added`` or ``removed``; its other side
+    and its score change are null. ``file_seq`` and ``file_name`` are those of
+    the run before, else of the run after."""
+    old = before.select("project_id", "file_path", F.col("file_seq").alias("_seq"),
+                        F.col("file_name").alias("_name"), F.col("type").alias("type_before"),
                         F.col("quality_score").alias("score_before"))
-    new = after.select(*KEY, F.col("type").alias("type_after"),
-                       F.col("quality_score").alias("score_after"))
+    new = after.select("project_id", "file_path", *[F.col(c) for c in ("file_seq", "file_name")],
+                       F.col("type").alias("type_after"), F.col("quality_score").alias("score_after"))
     was, now = F.col("type_before") == CLEAN, F.col("type_after") == CLEAN
     kind = (
-        F.when(was & now, "clean").when(~was & now, "fixed")
+        F.when(F.col("type_before").isNull(), "added").when(F.col("type_after").isNull(), "removed")
+        .when(was & now, "clean").when(~was & now, "fixed")
         .when(was & ~now, "regression").otherwise("changed")
     )
     delta = round_exact(F.col("score_after") - F.col("score_before"), 1)
-    return old.join(new, KEY).withColumns({"transition": kind, "score_delta": delta})
+    joined = old.join(new, ["project_id", "file_path"], "full")
+    return joined.select(
+        "project_id", F.coalesce("_seq", "file_seq").alias("file_seq"),
+        F.coalesce("_name", "file_name").alias("file_name"), "type_before", "score_before",
+        "type_after", "score_after", kind.alias("transition"), delta.alias("score_delta"),
+    )
 
 
 def quality_metrics(df: DataFrame, label: str = "label", score: str = "quality_score") -> DataFrame:

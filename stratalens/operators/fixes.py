@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stratalens.functions.text import or_else
-from stratalens.operators.review import one_reply
 from stratalens.schema import CLEAN
 from stratalens.sources.catalog import SCHEMA, fallback_entry, with_catalog
 
@@ -27,7 +26,10 @@ def fix_suggestions(details: DataFrame, replies: DataFrame | None = None) -> Dat
     if replies is None:
         joined = known.withColumn("reply", F.lit(None).cast("string"))
     else:
-        joined = known.join(one_reply(replies, "project_id", "type"), ["project_id", "type"], "left")
+        # of several, the first that says anything, in text order
+        told = replies.filter(F.length(F.coalesce("reply", F.lit(""))) > 0)
+        told = told.groupBy("project_id", "type").agg(F.min("reply").alias("reply"))
+        joined = known.join(told, ["project_id", "type"], "left")
     reply = F.coalesce("reply", F.lit(""))
     return joined.select(
         "project_id", "position",

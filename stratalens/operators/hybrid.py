@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stratalens.functions.numeric import clip, round_exact
 from stratalens.functions.replies import with_assessment
-from stratalens.operators.parts import spread
-from stratalens.operators.review import one_reply
+from stratalens.operators.review import first_readable, per_part, reply_keys
 from stratalens.schema import KEY
 
 # Blend weights, penalties by severity and bonuses.
@@ -27,38 +26,59 @@ def penalty(severity: Column) -> Column:
     return chain.otherwise(0)
 
 
-def read_assessments(replies: DataFrame) -> DataFrame:
-    """Readable assessments, one per (project, part)."""
-    parsed = with_assessment(one_reply(replies, "project_id", "part"))
-    return parsed.filter(F.col("assessment").isNotNull()).select(
-        "project_id", "part", "assessment.*"
+def read_assessments(replies: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Readable assessments, one per (project, part). A table without ``part``
+    speaks for all parts that ``groups`` (part groups) reach."""
+    read = first_readable(with_assessment(replies), reply_keys(replies, "project_id"), "assessment")
+    read = read.select(*[c for c in read.columns if c != "assessment"], "assessment.*")
+    return read if groups is None else per_part(read, groups, "project_id")
+
+
+def project_assessments(assessments: DataFrame, part_sizes: DataFrame | None = None) -> DataFrame:
+    """Assessment of each project from all its readable parts: texts in part
+    order, and the mean of the overall scores, weighted by the files of the
+    part (``part_sizes``: project_id, part, n_files). One part stands as it is."""
+    score = F.col("overall_score").try_cast("double")
+    sized = assessments.withColumns({"_score": score, "n_files": F.lit(1)}) if part_sizes is None else (
+        assessments.withColumn("_score", score).join(part_sizes, ["project_id", "part"]))
+    scored = F.when(F.col("_score").isNotNull(), F.col("n_files"))
+    fields = ["part", "reasoning", "strengths", "improvements"]
+    # one entry per part of the project
+    parts = sized.groupBy("project_id").agg(
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("_parts"),
+        F.count("_score").alias("_n"), F.min("_score").alias("_only"),
+        (F.sum(F.col("_score") * F.col("n_files")) / F.sum(scored)).alias("_mean"),
     )
 
+    def texts(name: str) -> Column:
+        return F.flatten(F.filter(F.transform("_parts", lambda p: p[name]), lambda x: x.isNotNull()))
 
-def first_assessments(assessments: DataFrame) -> DataFrame:
-    """Texts and overall score of each project, from its first readable part."""
-    fields = ["part", "overall_score", "reasoning", "strengths", "improvements"]
-    first = assessments.groupBy("project_id").agg(F.min_by(F.struct(*fields), "part").alias("_a"))
-    return first.select("project_id", "_a.*")
+    return parts.select(
+        "project_id", F.when(F.col("_n") == 1, F.col("_only")).otherwise(F.col("_mean")).alias("overall_score"),
+        F.array_join(F.filter(F.transform("_parts", lambda p: p["reasoning"]), lambda x: x.isNotNull()), "\n")
+        .alias("reasoning"),
+        texts("strengths").alias("strengths"), texts("improvements").alias("improvements"),
+    )
 
 
 def reply_scores(assessments: DataFrame) -> DataFrame:
-    """Reply score per file name; ``reply_score`` is null where the reply
-    gives no number."""
-    return assessments.select(
-        "project_id", "part", F.explode("file_scores").alias("file_name", "_score")
-    ).select(
-        *NAME_KEY, F.col("_score").try_cast("double").alias("reply_score"),
-        F.lit(True).alias("has_reply_score"),
+    """Reply score per file name, one row each; ``reply_score`` is null where
+    the reply gives no number. Of a name given twice the last entry counts."""
+    entries = assessments.select(
+        "project_id", "part", F.posexplode(F.map_entries("file_scores")).alias("_at", "_entry")
+    ).select("project_id", "part", F.col("_entry.key").alias("file_name"), "_at",
+             F.col("_entry.value").try_cast("double").alias("_score"))
+    return entries.groupBy(*NAME_KEY).agg(
+        F.max_by("_score", "_at").alias("reply_score"), F.lit(True).alias("has_reply_score"),
     )
 
 
 def file_findings(found: DataFrame, details: DataFrame) -> DataFrame:
-    """Penalties and findings added to files by discoveries."""
-    severities = spread(details.select("project_id", "type", "severity", "last_seq"), "last_seq")
-    rows = found.select(*KEY, "part", "type").join(
-        severities.drop("last_seq"), ["project_id", "type", "part"]
-    )
+    """Penalties and findings added to files by discoveries. Severities go to
+    the (project, type, part) that have a discovery, not to all parts."""
+    asked = found.select("project_id", "type", "part").distinct()
+    severities = asked.join(details.select("project_id", "type", "severity"), ["project_id", "type"])
+    rows = found.select(*KEY, "part", "type").join(severities, ["project_id", "type", "part"])
     return rows.groupBy(*KEY, "part").agg(
         F.sum(penalty(F.col("severity"))).alias("found_penalty"),
         F.sort_array(F.collect_set(F.struct("type", "severity"))).alias("found"),

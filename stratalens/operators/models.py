@@ -83,21 +83,26 @@ def predict_antipattern(files: DataFrame, model: PipelineModel) -> DataFrame:
 
 def fit_quality(
     files: DataFrame, label: str = "label", trees: int = 20, depth: int = 5, seed: int = 7,
+    names: list[str] | None = None,
 ) -> PipelineModel:
-    """Boosted trees over the 33 regressor inputs."""
+    """Boosted trees over the 33 regressor inputs, or those of ``names`` in
+    that order."""
     assemble = VectorAssembler(
-        inputCols=[f"{_IN}{c}" for c in QUALITY_FEATURES], outputCol="features"
+        inputCols=[f"{_IN}{c}" for c in names or QUALITY_FEATURES], outputCol="features"
     )
     boosted = GBTRegressor(
         labelCol=label, featuresCol="features", predictionCol="raw_score",
         maxIter=trees, maxDepth=depth, seed=seed,
     )
-    return Pipeline(stages=[assemble, boosted]).fit(regressor_inputs(files))
+    return Pipeline(stages=[assemble, boosted]).fit(regressor_inputs(files, names))
 
 
-def predict_quality(files: DataFrame, model: PipelineModel) -> DataFrame:
-    """Add ``quality_score``: the prediction limited to 0..100, one decimal."""
-    scored = model.transform(regressor_inputs(files))
+def predict_quality(
+    files: DataFrame, model: PipelineModel, names: list[str] | None = None,
+) -> DataFrame:
+    """Add ``quality_score``: the prediction limited to 0..100, one decimal.
+    ``names`` is the feature list of the model's metadata."""
+    scored = model.transform(regressor_inputs(files, names))
     return scored.select(*files.columns, clip_score(F.col("raw_score")).alias("quality_score"))
 
 
@@ -113,6 +118,12 @@ def hash_split(df: DataFrame, *keys: str, test_share: int = 20) -> tuple[DataFra
     return df.filter(bucket >= test_share), df.filter(bucket < test_share)
 
 
+def mod_split(df: DataFrame, key: str, one_in: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows by a whole-number key, as any engine can do it."""
+    held = F.col(key) % one_in == 0
+    return df.filter(~held), df.filter(held)
+
+
 def save_models(path: str, classifier: PipelineModel, regressor: PipelineModel) -> None:
     classifier.write().overwrite().save(f"{path}/antipattern")
     regressor.write().overwrite().save(f"{path}/quality")

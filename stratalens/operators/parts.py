@@ -24,14 +24,6 @@ def with_part(df: DataFrame) -> DataFrame:
     return df.withColumn("part", part_of(F.col("file_seq")))
 
 
-def co_located(df: DataFrame) -> DataFrame:
-    """Place file rows by (project, part) once, for the several joins that
-    follow on those two keys and others. Only where the session lets a join
-    use a partitioning by some of its keys; else each join places its own."""
-    needs_all = df.sparkSession.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
-    return df if needs_all == "true" else df.repartition(*PLACE)
-
-
 def spread(per_project: DataFrame, last_seq: str) -> DataFrame:
     """One copy of a project-level row for each part of the project, for
     joining onto file-level rows by ``(project_id, part)``. Two explodes, so

@@ -15,7 +15,7 @@ from stratalens.operators.hybrid import PENALTIES
 from stratalens.operators.parts import PLACE, spread, with_part
 from stratalens.operators.review import rejected_counts
 from stratalens.operators.violations import (
-    PART_GROUP, first_architecture, mean_confidence, per_architecture, project_architectures,
+    GROUP, PART_GROUP, first_architecture, mean_confidence, per_architecture, project_architectures,
 )
 from stratalens.schema import CLEAN, KEY
 from stratalens.sources.catalog import with_catalog
@@ -41,7 +41,7 @@ ASSESSMENT_FORMAT = (
 )
 GUIDE = "Guide: " + ", ".join(f"{name} about -{points}" for name, points in PENALTIES.items())
 
-# Short names a recheck may report.
+# Short names a recheck may report.
 SHORT_NAMES = (
     "no_validation, layer_skip, missing_transaction, business_logic_in_controller, "
     "reversed_dependency, tight_coupling, broad_catch"
@@ -79,10 +79,16 @@ def validation_requests(
     """One request per reviewed (project, type, part): what was predicted and
     the source of every affected file of the part."""
     architectures = spread(project_architectures(scored), "last_seq").drop("last_seq")
-    asked = verdict_groups.filter("asked").join(architectures, PLACE).select(
+    # the head shows the whole group, whatever part the request covers
+    whole = verdict_groups.groupBy(*GROUP).agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("layers")))).alias("layers"),
+        mean_confidence(F.sum("confidence_total"), F.sum("n_files")).alias("confidence"),
+    )
+    asked = verdict_groups.filter("asked").drop("layers", "confidence").join(architectures, PLACE).join(
+        whole, GROUP
+    ).select(
         *PART_GROUP, "architecture_pattern", "catalog_display_name", "catalog_severity",
-        "catalog_description", "layers",
-        mean_confidence(F.col("confidence_total"), F.col("n_files")).alias("confidence"),
+        "catalog_description", "layers", "confidence",
     )
     members = with_part(scored.filter(F.col("type") != CLEAN)).select(*KEY, "type", "part")
     texts = members.join(source_sections(sources, max_lines), KEY)
@@ -137,15 +143,12 @@ def clean_check_requests(
 
 def model_overall(scored: DataFrame) -> DataFrame:
     """Mean model score per project over distinct file names, of which the
-    last file counts. Position and score travel as one number: the score has
-    at most 1000 tenths."""
-    tenths = F.rint(F.col("quality_score") * 10).cast("bigint")
+    last file counts."""
     by_name = scored.groupBy("project_id", "file_name").agg(
-        F.max(F.col("file_seq") * 1024 + tenths).alias("_last")
+        F.max_by("quality_score", "file_seq").alias("_score")
     )
-    score = (F.col("_last") % 1024) / F.lit(10.0)
     return by_name.groupBy("project_id").agg(
-        exact_mean(exact_sum(score, SCORE_BITS), F.count(F.lit(1)), SCORE_BITS)
+        exact_mean(exact_sum(F.col("_score"), SCORE_BITS), F.count(F.lit(1)), SCORE_BITS)
         .alias("model_overall")
     )
 

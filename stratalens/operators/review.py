@@ -6,22 +6,24 @@ Every reply is optional; a missing or unreadable one leaves the model's own
 result in place.
 
 A group is reviewed per part (see ``operators.parts``); a verdict speaks for
-the files of its part. Ordinary projects have one part, so one verdict.
+the files of its part. Ordinary projects have one part, so one verdict. Where
+a group has several, its detail row has the worst severity and the texts of
+all kept parts, and the type counts as rejected only if no part keeps it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stratalens.functions.numeric import SHARE_BITS, exact_sum
 from stratalens.functions.replies import parse_reply, truthy, with_object
 from stratalens.functions.text import or_else
-from stratalens.operators.parts import PLACE, co_located, spread, with_part
+from stratalens.operators.parts import PLACE, spread, with_part
 from stratalens.operators.violations import (
     GROUP, PART_GROUP, detail_order, mean_confidence,
 )
 from stratalens.schema import CLEAN, CLEAN_CHECK_REPLY, KEY, VERDICT_REPLY
-from stratalens.sources.catalog import with_catalog
+from stratalens.sources.catalog import severity_rank, with_catalog
 
 # Fixed value: clean files below this confidence are checked again.
 RECHECK_BELOW = 0.70
@@ -32,18 +34,26 @@ NO_SOURCE_REASON = "No source to review"
 TEXTS = ["reasoning", "description", "recommendation", "before_code", "after_code"]
 
 
-def one_reply(replies: DataFrame, *keys: str) -> DataFrame:
-    """At most one reply per key; of several, the first in text order."""
-    return replies.groupBy(*keys).agg(F.min("reply").alias("reply"))
+def first_readable(read: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per key the value read from the first readable reply in text order.
+    Unreadable replies, whose value is null, never displace a readable one."""
+    return read.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.min_by(value, "reply").alias(value)
+    )
+
+
+def reply_keys(replies: DataFrame, *keys: str) -> list[str]:
+    """The keys of a reply table, with its part where it has one."""
+    return [*keys, *[c for c in ("part",) if c in replies.columns]]
 
 
-def per_part(replies: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
-    """Replies by ``keys`` and part. A table without ``part`` speaks for every
+def per_part(read: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
+    """Rows by ``keys`` and part. A table without ``part`` speaks for every
     part of its project or group; ``groups`` tell how far these reach."""
-    if "part" in replies.columns:
-        return replies
+    if "part" in read.columns:
+        return read
     reach = groups.groupBy(*keys).agg(F.max("last_seq").alias("last_seq"))
-    return spread(one_reply(replies, *keys).join(reach, list(keys)), "last_seq").drop("last_seq")
+    return spread(read.join(reach, list(keys)), "last_seq").drop("last_seq")
 
 
 def project_state(groups: DataFrame) -> DataFrame:
@@ -64,11 +74,12 @@ def with_project_state(groups: DataFrame) -> DataFrame:
 
 
 def read_verdicts(replies: DataFrame) -> DataFrame:
-    """Fields of the readable verdicts."""
-    read = with_object(one_reply(replies, *PART_GROUP)).filter(F.col("obj").isNotNull())
+    """Fields of the readable verdicts, one per key."""
+    keys = reply_keys(replies, *GROUP)
+    read = first_readable(with_object(replies), keys, "obj")
     fields = read.withColumn("_reply", parse_reply(F.col("obj"), VERDICT_REPLY))
     return fields.select(
-        *PART_GROUP,
+        *keys,
         truthy(F.col("obj"), "is_valid", absent=True).alias("is_valid"),
         *[F.col("_reply")[c].alias(c) for c in (*TEXTS, "severity")],
         F.lit(True).alias("_read"),
@@ -88,7 +99,7 @@ def apply_verdicts(groups: DataFrame, verdicts: DataFrame | None) -> DataFrame:
             "is_valid": F.lit(True), "_read": F.lit(None).cast("boolean"), **blank,
         })
     else:
-        answers = read_verdicts(per_part(verdicts, groups, *GROUP))
+        answers = per_part(read_verdicts(verdicts), groups, *GROUP)
         joined = groups.join(answers, PART_GROUP, "left")
     backed = F.col("asked") & F.coalesce("_read", F.lit(False))
     severity = or_else(F.when(backed, F.col("severity")), F.col("catalog_severity"))
@@ -115,7 +126,7 @@ def with_status(scored: DataFrame, verdicts_applied: DataFrame) -> DataFrame:
     """File rows with the verdict on their group. At most one part's files
     share a join key."""
     status = verdicts_applied.select(*PART_GROUP, *STATUS_COLS)
-    return co_located(with_part(scored)).join(status, PART_GROUP)
+    return with_part(scored).join(status, PART_GROUP)
 
 
 def false_positives(status: DataFrame) -> DataFrame:
@@ -123,10 +134,11 @@ def false_positives(status: DataFrame) -> DataFrame:
 
 
 def rejected_counts(verdicts_applied: DataFrame) -> DataFrame:
-    """Rejected groups per project; a group rejected in several parts counts
-    once."""
-    groups = false_positives(verdicts_applied).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_rejected"))
+    """Rejected types per project: a type counts when no part keeps it."""
+    groups = verdicts_applied.groupBy(*GROUP).agg(F.max("is_valid").alias("_kept"))
+    return groups.filter(~F.col("_kept")).groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("n_rejected")
+    )
 
 
 def clean_candidates(status: DataFrame, below: float = RECHECK_BELOW) -> DataFrame:
@@ -141,12 +153,11 @@ def clean_candidates(status: DataFrame, below: float = RECHECK_BELOW) -> DataFra
 
 def discoveries(candidates: DataFrame, replies: DataFrame) -> DataFrame:
     """Findings reported for rechecked files: one row per finding."""
-    answers = one_reply(with_part(replies), *KEY, "part")
-    read = with_object(
-        candidates.select(*KEY, "part", "file_name", "layer").join(answers, [*KEY, "part"])
-    )
+    asked = candidates.select(*KEY, "part", "file_name", "layer")
+    answers = asked.select(*KEY).join(replies, KEY)
+    read = asked.join(first_readable(with_object(answers), KEY, "obj"), KEY)
     found = (
-        read.filter(F.col("obj").isNotNull() & truthy(F.col("obj"), "has_issues", absent=False))
+        read.filter(truthy(F.col("obj"), "has_issues", absent=False))
         .withColumn("_reply", parse_reply(F.col("obj"), CLEAN_CHECK_REPLY))
         .select(*KEY, "part", "file_name", "layer", F.posexplode("_reply.anti_patterns"))
     )
@@ -189,20 +200,43 @@ def _found_rows(found: DataFrame) -> DataFrame:
     )
 
 
+def _merged_verdict(verdicts: Column) -> Column:
+    """One verdict of those of all parts, in part order: the worst severity,
+    and every different text on a line of its own."""
+    first = F.get(verdicts, F.lit(0))
+    own = F.filter(verdicts, lambda x: x["origin"] == first["origin"])
+    worst = F.array_min(F.transform(
+        own, lambda x: F.struct(severity_rank(x["severity"]).alias("rank"), x["severity"].alias("name"))))
+
+    def texts(name: str) -> Column:
+        given = F.filter(F.transform(own, lambda x: x[name]), lambda x: F.length(x) > 0)
+        return F.array_join(F.array_distinct(given), "\n")
+
+    return F.struct(
+        first["origin"].alias("origin"), first["first_seq"].alias("first_seq"),
+        first["pos"].alias("pos"), worst["name"].alias("severity"),
+        F.exists(own, lambda x: x["llm_validated"]).alias("llm_validated"),
+        *[texts(c).alias(c) for c in TEXTS],
+    )
+
+
 def merge_discoveries(verdicts_applied: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Groups after review, one row per (project, anti-pattern). A discovery
-    joins an existing group and leaves its verdict alone; a new group takes
-    the verdict of its first discovery. Works on group rows, not on files."""
+    """Groups after review, one row per (project, anti-pattern), with what the
+    verdicts of all its parts say. A discovery joins an existing group and
+    leaves its verdict alone; a new group takes the verdict of its first
+    discovery. Works on group rows, not on files."""
     rows = _kept_rows(verdicts_applied)
     if found is not None:
         rows = rows.unionByName(_found_rows(found))
-    return rows.groupBy(*GROUP).agg(
+    # one verdict per part of the project
+    merged = rows.groupBy(*GROUP).agg(
         F.sum("n_files").cast("bigint").alias("n_files"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("layers")))).alias("layers"),
         F.sum("confidence_total").alias("confidence_total"),
         F.max("last_seq").alias("last_seq"),
-        F.min("verdict").alias("verdict"),
+        F.sort_array(F.collect_list("verdict")).alias("_verdicts"),
     )
+    return merged.withColumn("verdict", _merged_verdict(F.col("_verdicts"))).drop("_verdicts")
 
 
 # Fixed value: layout of a fix given inline with a verdict.

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from stratalens.operators.fixes import fix_suggestions
 from stratalens.operators.hybrid import (
-    first_assessments, hybrid_scores, read_assessments, reply_scores, with_findings,
+    hybrid_scores, project_assessments, read_assessments, reply_scores, with_findings,
 )
 from stratalens.operators.review import (
     apply_verdicts, clean_candidates, clean_files, discoveries, final_members, member_lists,
-    merge_discoveries, per_part, rejected_counts, reviewed_details, with_status,
+    merge_discoveries, rejected_counts, reviewed_details, with_status,
 )
 from stratalens.operators.rollups import (
     WORKING_COLS, layer_rollup, layer_sums, project_rollup, quality_summary, violation_summary,
@@ -92,12 +92,13 @@ def _project_flags(review: Review, assessments: DataFrame | None) -> DataFrame:
     else:
         none = F.array().cast("array<string>")
         used = F.col("any_source")
-        blank = flags.join(first_assessments(assessments), "project_id", "left").withColumns({
-            "assessed": used & F.col("part").isNotNull(),
+        sizes = review.verdict_groups.groupBy("project_id", "part").agg(F.sum("n_files").alias("n_files"))
+        blank = flags.join(project_assessments(assessments, sizes), "project_id", "left").withColumns({
+            "assessed": used & F.col("reasoning").isNotNull(),
             "quality_reasoning": F.coalesce(F.when(used, F.col("reasoning")), F.lit("")),
             "quality_strengths": F.coalesce(F.when(used, F.col("strengths")), none),
             "quality_improvements": F.coalesce(F.when(used, F.col("improvements")), none),
-        }).drop("part", "overall_score", "reasoning", "strengths", "improvements")
+        }).drop("overall_score", "reasoning", "strengths", "improvements")
     method = (
         F.when(~F.col("any_source"), "ml_only").when(F.col("assessed"), "hybrid")
         .when(F.col("llm_enhanced"), "ml_adjusted").otherwise("ml_only")
@@ -119,8 +120,7 @@ def analyze_full(
     review = review_findings(scored, replies, stage)
     assessments = None
     if replies.assessments is not None:
-        assessments = read_assessments(
-            per_part(replies.assessments, review.verdict_groups, "project_id"))
+        assessments = read_assessments(replies.assessments, review.verdict_groups)
     files = keep(blended_files(review, assessments), "files")
 
     sums = keep(layer_sums(files), "layer_sums")

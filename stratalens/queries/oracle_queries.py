@@ -129,7 +129,7 @@ f AS (
     sends AND d.doc_id IS NOT NULL AS has_source,
     0.5e0 + (file_id % 50) * 0.01e0 AS confidence
   FROM rec LEFT JOIN (SELECT doc_id FROM documents WHERE n_chars > 0) d
-    ON d.doc_id = file_id // 15
+    ON d.doc_id = file_id % (SELECT count(*) FROM documents)
   WHERE has_lines),
 rl AS (
   SELECT *, file_seq // {PART_FILES} AS part,
@@ -475,7 +475,7 @@ def cut(code: str, n: int) -> str:
 SOURCES = """,
 src AS (
   SELECT project_id, file_seq, file_name, d.text AS code
-  FROM f JOIN documents d ON d.doc_id = file_id // 15 WHERE has_source)"""
+  FROM f JOIN documents d ON d.doc_id = file_id % (SELECT count(*) FROM documents) WHERE has_source)"""
 
 
 def lines(*pieces: str) -> str:
@@ -483,7 +483,7 @@ def lines(*pieces: str) -> str:
 
 
 def sections(order: str) -> str:
-    return (f"string_agg('=== ' || file_name || ' ===' || {NL} || {cut('code', 10)}, "
+    return (f"string_agg('=== ' || file_name || ' ===' || {NL} || {cut('code', 300)}, "
             f"{NL} || {NL} ORDER BY {order})")
 
 
@@ -701,16 +701,16 @@ vq AS (
     {r2('conf / g.n_files')} AS confidence, vs1.n_files, sources
   FROM g JOIN p USING (project_id) JOIN vs1 USING (project_id, type, part) WHERE attempted)""", f"""
 SELECT project_id, type, part, project_arch AS architecture_pattern, affected_layer, confidence,
-  cat.severity, n_files, length({_VALIDATION_PROMPT}) AS prompt_chars
+  cat.severity, n_files, md5({_VALIDATION_PROMPT}) AS prompt_md5
 FROM vq JOIN cat USING (type)""")
 
 _CLEAN_PROMPT = lines(
     q("This file was predicted free of anti-patterns, with little confidence."),
     "'File: ' || cand.file_name", "'Architecture: ' || architecture_pattern", "'Layer: ' || layer",
-    "''", cut("code", 10), "''", q("Look for: " + rq.SHORT_NAMES), q(rq.CLEAN_CHECK_FORMAT),
+    "''", cut("code", 300), "''", q("Look for: " + rq.SHORT_NAMES), q(rq.CLEAN_CHECK_FORMAT),
 )
 ORACLE["clean_check_requests"] = select(APPLIED + SOURCES, f"""
-SELECT project_id, file_seq, layer, length({_CLEAN_PROMPT}) AS prompt_chars
+SELECT project_id, file_seq, layer, md5({_CLEAN_PROMPT}) AS prompt_md5
 FROM cand JOIN src USING (project_id, file_seq)""")
 
 _ASSESS_PROMPT = lines(
@@ -751,7 +751,7 @@ cn AS (
   LEFT JOIN (SELECT project_id, count(*) AS nr FROM va WHERE NOT is_valid GROUP BY ALL) USING (project_id))""",
 f"""
 SELECT project_id, fl.part, architecture_pattern, n_files, n_violations, n_clean, n_rejected,
-  length({_ASSESS_PROMPT}) AS prompt_chars
+  md5({_ASSESS_PROMPT}) AS prompt_md5
 FROM cn JOIN fl USING (project_id) LEFT JOIN dl USING (project_id, part) WHERE any_source""")
 
 _FIX_PROMPT = lines(
@@ -775,7 +775,7 @@ sh AS (
 arch AS (SELECT project_id, arg_min(architecture_pattern, file_seq) AS architecture_pattern FROM s GROUP BY ALL)""",
 f"""
 SELECT project_id, type, architecture_pattern, n_files, n_shown, n_sources,
-  length({_FIX_PROMPT}) AS prompt_chars
+  md5({_FIX_PROMPT}) AS prompt_md5
 FROM md JOIN sh USING (project_id, type) JOIN arch USING (project_id)""")
 
 ORACLE["fixes_static"] = select(ML_DETAILS + """,
@@ -821,6 +821,18 @@ SELECT s.project_id, s.file_seq, s.file_name, s.type AS type_before, s.quality_s
     WHEN s.type='clean' THEN 'regression' ELSE 'changed' END AS transition,
   {r1('sa.quality_score - s.quality_score')} AS score_delta
 FROM s JOIN sa USING (project_id, file_seq)""")
+ORACLE["transitions_changed"] = select(SCORED + _AFTER, f"""
+, an AS (
+  SELECT project_id, file_name, type, quality_score FROM sa WHERE file_seq % 5 <> 4
+  UNION ALL SELECT project_id, 'New' || file_name, type, quality_score
+  FROM sa WHERE file_seq % 5 <> 4 AND file_seq % 7 = 3)
+SELECT project_id, coalesce(s.file_name, an.file_name) AS file_name, s.type AS type_before,
+  s.quality_score AS score_before, an.type AS type_after, an.quality_score AS score_after,
+  CASE WHEN s.type IS NULL THEN 'added' WHEN an.type IS NULL THEN 'removed'
+    WHEN s.type='clean' AND an.type='clean' THEN 'clean' WHEN an.type='clean' THEN 'fixed'
+    WHEN s.type='clean' THEN 'regression' ELSE 'changed' END AS transition,
+  {r1('an.quality_score - s.quality_score')} AS score_delta
+FROM s FULL JOIN an USING (project_id, file_name)""")
 ORACLE["quality_metrics"] = select(FILES, """
 SELECT round(sqrt(avg((score-label)*(score-label))), 6) AS rmse, round(avg(abs(score-label)), 6) AS mae,
   round(1 - sum((score-label)*(score-label)) / sum((label-m)*(label-m)), 6) AS r2, count(*) AS n
@@ -867,3 +879,32 @@ UNION ALL SELECT 'files', count(*) FROM s""")
 ORACLE["stream_scores"] = select(SCORED, f"""
 SELECT project_id, file_seq, type, confidence, quality_score,
   {display('quality_score')} AS quality_display, issues FROM s""")
+
+ORACLE["large_projects"] = select(SCORED + f""",
+{CAT},
+b AS (SELECT project_id % 3 AS pid, type, resolved_layer, confidence, has_source,
+    row_number() OVER (PARTITION BY project_id % 3 ORDER BY project_id, file_seq) - 1 AS seq FROM s),
+bg AS (
+  SELECT pid, type, seq // {PART_FILES} AS part, count(*) AS n, list(DISTINCT resolved_layer) AS layers,
+    {exact('confidence', 60)} AS conf, min(seq) AS first_seq, count(*) FILTER (has_source) > 0 AS asked
+  FROM b WHERE type<>'clean' GROUP BY ALL),
+bv AS (
+  SELECT bg.*, CASE WHEN asked THEN (part + length(type)) % 3 <> 0 ELSE true END AS kept,
+    CASE WHEN NOT asked THEN cat.severity WHEN part % 2 = 0 THEN 'LOW' ELSE 'CRITICAL' END AS sev
+  FROM bg JOIN cat USING (type)),
+br AS (SELECT pid, count(*) AS n_rejected FROM (SELECT pid, type FROM bv GROUP BY ALL HAVING NOT bool_or(kept)) GROUP BY pid),
+bd AS (
+  SELECT pid, type, sum(n)::BIGINT AS n_files, array_to_string(list_sort(list_distinct(flatten(list(layers)))), ', ') AS affected_layer,
+    {r2('sum(conf) / sum(n)')} AS confidence, arg_min(sev, {rank('sev')}) AS severity, bool_or(asked) AS llm_validated,
+    coalesce(string_agg('part ' || part, chr(10) ORDER BY part) FILTER (asked), '') AS llm_description, min(first_seq) AS first_seq
+  FROM bv WHERE kept GROUP BY ALL)""", f"""
+SELECT pid AS project_id, row_number() OVER (PARTITION BY pid ORDER BY {rank('severity')}, first_seq, type) AS position,
+  type, severity, affected_layer, confidence, n_files, llm_validated, llm_description,
+  coalesce(n_rejected, 0) AS n_rejected
+FROM bd LEFT JOIN br USING (pid)""")
+
+_HELD = f"""
+SELECT file_id, {rule_case('resolved_layer')} AS expected, true AS type_known, true AS confidence_fits,
+  true AS score_fits, true AS band_fits"""
+ORACLE["saved_models"] = select(FILES, _HELD + ", true AS r2_reached, true AS accuracy_reached FROM rl WHERE file_id % 5 = 0")
+ORACLE["saved_models_stream"] = select(FILES, _HELD + " FROM rl WHERE file_id % 5 = 0")

@@ -11,28 +11,28 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stratalens.functions.features import (
-    ANTIPATTERN_FEATURES, antipattern_features, quality_features,
+    ANTIPATTERN_FEATURES, QUALITY_FEATURES, antipattern_features, quality_features,
 )
 from stratalens.functions.issues import derive_issues
 from stratalens.functions.layers import resolve_layer
 from stratalens.functions.replies import parse_reply, truthy, with_assessment, with_object
-from stratalens.functions.scores import rule_score
+from stratalens.functions.scores import rule_score, score_label
 from stratalens.functions.text import truncate_lines
 from stratalens.operators import evaluate, fixes, hybrid, models, requests, review, rollups
 from stratalens.operators import violations as v
-from stratalens.operators.parts import with_part
+from stratalens.operators.parts import with_file_seq, with_part
 from stratalens.operators.rules import classify_by_rules, rule_label
 from stratalens.plans.antipatterns import analyze_antipatterns
 from stratalens.plans.full import analyze_full, blended_files, review_findings
 from stratalens.plans.quality import analyze_quality, files_worst_first
-from stratalens.plans.scored import score_files
+from stratalens.plans.scored import score_files, with_band
 from stratalens.queries import fixtures as fx
 from stratalens.schema import KEY, OPTIONAL_SIGNAL_COLS, REQUIRED_COLS, VERDICT_REPLY
 from stratalens.sources import projects as src
 from stratalens.sources.catalog import catalog, display_name
 from stratalens.sources.report import nested_reports, write_report
 from stratalens.sources.staging import staged_path
-from stratalens.sources.tables import order_records, project_files, source_texts, table
+from stratalens.sources.tables import order_records, project_files, source_texts, stored, table
 from stratalens.streaming.scoring import file_stream, score_stream, write_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -312,9 +312,11 @@ def hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = requests.model_overall(fx.scored(spark, sf_dir))
-    replies = hybrid.first_assessments(
-        hybrid.read_assessments(fx.assessment_replies(spark, sf_dir)))
+    scored = fx.scored(spark, sf_dir)
+    means = requests.model_overall(scored)
+    sizes = with_part(scored).groupBy("project_id", "part").agg(F.count(F.lit(1)).alias("n_files"))
+    replies = hybrid.project_assessments(
+        hybrid.read_assessments(fx.assessment_replies(spark, sf_dir)), sizes)
     joined = means.join(replies.select("project_id", "overall_score"), "project_id", "left")
     return joined.select(
         "project_id",
@@ -322,24 +324,50 @@ def hybrid_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def large_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three projects that hold all files, so of several parts each: verdicts
+    that differ by part, an unreadable reply beside every readable one."""
+    def make() -> DataFrame:
+        # projects one after the other; none of the given ones has a million files
+        files = fx.scored(spark, sf_dir).withColumn("_order", F.col("project_id") * 1_000_000 + F.col("file_seq"))
+        files = files.withColumn("project_id", F.col("project_id") % 3).drop("file_seq")
+        return with_file_seq(files, "_order").drop("_order")
+
+    groups = v.part_groups(stored(spark, sf_dir, "large_projects", make))
+    kind, part = F.col("type"), F.col("part")
+    reply = F.concat(
+        F.lit('{"is_valid": '), ((part + F.length(kind)) % 3 != 0).cast("string"),
+        F.lit(', "description": "part '), part.cast("string"),
+        F.lit('", "severity": "'), F.when(part % 2 == 0, "LOW").otherwise("CRITICAL"), F.lit('"}'),
+    )
+    answers = groups.filter("type <> 'clean'").select(
+        *v.PART_GROUP, F.explode(F.array(F.lit("I cannot"), reply)).alias("reply"))
+    applied = review.apply_verdicts(groups, answers)
+    details = review.reviewed_details(review.merge_discoveries(applied, None))
+    return details.join(review.rejected_counts(applied), "project_id", "left").select(
+        "project_id", "position", "type", "severity", "affected_layer", "confidence", "n_files",
+        "llm_validated", "llm_description", F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"),
+    )
+
+
 # ---- requests -------------------------------------------------------------
 
 def validation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = review.apply_verdicts(v.part_groups(fx.scored(spark, sf_dir)), None)
     made = requests.validation_requests(
-        fx.scored(spark, sf_dir), groups, source_texts(spark, sf_dir), max_lines=10
+        fx.scored(spark, sf_dir), groups, source_texts(spark, sf_dir)
     )
     return made.select(
         *v.PART_GROUP, "architecture_pattern", "affected_layer", "confidence", "severity",
-        "n_files", F.length("prompt").cast("bigint").alias("prompt_chars"),
+        "n_files", F.md5("prompt").alias("prompt_md5"),
     )
 
 
 def clean_check_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = requests.clean_check_requests(
-        review.clean_candidates(fx.status(spark, sf_dir)), source_texts(spark, sf_dir), max_lines=10
+        review.clean_candidates(fx.status(spark, sf_dir)), source_texts(spark, sf_dir)
     )
-    return made.select(*KEY, "layer", F.length("prompt").cast("bigint").alias("prompt_chars"))
+    return made.select(*KEY, "layer", F.md5("prompt").alias("prompt_md5"))
 
 
 def assessment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,7 +377,7 @@ def assessment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return made.select(
         "project_id", "part", "architecture_pattern", "n_files", "n_violations", "n_clean",
-        "n_rejected", F.length("prompt").cast("bigint").alias("prompt_chars"),
+        "n_rejected", F.md5("prompt").alias("prompt_md5"),
     )
 
 
@@ -358,11 +386,11 @@ def fix_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = with_part(v.violations_only(scored)).withColumn("origin", F.lit(0))
     made = requests.fix_requests(
         v.violation_details(scored), members, source_texts(spark, sf_dir),
-        v.antipattern_summary(scored), max_lines=10,
+        v.antipattern_summary(scored),
     )
     return made.select(
         *v.GROUP, "architecture_pattern", "n_files", "n_shown", "n_sources",
-        F.length("prompt").cast("bigint").alias("prompt_chars"),
+        F.md5("prompt").alias("prompt_md5"),
     )
 
 
@@ -428,6 +456,18 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.file_transitions(fx.scored(spark, sf_dir), fx.after_run(spark, sf_dir))
 
 
+def transitions_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second run lacks every fifth file of a project and has every
+    seventh a second time under a new path; all positions have moved."""
+    after = fx.after_run(spark, sf_dir).filter("file_seq % 5 <> 4")
+    extra = after.filter("file_seq % 7 = 3").withColumns({
+        "file_path": F.concat(F.lit("new/"), F.col("file_path")),
+        "file_name": F.concat(F.lit("New"), F.col("file_name")),
+    })
+    moved = after.withColumn("file_seq", F.col("file_seq") + 1).unionByName(extra)
+    return evaluate.file_transitions(fx.scored(spark, sf_dir), moved).drop("file_seq")
+
+
 def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of the rule score against a score built from the line items."""
     files = project_files(spark, sf_dir).select(
@@ -517,6 +557,57 @@ def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.predict_quality(test, model).select("file_id", "label", "quality_score")
 
 
+def _scored_by_models(spark: SparkSession, sf_dir: str):
+    """Both models fitted, saved and loaded again, with the regressor's own
+    feature list read from a metadata file beside it."""
+    files = project_files(spark, sf_dir).withColumns({"expected": rule_label(), "label": rule_score()})
+    train, test = models.mod_split(files, "file_id")
+    names = QUALITY_FEATURES[::-1]
+    path = staged_path(spark, "models")
+    models.save_models(path, models.fit_antipattern(train), models.fit_quality(train, names=names))
+    spark.createDataFrame([(names,)], "feature_names array<string>").coalesce(1).write.json(f"{path}/meta")
+    classifier, regressor = models.load_models(spark, path)
+    listed = models.feature_columns(spark, f"{path}/meta")
+    return test, lambda df: with_band(models.predict_quality(
+        models.predict_antipattern(df, classifier), regressor, listed))
+
+
+def _checked(scored: DataFrame) -> DataFrame:
+    """What must hold for every prediction, whatever the trees look like."""
+    score, confidence = F.col("quality_score"), F.col("confidence")
+    return scored.select(
+        "file_id", "expected",
+        F.col("type").isin(models.LABELS).alias("type_known"),
+        ((confidence > 0) & (confidence <= 1)).alias("confidence_fits"),
+        ((score >= 0) & (score <= 100)).alias("score_fits"),
+        (F.col("quality_label") == score_label(score)).alias("band_fits"),
+        (F.col("type") == F.col("expected")).alias("_hit"), score.alias("_score"), "label",
+    )
+
+
+def saved_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out files scored by loaded models; also whether the models reach
+    an accuracy of 0.8 and an R² of 0.7 there."""
+    test, score = _scored_by_models(spark, sf_dir)
+    rows = _checked(score(test))
+    path = staged_path(spark, "model_scores")
+    rows.write.parquet(path)
+    rows = spark.read.parquet(path)
+    errors = evaluate.quality_metrics(rows, score="_score").select((F.col("r2") >= 0.7).alias("r2_reached"))
+    hits = rows.agg((F.avg(F.col("_hit").cast("double")) >= 0.8).alias("accuracy_reached"))
+    return rows.drop("_hit", "_score", "label").join(F.broadcast(errors)).join(F.broadcast(hits))
+
+
+def saved_models_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same held-out files arriving as a stream."""
+    test, score = _scored_by_models(spark, sf_dir)
+    path, out = staged_path(spark, "model-stream-in"), staged_path(spark, "model-stream-out")
+    test.write.parquet(path)
+    rows = _checked(score(file_stream(spark, path, test.schema))).drop("_hit", "_score", "label")
+    write_scores(rows, out, staged_path(spark, "model-stream-progress")).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored files as a stream, scored and appended to a table."""
     files = project_files(spark, sf_dir)
@@ -541,12 +632,12 @@ QUERIES: dict[str, Query] = {
         violation_details, antipattern_summary, layer_rollup, project_rollup, quality_summary,
         worst_files, violation_summary,
         verdicts_applied, false_positives, clean_candidates, discoveries, discoveries_merged,
-        merged_file_lists, clean_files, ambiguous_names, hybrid_scores, hybrid_overall,
+        merged_file_lists, large_projects, clean_files, ambiguous_names, hybrid_scores, hybrid_overall,
         validation_requests, clean_check_requests, assessment_requests, fix_requests,
         fixes_static, fixes_with_replies, fix_totals,
         accuracy_by_class, accuracy_by_arch, class_report, run_delta, transitions,
-        quality_metrics,
+        transitions_changed, quality_metrics,
         full_report, full_report_layers, full_report_model_only, nested_report, written_report,
-        rf_predictions, gbt_scores, stream_scores,
+        rf_predictions, gbt_scores, saved_models, saved_models_stream, stream_scores,
     )
 }

@@ -10,12 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Lets joins on (project, part, ...) share one partitioning by (project, part).
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Hash instead of sort where every partition of the build side is measured small.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128m",
-    # Sets of layer names are tiny: keep their aggregation hash-based.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
 }
 
 

@@ -26,14 +26,19 @@ FALSE_TEXTS = ["0", "false", "f", "no", "n", "off"]
 
 def read_projects(spark: SparkSession, path: str, fmt: str = "json", **options: str) -> DataFrame:
     """File rows of project payloads ``{"files": [...]}``, every field as
-    text. ``file_seq`` is the position in the payload. A payload without
-    files keeps one row without a file, for validation to report. Other
-    formats hold one file per row already and are read as they are."""
+    text. ``file_seq`` is the position in the payload. A payload without a
+    numeric ``project_id`` is a project of its own, named by a hash of its
+    file and its place in it. One without files keeps one row without a file,
+    for validation to report. Other formats hold one file per row already and
+    are read as they are."""
     if fmt != "json":
         return spark.read.format(fmt).options(**options).load(path)
     payloads = spark.read.schema(payload_schema()).options(**options).json(path)
-    exploded = payloads.select(
-        F.coalesce("project_id", F.xxhash64("_metadata.file_path")).alias("project_id"),
+    placed = payloads.select("*", F.xxhash64(
+        "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()
+    ).alias("_own"))
+    exploded = placed.select(
+        F.coalesce("project_id", "_own").alias("project_id"),
         F.coalesce("first_seq", F.lit(0)).cast("bigint").alias("first_seq"),
         F.posexplode_outer("files").alias("pos", "file"),
     )
@@ -82,6 +87,9 @@ def _problems(columns: list[str]) -> Column:
     for name in NUMERIC_COLS:
         bad = F.col(name).isNotNull() & as_double(F.col(name)).isNull()
         checks.append(F.when(bad, F.lit(f"{name} not a number")))
+        value = as_double(F.col(name))
+        endless = F.isnan(value) | (F.abs(value) == float("inf"))
+        checks.append(F.when(endless, F.lit(f"{name} not finite")))
     for name in NOT_NEGATIVE:
         checks.append(F.when(as_double(F.col(name)) < 0, F.lit(f"{name} negative")))
     for name in [*SIGNAL_COLS, *OPTIONAL_SIGNAL_COLS]:

@@ -16,8 +16,6 @@ from stratalens.operators.parts import with_file_seq
 from stratalens.schema import NUMERIC_COLS
 from stratalens.sources.staging import staged_path
 
-# Orders per document: the tables hold 15 orders for each document.
-FILES_PER_DOCUMENT = 15
 ARCHITECTURES = {"MACHINERY": "mvc", "HOUSEHOLD": "hexagonal", "FURNITURE": "clean_architecture"}
 
 
@@ -137,8 +135,10 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_files(joined)
 
 
-def doc_id() -> Column:
-    return F.floor(F.col("file_id") / F.lit(FILES_PER_DOCUMENT)).cast("bigint")
+def doc_id(spark: SparkSession, sf_dir: str) -> Column:
+    """The document of a file: files go round all documents."""
+    documents = table(spark, sf_dir, "documents").count()
+    return F.col("file_id") % F.lit(max(documents, 1))
 
 
 def with_has_source(files: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +149,7 @@ def with_has_source(files: DataFrame, spark: SparkSession, sf_dir: str) -> DataF
     )
     has = F.col("sends_source") & F.col("_found").isNotNull()
     return (
-        files.withColumn("doc_id", doc_id()).join(docs, "doc_id", "left")
+        files.withColumn("doc_id", doc_id(spark, sf_dir)).join(docs, "doc_id", "left")
         .withColumn("has_source", has).drop("_found")
     )
 

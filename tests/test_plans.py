@@ -1,13 +1,14 @@
 """Plans that must hold at scale."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from stratalens.operators import requests, rollups, violations as v
-from stratalens.operators.review import apply_verdicts, with_status
-from stratalens.operators.hybrid import with_findings
 from stratalens.queries import fixtures as fx
 from stratalens.queries.spark_queries import QUERIES
+from stratalens.sources.report import nested_reports
 
 LAZY = [
     "resolved_layers", "antipattern_inputs", "quality_inputs", "file_issues", "file_scores",
@@ -43,21 +44,23 @@ def test_fix_requests_limit_rows_before_the_shuffle(spark, sf_dir):
     assert "row_number(), 5, Partial" in text
 
 
-def test_wide_rows_are_placed_once(spark, sf_dir):
-    scored = fx.scored(spark, sf_dir)
+@pytest.mark.parametrize("name", ["validation_requests", "assessment_requests", "nested_report", "discoveries_merged", "clean_files"])
+def test_no_text_or_file_list_is_gathered_by_project_alone(spark, sf_dir, name, monkeypatch):
+    """Without broadcasts, what is placed by project only holds project figures,
+    never source text, prompts, file lists or rows per part."""
+    from stratalens.queries import spark_queries
+
+    plans = []
+    monkeypatch.setattr(spark_queries, "nested_reports", lambda *a: plans.append(nested_reports(*a)) or plans[-1])
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        groups = apply_verdicts(v.part_groups(scored), None)
-        status = with_status(scored, groups)
-        files = with_findings(status, None, None)
-        text = plan(files.join(
-            scored.select("project_id", "file_name").withColumn("part", F.lit(0).cast("bigint"))
-            .distinct(), ["project_id", "part", "file_name"], "left"))
+        text = plan(QUERIES[name](spark, sf_dir) if name != "nested_report" else
+                    (QUERIES[name](spark, sf_dir), plans[-1])[1])
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    wide = [line for line in text.split("\n") if "Exchange" in line and "REPARTITION_BY_COL" in line]
-    assert len(wide) == 1
-    # The left side of both joins is that one exchange: no other exchange above it.
-    above = text[: text.index("REPARTITION_BY_COL")]
-    assert above.count("Exchange hashpartitioning") == 1
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        if re.search(r"Exchange hashpartitioning\(project_id#\d+L, \d+\)", line):
+            below = lines[i + 1].rpartition("output=")[2]
+            assert not re.search(r"\b(_sources|source_code|section|_files|files|prompt|part)#", below), (line, below)

@@ -247,12 +247,10 @@ def test_row_order_partitions_and_staging_do_not_matter(spark):
     random.Random(0).shuffle(shuffled)
     previous = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "13")
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
     try:
         _, two, _ = outcome(spark, shuffled, stage=False)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", previous)
-        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     assert one == two
 
 
