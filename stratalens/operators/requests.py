@@ -63,7 +63,12 @@ def source_sections(sources: DataFrame, max_lines: int) -> DataFrame:
         F.lit("=== "), F.col("file_name"), F.lit(" ===\n"),
         truncate_lines(F.col("source_code"), max_lines),
     )
-    return sources.select(*KEY, section.alias("section"))
+    return sources.select(*source_keys(sources), section.alias("section"))
+
+
+def source_keys(sources: DataFrame) -> list[str]:
+    """Texts go by position where it is known, else by name."""
+    return KEY if "file_seq" in sources.columns else ["project_id", "file_name"]
 
 
 def joined_sections(section: Column, *order: str, separator: str = "\n\n") -> Column:
@@ -248,7 +253,7 @@ def fix_requests(
     if sources is None:
         with_code = top.withColumn("section", F.lit(None).cast("string"))
     else:
-        with_code = top.join(source_sections(sources, max_lines), KEY, "left")
+        with_code = top.join(source_sections(sources, max_lines), source_keys(sources), "left")
     name = F.concat(F.lit("  - "), F.col("file_name"))
     shown = with_code.groupBy("project_id", "type").agg(
         joined_sections(name, "rank", separator="\n").alias("_names"),

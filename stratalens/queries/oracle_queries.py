@@ -908,3 +908,17 @@ SELECT file_id, {rule_case('resolved_layer')} AS expected, true AS type_known, t
   true AS score_fits, true AS band_fits"""
 ORACLE["saved_models"] = select(FILES, _HELD + ", true AS r2_reached, true AS accuracy_reached FROM rl WHERE file_id % 5 = 0")
 ORACLE["saved_models_stream"] = select(FILES, _HELD + " FROM rl WHERE file_id % 5 = 0")
+
+_FIX_GIVEN = """,
+md2 AS (SELECT * REPLACE (CASE WHEN position=2 THEN 'MEDIUM' ELSE severity END AS severity,
+  CASE WHEN position=3 THEN 'unknown' ELSE affected_layer END AS affected_layer) FROM md)"""
+ORACLE["fix_request_rows"] = select(ML_DETAILS + _FIX_GIVEN + """,
+fr AS (SELECT project_id, type, 'Move it. Files: ' || n_files AS reply FROM md
+  JOIN customer c ON c.c_custkey=project_id WHERE c_acctbal>=0)""", """
+SELECT project_id, position, type AS anti_pattern, affected_layer AS layer, severity,
+  impact::BIGINT AS impact_points, description AS problem, n_files, coalesce(reply, '') AS ai_fix,
+  reply IS NOT NULL AS ai_powered, count(*) OVER (PARTITION BY project_id) AS total_fixes
+FROM md2 LEFT JOIN fr USING (project_id, type)""")
+ORACLE["fix_request_prompts"] = (
+    ORACLE["fix_requests"].replace("md JOIN sh", "md2 JOIN sh").replace("\nrk AS (", _FIX_GIVEN[2:] + ",\nrk AS (")
+    .replace("LEFT JOIN src USING (project_id, file_seq)", "LEFT JOIN (SELECT * FROM src WHERE project_id % 2 = 0) src USING (project_id, file_seq)"))

@@ -23,6 +23,7 @@ from stratalens.operators import violations as v
 from stratalens.operators.parts import with_file_seq, with_part
 from stratalens.operators.rules import classify_by_rules, rule_label
 from stratalens.plans.antipatterns import analyze_antipatterns
+from stratalens.plans.fix_requests import read_fix_requests, suggest_fixes
 from stratalens.plans.full import analyze_full, blended_files, review_findings
 from stratalens.plans.quality import analyze_quality, files_worst_first
 from stratalens.plans.scored import score_files, with_band
@@ -416,6 +417,40 @@ def fixes_with_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _fix_input(spark: SparkSession, sf_dir: str):
+    """Fix requests written as JSON and read back. Even projects send their
+    sources; second entries lack the severity, third ones the layer."""
+    scored = fx.scored(spark, sf_dir)
+    lists = v.violation_files(scored).groupBy(*v.GROUP).agg(
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "files"))), lambda x: x["files"])).alias("files"))
+    entry = F.struct(
+        "position", "type", "files",
+        F.when(F.col("position") != 3, F.col("affected_layer")).alias("affected_layer"),
+        F.when(F.col("position") != 2, F.col("severity")).alias("severity"), "description",
+    )
+    listed = v.violation_details(scored).join(lists, v.GROUP).groupBy("project_id").agg(
+        F.sort_array(F.collect_list(entry)).alias("anti_patterns"))
+    texts = source_texts(spark, sf_dir).filter("project_id % 2 = 0").groupBy("project_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("file_name", "source_code"))).alias("file_sources"))
+    architectures = v.antipattern_summary(scored).select("project_id", "architecture_pattern")
+    path = staged_path(spark, "fix-requests")
+    listed.join(texts, "project_id", "left").join(architectures, "project_id").write.json(path)
+    return read_fix_requests(spark, path)
+
+
+def fix_request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = suggest_fixes(_fix_input(spark, sf_dir), fx.fix_replies(spark, sf_dir))
+    return report.fixes.join(report.totals, "project_id").select(
+        "project_id", "position", "anti_pattern", "layer", "severity", *_long("impact_points"),
+        "problem", "n_files", "ai_fix", "ai_powered", "total_fixes",
+    )
+
+
+def fix_request_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suggest_fixes(_fix_input(spark, sf_dir)).prompts.select(
+        *v.GROUP, "architecture_pattern", "n_files", "n_shown", "n_sources", F.md5("prompt").alias("prompt_md5"))
+
+
 def fix_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixes.fix_totals(fixes.fix_suggestions(v.violation_details(fx.scored(spark, sf_dir))))
 
@@ -634,7 +669,7 @@ QUERIES: dict[str, Query] = {
         verdicts_applied, false_positives, clean_candidates, discoveries, discoveries_merged,
         merged_file_lists, large_projects, clean_files, ambiguous_names, hybrid_scores, hybrid_overall,
         validation_requests, clean_check_requests, assessment_requests, fix_requests,
-        fixes_static, fixes_with_replies, fix_totals,
+        fixes_static, fixes_with_replies, fix_request_rows, fix_request_prompts, fix_totals,
         accuracy_by_class, accuracy_by_arch, class_report, run_delta, transitions,
         transitions_changed, quality_metrics,
         full_report, full_report_layers, full_report_model_only, nested_report, written_report,
