@@ -866,16 +866,31 @@ nf AS (
   SELECT project_id, part, count(*) AS n_files,
     arg_min(file_name, [quality_score, file_seq]) AS worst_file,
     coalesce(string_agg(file_name, ', ' ORDER BY file_seq) FILTER (in_clean_list), '') AS clean_files
-  FROM h GROUP BY ALL)""", """
+  FROM h GROUP BY ALL),
+nl AS (
+  SELECT project_id, part, string_agg(layer || ':' || names, ';' ORDER BY layer) AS layer_files
+  FROM (SELECT project_id, part, layer, string_agg(file_name, ',' ORDER BY quality_score, file_seq) AS names
+        FROM h GROUP BY ALL) GROUP BY ALL),
+nm AS (
+  SELECT project_id, part, string_agg(type || ':' || names, ';' ORDER BY type) AS lists
+  FROM (SELECT project_id, part, type, string_agg(file_name, ',' ORDER BY origin, file_seq) AS names
+        FROM mem GROUP BY ALL) GROUP BY ALL)""", """
 SELECT project_id, part, overall_score, total_violations,
   (SELECT count(*) FROM lr WHERE lr.project_id=pr.project_id) AS n_layers,
   (SELECT count(*) FROM d WHERE d.project_id=pr.project_id) AS n_anti_patterns,
-  n_files, worst_file, clean_files
-FROM pr JOIN vt USING (project_id) JOIN nf USING (project_id)""")
-ORACLE["written_report"] = select(SCORED, """
-SELECT 'projects' AS table_name, count(DISTINCT project_id) AS row_count FROM s
-UNION ALL SELECT 'layers', count(DISTINCT (project_id, layer)) FROM s
-UNION ALL SELECT 'files', count(*) FROM s""")
+  n_files, worst_file, clean_files, layer_files, coalesce(lists, '') AS anti_pattern_files
+FROM pr JOIN vt USING (project_id) JOIN nf USING (project_id) JOIN nl USING (project_id, part)
+LEFT JOIN nm USING (project_id, part)""")
+def _checksum(*columns: str) -> str:
+    row = "concat_ws('|', " + ", ".join(f"{c}::VARCHAR" for c in columns) + ")"
+    return f"sum(('0x' || substr(md5({row}), 1, 8))::BIGINT)::BIGINT"
+
+
+ORACLE["written_report"] = select(SCORED + layers("s") + projects() + quality_text(), f"""
+SELECT 'projects' AS table_name, count(*) AS row_count, {_checksum('project_id', 'overall_score', 'summary')} AS checksum
+FROM pr JOIN qs USING (project_id)
+UNION ALL SELECT 'layers', count(*), {_checksum('project_id', 'layer')} FROM lr
+UNION ALL SELECT 'files', count(*), {_checksum('project_id', 'file_name', 'layer', 'quality_score')} FROM s""")
 ORACLE["stream_scores"] = select(SCORED, f"""
 SELECT project_id, file_seq, type, confidence, quality_score,
   {display('quality_score')} AS quality_display, issues FROM s""")

@@ -537,6 +537,12 @@ def full_report_model_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _named_lists(column: str, name: str) -> Column:
+    """Lists of files by name as one text."""
+    entries = F.transform(column, lambda x: F.concat(x[name], F.lit(":"), F.array_join(x["files"], ",")))
+    return F.coalesce(F.array_join(entries, ";"), F.lit("")).alias(column)
+
+
 def nested_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested report rows written as JSON and read back, then measured."""
     scored = fx.scored(spark, sf_dir)
@@ -553,19 +559,25 @@ def nested_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("files").cast("bigint").alias("n_files"),
         F.element_at("files", 1)["file_name"].alias("worst_file"),
         F.coalesce(F.array_join("clean_files", ", "), F.lit("")).alias("clean_files"),
+        _named_lists("layer_files", "layer"), _named_lists("anti_pattern_files", "type"),
     )
 
 
 def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality report written table by table; rows read back per table."""
+    """Quality report written table by table; rows and a checksum of their
+    contents read back per table."""
     report = analyze_quality(fx.scored(spark, sf_dir))
     path = staged_path(spark, "report")
     write_report(report, path)
-    counts = [
-        spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("row_count"))
-        .select(F.lit(name).alias("table_name"), "row_count")
-        for name in report._fields
-    ]
+    contents = {"projects": ["project_id", "overall_score", "summary"], "layers": ["project_id", "layer"],
+                "files": ["project_id", "file_name", "layer", "quality_score"]}
+    counts = []
+    for name in report._fields:
+        row = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in contents[name]]))
+        number = F.conv(F.substring(row, 1, 8), 16, 10).cast("bigint")
+        counts.append(spark.read.parquet(f"{path}/{name}").agg(
+            F.count(F.lit(1)).alias("row_count"), F.sum(number).alias("checksum"),
+        ).select(F.lit(name).alias("table_name"), "row_count", "checksum"))
     result = counts[0]
     for other in counts[1:]:
         result = result.unionByName(other)

@@ -25,7 +25,7 @@ def nested_reports(report: FullReport, last_seq: DataFrame) -> DataFrame:
     """The report as one nested row per (project, part).
 
     Every row carries the project's figures, its layers and findings, and the
-    files of the part, worst first. A project of up to one part's files gives
+    files of the part, worst first, also by layer and by finding. A project of up to one part's files gives
     one complete row. ``last_seq`` is ``project_id, last_seq``.
     """
     keys = ["project_id", "part"]
@@ -34,7 +34,12 @@ def nested_reports(report: FullReport, last_seq: DataFrame) -> DataFrame:
         report.details.drop("first_seq", "last_seq"), ["project_id"], "anti_patterns", "position"
     )
     fixes = _listed(report.fixes, ["project_id"], "fix_suggestions", "position")
-    files = _listed(with_part(report.files), keys, "files", "quality_score", "file_seq")
+    placed = with_part(report.files)
+    files = _listed(placed, keys, "files", "quality_score", "file_seq")
+    worst_first = F.sort_array(F.collect_list(F.struct("quality_score", "file_seq", "file_name")))
+    by_layer = placed.groupBy(*keys, "layer").agg(
+        F.transform(worst_first, lambda x: x["file_name"]).alias("files"))
+    layer_files = _listed(by_layer, keys, "layer_files", "layer")
     member_lists = _listed(report.detail_files, keys, "anti_pattern_files", "type")
     clean = with_part(report.clean_files).groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("file_seq", "file_name"))).alias("_clean")
@@ -43,6 +48,6 @@ def nested_reports(report: FullReport, last_seq: DataFrame) -> DataFrame:
     for table in (details, fixes):
         projects = projects.join(table, "project_id", "left")
     rows = spread(projects, "last_seq").drop("last_seq").join(files, keys)
-    for table in (member_lists, clean):
+    for table in (layer_files, member_lists, clean):
         rows = rows.join(table, keys, "left")
     return rows
