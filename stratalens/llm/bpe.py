@@ -27,7 +27,9 @@ from pyspark.sql import types as T
 # The pre-token pattern of byte-level tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens in each of the two generations kept in a worker, and the longest one kept.
-CACHED, CACHED_CHARS = 300_000, 64
+CACHED, CACHED_CHARS = 200_000, 48
+#: Rows whose ids are handed over at once: long texts must not pile up.
+HANDED = 256
 #: Fragments up to this length look for the next merge by a scan.
 SCANNED = 48
 #: A merge is stored as its rank above the id it makes.
@@ -65,8 +67,8 @@ class Codec:
         self.pieces = regex.compile(PATTERN)
         self.splits = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") \
             if self.special else None
-        self.known: dict[str, list[int]] = {}
-        self.before: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def fragments(self, raw: bytes) -> list[bytes]:
         """Split at every byte pair that occurs inside no token."""
@@ -114,13 +116,14 @@ class Codec:
                     heapq.heappush(queue, (self.merge[ids[a], ids[b]], a, ids[a], ids[b]))
         return [i for i in ids if i >= 0]
 
-    def encode_piece(self, piece: str) -> list[int]:
+    def encode_piece(self, piece: str) -> tuple[int, ...]:
         """Ids of a pre-token, kept for a while: two generations of bounded size."""
         ids = self.before.get(piece)
         if ids is None:
-            ids = []
+            made = []
             for fragment in self.fragments(piece.encode("utf-8")):
-                ids += self.encode_fragment(fragment)
+                made += self.encode_fragment(fragment)
+            ids = tuple(made)
         if len(piece) <= CACHED_CHARS:
             if len(self.known) >= CACHED:
                 self.before, self.known = self.known, {}
@@ -162,11 +165,13 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path)
         for batch in batches:
-            out = batch[kept].copy()
-            found = [np.array(own.encode(x or ""), dtype=np.int32) for x in batch[text]]
-            out[count] = np.array([len(x) for x in found], dtype=np.int64)
-            out[ids] = pd.Series(found, index=out.index, dtype=object)
-            yield out
+            for start in range(0, len(batch), HANDED):
+                part = batch.iloc[start:start + HANDED]
+                out = part[kept].copy()
+                found = [np.array(own.encode(x or ""), dtype=np.int32) for x in part[text]]
+                out[count] = np.array([len(x) for x in found], dtype=np.int64)
+                out[ids] = pd.Series(found, index=out.index, dtype=object)
+                yield out
 
     return df.select(*kept, text).mapInPandas(encoded, schema)
 
