@@ -158,8 +158,11 @@ def model_overall(scored: DataFrame) -> DataFrame:
     )
 
 
-def project_counts(files: DataFrame, details: DataFrame, verdict_groups: DataFrame) -> DataFrame:
-    """Figures in the head of an assessment request, per project."""
+def project_counts(
+    files: DataFrame, details: DataFrame, verdict_groups: DataFrame, scored: DataFrame | None = None,
+) -> DataFrame:
+    """Figures in the head of an assessment request, per project. Model means
+    need the ``scored`` files only, not the joined review rows."""
     sizes = per_architecture(
         files,
         F.count(F.lit(1)).alias("n"), F.count_if("in_clean_list").alias("clean"),
@@ -173,7 +176,7 @@ def project_counts(files: DataFrame, details: DataFrame, verdict_groups: DataFra
     rejected = rejected_counts(verdict_groups)
     joined = (
         sizes.join(findings, "project_id", "left").join(rejected, "project_id", "left")
-        .join(model_overall(files), "project_id")
+        .join(model_overall(files if scored is None else scored), "project_id")
     )
     zero = F.lit(0).cast("bigint")
     return joined.withColumns({
@@ -184,11 +187,12 @@ def project_counts(files: DataFrame, details: DataFrame, verdict_groups: DataFra
 
 def assessment_requests(
     files: DataFrame, members: DataFrame, details: DataFrame, verdict_groups: DataFrame,
+    scored: DataFrame | None = None,
 ) -> DataFrame:
     """One request per (project, part) with source: project figures, a line
     per file of the part and a line per finding in it. ``files`` come from
     ``with_findings``, ``members`` from ``member_lists``."""
-    counts = project_counts(files, details, verdict_groups).filter("any_source")
+    counts = project_counts(files, details, verdict_groups, scored).filter("any_source")
     head = spread(counts, "last_seq").drop("last_seq", "any_source")
     names = F.transform(
         F.array_sort(F.array_distinct("findings")),
@@ -206,11 +210,8 @@ def assessment_requests(
         F.lit("- "), F.col("type"), F.lit(" ["), F.col("severity"), F.lit("]: "),
         F.array_join("files", ", "), F.when(F.col("llm_validated"), " (reviewed)").otherwise(""),
     )
-    parts = spread(
-        details.select("project_id", "type", "position", "severity", "llm_validated", "last_seq"),
-        "last_seq",
-    )
-    finding_lines = members.join(parts, PART_GROUP).groupBy("project_id", "part").agg(
+    told = details.select("project_id", "type", "position", "severity", "llm_validated")
+    finding_lines = members.join(told, GROUP).groupBy("project_id", "part").agg(
         joined_sections(finding_line, "position", separator="\n").alias("_findings")
     )
     prompt = _lines(

@@ -270,8 +270,7 @@ def discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def discoveries_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = review.merge_discoveries(fx.verdict_groups(spark, sf_dir), fx.found(spark, sf_dir))
-    return review.reviewed_details(groups).select(
+    return _review(spark, sf_dir)[1].details.select(
         "project_id", "position", "type", "severity", "affected_layer", "confidence", "n_files",
         "llm_validated", "llm_description",
         F.coalesce("fix_suggestion.ai_fix", F.lit("")).alias("inline_fix"),
@@ -280,12 +279,12 @@ def discoveries_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_file_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = review.final_members(fx.status(spark, sf_dir), fx.found(spark, sf_dir))
-    return review.member_lists(members).select(*v.PART_GROUP, _text("files", ", "))
+    return review.member_lists(_review(spark, sf_dir)[1].members).select(*v.PART_GROUP, _text("files", ", "))
 
 
 def clean_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.clean_files(fx.status(spark, sf_dir), fx.found(spark, sf_dir)).select(
+    _, done = _review(spark, sf_dir)
+    return review.clean_files(done.status, done.found).select(
         *KEY, "file_name"
     )
 
@@ -372,9 +371,9 @@ def clean_check_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assessment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, done = _review(spark, sf_dir)
+    scored, done = _review(spark, sf_dir)
     made = requests.assessment_requests(
-        done.files, review.member_lists(done.members), done.details, done.verdict_groups
+        done.files, review.member_lists(done.members), done.details, done.verdict_groups, scored
     )
     return made.select(
         "project_id", "part", "architecture_pattern", "n_files", "n_violations", "n_clean",
@@ -409,8 +408,7 @@ def fixes_static(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fixes_with_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixes of reviewed findings, short names included."""
-    groups = review.merge_discoveries(fx.verdict_groups(spark, sf_dir), fx.found(spark, sf_dir))
-    made = fixes.fix_suggestions(review.reviewed_details(groups), fx.fix_replies(spark, sf_dir))
+    made = fixes.fix_suggestions(_review(spark, sf_dir)[1].details, fx.fix_replies(spark, sf_dir))
     return made.select(
         "project_id", "position", "anti_pattern", "layer", *_long("impact_points"), "n_files",
         "ai_fix", "ai_powered",
