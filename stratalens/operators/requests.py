@@ -262,9 +262,12 @@ def fix_requests(
         F.count("section").alias("n_sources"),
         F.count(F.lit(1)).alias("n_shown"),
     )
+    zero = F.lit(0).cast("bigint")
     rows = with_catalog(details.filter(F.col("type") != CLEAN)).join(
-        shown, ["project_id", "type"]
-    ).join(architectures.select("project_id", "architecture_pattern"), "project_id")
+        shown, ["project_id", "type"], "left"
+    ).withColumns({
+        "n_shown": F.coalesce("n_shown", zero), "n_sources": F.coalesce("n_sources", zero),
+    }).join(architectures.select("project_id", "architecture_pattern"), "project_id")
     more = F.col("n_files") - F.col("n_shown")
     before, after = F.col("catalog_before_code"), F.col("catalog_after_code")
     example = F.when(
