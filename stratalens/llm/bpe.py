@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratalens.llm.common import ship
+
 # The pre-token pattern of byte-level tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens in each of the two generations kept in a worker, and the longest one kept.
@@ -157,6 +159,7 @@ def codec(path: str) -> Codec:
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
            count: str = "n_tokens") -> DataFrame:
     """Replace the text by its token ids (``array<int>``) and their number."""
+    ship(df.sparkSession)
     kept = [c for c in df.columns if c not in (text, ids, count)]
     schema = T.StructType([*[df.schema[c] for c in kept],
                            T.StructField(count, T.LongType()),
@@ -178,6 +181,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """Replace token ids by their text; null ids give the empty text."""
+    ship(df.sparkSession)
     kept = [c for c in df.columns if c not in (text, ids)]
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(text, T.StringType())])
 
@@ -193,6 +197,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> Da
 
 def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: number of tokens, digest of the ids, digest of the text decoded from them."""
+    ship(df.sparkSession)
     schema = T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids_sha256", T.StringType()),
                            T.StructField("decoded_sha256", T.StringType())])

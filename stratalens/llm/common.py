@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+import stratalens
 from stratalens.sources.staging import staged
 
 SPACE = " \t\n\x0b\f\r"
@@ -16,6 +21,25 @@ BROADCAST_ROWS = 100_000
 SALTS = 32
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package's code to the Python workers, once per application, so that
+    they need no copy of their own. Spark distributes the archive; the driver's
+    temporary folder holds nothing but this code."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(stratalens.__file__).parent
+    archive = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def text_of(column: Column | str) -> Column:
     """The text, a null as the empty one."""
     column = F.col(column) if isinstance(column, str) else column

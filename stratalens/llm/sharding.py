@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalens.llm.common import numbered, text_of
+from stratalens.llm.common import numbered, ship, text_of
 
 # Fixed value: the multiplier of the generator that jump hashing draws from.
 MULTIPLIER = 2862933555777941757
@@ -43,6 +43,7 @@ def shard_of(key: Column, shards: int) -> Column:
     """Shard in [0, shards) of a key of any type."""
     if shards < 1:
         raise ValueError("at least one shard")
+    ship(SparkSession.active())
 
     @F.pandas_udf(T.IntegerType())
     def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalens.llm.common import attach, components, given
+from stratalens.llm.common import attach, components, given, ship
 from stratalens.sources.staging import staged
 
 # The seed of the shingle hash, and the bits in which linked fingerprints may differ.
@@ -66,6 +66,7 @@ def simhash(hashes: np.ndarray) -> int:
 
 def fingerprints(df: DataFrame, text: str, also: list[str], width: int) -> DataFrame:
     """The columns ``also`` and the fingerprint as a signed long."""
+    ship(df.sparkSession)
     schema = T.StructType([*[df.schema[c] for c in also], T.StructField("fingerprint", T.LongType())])
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,6 +159,7 @@ def similarity(a: str, b: str, width: int) -> float:
 
 
 def _signatures(df: DataFrame, text: str, width: int) -> DataFrame:
+    ship(df.sparkSession)
     schema = "_row long, _same long, _same2 long, fingerprint long, _bands array<long>"
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

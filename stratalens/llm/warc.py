@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import attach, text_of, with_row
+from stratalens.llm.common import attach, ship, text_of, with_row
 from stratalens.sources.staging import staged, staged_path
 
 # Fixed values of the format.
@@ -141,6 +141,7 @@ def _key(row) -> tuple:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The captures of all archives below ``path``: a sorted run per archive."""
+    ship(spark)
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for archive, data in zip(batch["path"], batch["content"]):
@@ -180,6 +181,7 @@ def merged(runs: list[list]) -> Iterator:
 def history(captured: DataFrame) -> DataFrame:
     """All captures in the order of URL key, timestamp and id, with the part of the index
     and the place in the part. A part's rows are held in memory as far as one range."""
+    ship(captured.sparkSession)
     runs = staged(captured, "runs")  # the sampling of the ranges reads them, and so does the merge
     names = [c.split()[0] for c in CAPTURE.split(", ")]
 
