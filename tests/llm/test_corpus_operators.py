@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -66,6 +70,19 @@ def test_components_equal_union_find(spark):
     assert common.components(links.limit(0)).collect() == []
 
 
+def test_workers_get_the_package_from_the_driver(tmp_path):
+    """In a folder from which nothing can be imported, operators still run."""
+    code = ("import sys; sys.path.insert(0, %r)\n"
+            "from stratalens.session import local_session\n"
+            "spark = local_session(1, 1)\n"
+            "from stratalens.llm import sharding\n"
+            "rows = spark.createDataFrame([(1, 'a'), (None, None)], 'doc_id long, text string')\n"
+            "print('ROWS', sharding.assign(rows, 4).count())" % str(Path(__file__).parents[2]))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "ROWS 2" in done.stdout, done.stderr[-2000:]
+
+
 # --- near copies -------------------------------------------------------------------
 
 def signed(x):
