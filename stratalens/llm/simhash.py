@@ -40,6 +40,12 @@ LOW = 0x1111111111111111
 #: Signatures for similar texts: bands of least hashes. Two texts that share 0.8 of their
 #: shingles miss each other in all bands with probability 0.0002.
 BANDS, ROWS = 16, 4
+#: Texts in which shingles are counted to order them, and counted shingles that travel.
+COUNTED, COMMON = 4096, 100_000
+#: Texts of a shared rare shingle up to which all its pairs are compared at once; a block of larger ones.
+BLOCK = 128
+#: Rounds in which one text of a crowded shingle is compared with the others, before all pairs are.
+LEADS = 2
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -158,9 +164,43 @@ def similarity(a: str, b: str, width: int) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def _signatures(df: DataFrame, text: str, width: int) -> DataFrame:
+def prefix(hashes: np.ndarray, common: np.ndarray, times: np.ndarray, least: float) -> tuple[np.ndarray, int]:
+    """The rarest of a text's distinct hashes, in an order that is the same for all texts, and
+    how many of them are not ``common`` (sorted, met so many ``times``). Two texts that share
+    ``least`` of their hashes have one of these in common."""
+    at = np.searchsorted(common, hashes)
+    found = at < len(common)
+    found[found] = common[at[found]] == hashes[found]
+    weight = np.zeros(len(hashes), dtype=np.int64)
+    weight[found] = times[at[found]]
+    n = len(hashes) - int(np.ceil(least * len(hashes) - 1e-6)) + 1 if len(hashes) else 0
+    return hashes[np.lexsort((hashes, weight))[:n]], int(len(hashes) - found.sum())
+
+
+def _counted(df: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles met in several of a bounded number of texts, and how often. They only order
+    the shingles: any order is right, a good one makes few candidates."""
     ship(df.sparkSession)
-    schema = "_row long, _same long, _same2 long, fingerprint long, _bands array<long>"
+    every = max(1, df.count() // COUNTED)
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x in batch[text]:
+                yield pd.DataFrame({"_h": np.unique(shingle_hashes(x or "", width)).view(np.int64)})
+
+    few = df.where(F.pmod(F.xxhash64("_row"), F.lit(every)) == 0).select(text)
+    often = few.mapInPandas(made, "_h long").groupBy("_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = often.orderBy(F.desc("n"), "_h").limit(COMMON).collect()
+    common = np.array([r["_h"] for r in rows], dtype=np.int64).view(np.uint64)
+    order = np.argsort(common)
+    return common[order], np.array([r["n"] for r in rows], dtype=np.int64)[order]
+
+
+def _signatures(df: DataFrame, text: str, width: int, least: float) -> DataFrame:
+    ship(df.sparkSession)
+    common, times = _counted(df, text, width)
+    schema = ("_row long, _same long, _same2 long, fingerprint long, _bands array<long>, "
+              "_prefix array<long>, _size int, _rare int")
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -168,9 +208,12 @@ def _signatures(df: DataFrame, text: str, width: int) -> DataFrame:
             for row, x in zip(batch["_row"], batch[text]):
                 hashes = shingle_hashes(x or "", width)
                 raw = (x or "").encode("utf-8")
+                distinct = np.unique(hashes)
+                first, rare = prefix(distinct, common, times, least)
                 rows.append((row, *[xxhash.xxh64_intdigest(raw, s) - (1 << 63) for s in (1, 2)],
-                             simhash(hashes), bands(np.unique(hashes))))
-            yield pd.DataFrame(rows, columns=["_row", "_same", "_same2", "fingerprint", "_bands"])
+                             simhash(hashes), bands(distinct), first.view(np.int64), len(distinct), rare))
+            yield pd.DataFrame(rows, columns=["_row", "_same", "_same2", "fingerprint", "_bands",
+                                              "_prefix", "_size", "_rare"])
 
     return df.select("_row", text).mapInPandas(made, schema)
 
@@ -183,9 +226,10 @@ def near_copies(df: DataFrame, text: str = "text", width: int = 5, least: float
     candidates are texts whose fingerprints link on the grid, and texts that meet in a
     band of least hashes; every candidate pair is verified on the whole texts. In a band
     all texts are compared with one of them, another one in each band, never in pairs.
+    What these leave apart is joined exactly (``_completed``).
     """
     rows = df.select("_row", text)
-    signed = staged(_signatures(rows, text, width), "signatures")
+    signed = staged(_signatures(rows, text, width, least), "signatures")
     same = staged(signed.groupBy("_same", "_same2").agg(F.min("_row").alias("_first")), "same")
     own = staged(signed.join(same, signed["_row"] == same["_first"]).select(
         "_row", "fingerprint", "_bands"), "distinct_texts")
@@ -212,10 +256,76 @@ def near_copies(df: DataFrame, text: str = "text", width: int = 5, least: float
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     pairs = staged(pairs, "pairs")
     verified = staged(_verified(rows, pairs, text, width, least), "verified")
-    parts = components(verified.union(equal))
+    parts = _completed(rows, signed.join(same, signed["_row"] == same["_first"], "left_semi"),
+                       verified.union(equal), text, width, least)
     return staged(parts.select(F.col("node").alias("_row"), F.col("root").alias("_root")), "groups")
 
 
+def _completed(rows: DataFrame, signed: DataFrame, found: DataFrame, text: str, width: int, least: float) -> DataFrame:
+    """(node, root): components of the links ``found`` and of all pairs that share ``least``
+    of their shingles.
+
+    Texts of such a pair have one of their rarest shingles in common (``prefix``), and at
+    the first such the shingles left in both are enough for the overlap. Only pairs of
+    different components are compared. Where many texts share a shingle, the one with the
+    fewest uncommon shingles, as the original among its copies, is compared with the others
+    first, and once more among those left apart if that links any; then all pairs.
+    """
+    listed = signed.select("_row", "_size", "_rare", F.posexplode("_prefix").alias("_at", "_h"))
+    met = staged(listed.groupBy("_h").agg(F.min("_row").alias("_lo"), F.max("_row").alias("_hi"))
+                 .where("_lo < _hi").select("_h", F.lit(True).alias("_met")), "shared")
+    listed = staged(attach(listed, met, ["_h"], F.col("_row")).where("_met").drop("_met"), "postings")
+    parts = staged(components(found), "components")
+
+    def apart(entries: DataFrame) -> DataFrame:
+        """Entries of shingles that texts of different components share, and their number."""
+        named = attach(entries, parts.select(F.col("node").alias("_row"), F.col("root").alias("_part")), ["_row"], F.col("_at"))
+        named = staged(named.withColumn("_part", F.coalesce("_part", "_row")), "named")
+        open_ = staged(named.groupBy("_h").agg(F.min("_part").alias("_lo"), F.max("_part").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+                       .where("_lo < _hi").select("_h", "_n"), "open")
+        return staged(attach(named, open_, ["_h"], F.col("_row")).where("_n IS NOT NULL"), "apart")
+
+    def fits(a: str, b: str) -> Column:
+        size = F.col(f"{a}_size") + F.col(f"{b}_size")
+        left = F.least(F.col(f"{a}_size") - F.col(f"{a}_at"), F.col(f"{b}_size") - F.col(f"{b}_at"))
+        return (F.col(f"{a}_part") != F.col(f"{b}_part")) & (left * (1 + least) >= size * least - 1e-6)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return staged(_verified(rows, staged(pairs, "pairs"), text, width, least), "verified")
+
+    columns = ["_row", "_size", "_rare", "_at", "_h"]
+    rest = listed
+    for _ in range(LEADS):
+        crowded = apart(rest).where(F.col("_n") > BLOCK)
+        first = crowded.groupBy("_h").agg(F.min(F.struct(
+            (F.col("_rare") / F.col("_size")).alias("_share"), F.col("_row"), F.col("_size"), F.col("_at"), F.col("_part"))).alias("_l"))
+        first = staged(first.select("_h", *[F.col(f"_l.{c}").alias(f"_l{c}") for c in ("_row", "_size", "_at", "_part")]), "leaders")
+        if first.isEmpty():
+            break
+        led = staged(attach(crowded, first, ["_h"], F.col("_row")), "led")
+        new = linked(led.where(fits("", "_l")).select(F.col("_l_row").alias("a"), F.col("_row").alias("b")))
+        if new.isEmpty():
+            break
+        found = found.union(new)
+        parts = staged(components(found), "components")
+        # those that the leader's component does not hold now
+        named = attach(led, parts.select(F.col("node").alias("_row"), F.col("root").alias("_now")), ["_row"], F.col("_at"))
+        named = attach(staged(named, "now"), parts.select(F.col("node").alias("_l_row"), F.col("root").alias("_then")), ["_l_row"], F.col("_row"))
+        rest = staged(named.where(F.coalesce("_now", "_row") != F.coalesce("_then", "_l_row")).select(*columns), "rest")
+
+    # all pairs, a crowded shingle's in blocks: no task gets them all
+    open_ = apart(listed).withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("_row"), F.col("_blocks")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    side = lambda s: [F.col(c).alias(f"{s}{c}") for c in ("_row", "_size", "_at", "_part")]
+    left = open_.select("_h", *side("x"), own.alias("_i"), others.alias("_j"))
+    right = open_.select("_h", *side("y"), others.alias("_i"), own.alias("_j"))
+    pairs = left.join(right, ["_h", "_i", "_j"]).where(F.col("x_row") < F.col("y_row")).where(fits("x", "y"))
+    new = linked(pairs.select(F.col("x_row").alias("a"), F.col("y_row").alias("b")))
+    return parts if new.isEmpty() else components(found.union(new))
+
+
 def _verified(rows: DataFrame, pairs: DataFrame, text: str, width: int, least: float) -> DataFrame:
     asked = pairs.select(F.col("a").alias("_row")).union(pairs.select(F.col("b").alias("_row"))).distinct()
     texts = staged(rows.join(asked, "_row", "left_semi"), "asked_texts")

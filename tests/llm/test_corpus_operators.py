@@ -172,6 +172,51 @@ def test_unlike_texts_stay_apart(spark, tmp_path):
     assert simhash.dedup(docs).count() == 60
 
 
+def test_copies_that_only_their_base_links_are_one_group(spark, tmp_path, monkeypatch):
+    """Copies of a base, each at least 0.8 like it and less like one another."""
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(300)]
+    given = [(0, " ".join(base), "en", "a")]
+    for c in range(1, 400):
+        words = list(base)
+        for i in rng.sample(range(10, 290), 6):
+            words[i] = f"c{c}x{i}"
+        given.append((c, " ".join(words), "en", "a"))
+    given += [(1000 + i, cases.prose(i, 90), "en", "a") for i in range(20)]
+    sets = {k: set(simhash.shingle_hashes(t, 5).tolist()) for k, t, *_ in given}
+    like = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(like) < 3000
+    docs = cases.stored(spark, tmp_path / "t", cases.documents(spark, given).repartition(3))
+    want = groups(sets, like)
+    assert len(set(want.values())) == 21
+    ids = {r._row: r._given.doc_id for r in common.given(docs).collect()}
+    found = {ids[r._row]: ids[r._root] for r in simhash.near_copies(common.given(docs).select("_row", F.col("_given.text").alias("text"))).collect()}
+    pairs = [(k, found.get(k, k)) for k in sets]
+    assert groups(sets, pairs) == want
+    assert simhash.dedup(docs).count() == 21
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 4])
+def test_near_copies_equal_brute_force(spark, tmp_path, monkeypatch, block):
+    """Also without bands, fingerprints and leaders to help: all pairs near the limit are found."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "bands", lambda hashes: [])
+    rng = random.Random(5)
+    given = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(rng.choice([8, 60, 150]))]
+        for c in range(15):
+            words = list(base)[:rng.randint(len(base) * 3 // 4, len(base))]
+            for i in rng.sample(range(len(words)), rng.randint(0, max(1, len(words) // 40))):
+                words[i] = f"c{c}x{i}"
+            given.append((len(given), " ".join(words), "en", "a"))
+    sets = {k: set(simhash.shingle_hashes(t, 5).tolist()) for k, t, *_ in given}
+    like = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    docs = cases.stored(spark, tmp_path / "t", cases.documents(spark, given).repartition(3))
+    assert simhash.dedup(docs).count() == len(set(groups(sets, like).values()))
+
+
 # --- mixing ------------------------------------------------------------------------
 
 def plain_targets(sizes: dict) -> dict:
