@@ -213,6 +213,14 @@ def test_variable_words_are_generalised(spark, tmp_path):
     assert got == {0: [], 1: [1], 2: [1], 9: []}
 
 
+def test_short_lines_recur_too(spark, tmp_path):
+    given = [(i, f"All rights reserved.\n\n{cases.prose(i, 20)}\nPage {i} of 9\n \nMenu" + "\nonly two" * (i < 2), "en", "a")
+             for i in range(4)]
+    docs = cases.stored(spark, tmp_path / "t", cases.documents(spark, given).coalesce(1))
+    got = {r.doc_id: r.gone for r in line_templates.dedup(docs, dropped="gone").collect()}
+    assert got == {0: [], **{i: [0, 3, 5] for i in (1, 2, 3)}}  # lines 1 and 4 have no token; two documents may share two words
+
+
 def test_line_templates_of_awkward_rows(docs):
     out = line_templates.dedup(docs, dropped="gone").select("doc_id", "text", "gone").collect()
     assert len(out) == docs.count()
