@@ -213,6 +213,19 @@ def test_variable_words_are_generalised(spark, tmp_path):
     assert got == {0: [], 1: [1], 2: [1], 9: []}
 
 
+def test_families_of_one_leaf_have_templates_of_their_own(spark, tmp_path):
+    """A hot and a small family of like start and length, and two of like size."""
+    hot = "Posted on the front page by user {} in the weather section of our paper today"
+    small = "Posted on the front page while visitor {} was reading about old boats near Genoa bay"
+    one, two = "Seen at the north gate where {} sold red apples", "Seen at the north gate before {} drew blue horses"
+    names = ["anna", "bert", "carl", "dora", "egon", "fritz"]
+    lines = [[hot.format(n)] for n in names] + [[small.format(n), one.format(n), two.format(n)] for n in names[:2]]
+    given = [(i, "\n".join([cases.prose(i, 20), *x]), "en", "a") for i, x in enumerate(lines)]
+    docs = cases.stored(spark, tmp_path / "t", cases.documents(spark, given).coalesce(1))
+    got = {r.doc_id: r.gone for r in line_templates.dedup(docs, dropped="gone").collect()}
+    assert got == {0: [], **{i: [1] for i in range(1, 6)}, 6: [], 7: [1, 2, 3]}
+
+
 def test_short_lines_recur_too(spark, tmp_path):
     given = [(i, f"All rights reserved.\n\n{cases.prose(i, 20)}\nPage {i} of 9\n \nMenu" + "\nonly two" * (i < 2), "en", "a")
              for i in range(4)]
