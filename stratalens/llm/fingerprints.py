@@ -24,7 +24,7 @@ from stratalens.llm.common import numbered, text_of, with_row, words
 from stratalens.llm.shingles import bit_counts, bit_sums
 from stratalens.sources.staging import staged
 
-EXACT, LANES = 8, 64
+EXACT, LANES = 8, 128
 EXACT_MASK, LANE_MASK, LANE_SIGN = (1 << 32) - 1, (1 << 16) - 1, 1 << 15
 
 
@@ -59,9 +59,10 @@ def vectors(rows: DataFrame, by: list[str], body: str) -> DataFrame:
     pairs = pairs.select(*by, "_exact", F.explode_outer(
         F.arrays_zip(F.col("_u").alias("a"), F.slice("_u", 2, F.greatest(F.size("_u"), F.lit(1))).alias("b"))).alias("_p"))
     there = F.col("_p").isNotNull()
-    hashed = pairs.select(*by, "_exact", F.when(there, F.xxhash64("_p")).alias("_h"))
-    sums = hashed.groupBy(*by, "_exact").agg(F.count("_h").alias("_n"), *bit_sums("_h", "_x"))
-    signed = [(c * 2 - F.col("_n")).bitwiseAND(F.lit(LANE_MASK)) for c in bit_counts("_x")]
+    hashed = pairs.select(*by, "_exact", F.when(there, F.xxhash64("_p")).alias("_h"),
+                          F.when(there, F.xxhash64("_p", F.lit(1))).alias("_g"))
+    sums = hashed.groupBy(*by, "_exact").agg(F.count("_h").alias("_n"), *bit_sums("_h", "_x"), *bit_sums("_g", "_y"))
+    signed = [(c * 2 - F.col("_n")).bitwiseAND(F.lit(LANE_MASK)) for c in bit_counts("_x") + bit_counts("_y")]
     lanes = F.array(*[(s.bitwiseXOR(F.lit(LANE_SIGN)) - LANE_SIGN).cast("smallint") for s in signed])
     return sums.select(*by, F.unhex("_exact").alias("exact"), lanes.alias("lanes"))
 

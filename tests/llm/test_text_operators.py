@@ -265,6 +265,13 @@ def test_likeness_tells_an_edit_from_another_text(spark, tmp_path):
     assert all(r.near_edited > 0.3 and r.near_edited > r.near_next for r in got)
 
 
+def test_all_lanes_of_both_hashes_are_there(spark, tmp_path):
+    docs = cases.stored(spark, tmp_path / "t", cases.documents(spark, [(1, cases.prose(1, 400), "", "")]))
+    likeness = fingerprints.fingerprint(docs).first().fingerprint[8 * fingerprints.EXACT:]
+    lanes = [likeness[i:i + len(likeness) // 128] for i in range(0, len(likeness), len(likeness) // 128)]
+    assert len(lanes) == 128 == fingerprints.LANES and lanes[:64] != lanes[64:]
+
+
 def test_fingerprint_is_a_homomorphism_of_multisets(spark, tmp_path):
     a, b = cases.prose(1, 40) + "\n" + cases.prose(2, 30), cases.prose(3, 50) + "\n" + cases.prose(1, 40)
     given = [(1, a, "", ""), (2, b, "", ""), (3, a + "\n" + b, "", ""), (4, "\n".join(sorted((a + "\n" + b).split("\n"))), "", ""),
