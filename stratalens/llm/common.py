@@ -6,6 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,10 +53,39 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP))
 
 
+#: Bits of a row's number for its place in its file.
+PLACE_BITS = 40
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """The columns of ``df`` with the path of each row's file and the place in the file."""
+    meta = df.metadataColumn("_metadata")
+    return df.select("*", meta["file_path"].alias("_path"), meta["row_index"].alias("_place"))
+
+
 def with_row(df: DataFrame, name: str) -> DataFrame:
-    """Number the rows by partition and place. A stored table read again under
-    the same settings gets the same numbers."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Number the rows of a stored table by file (in the order of the paths) and place in the
+    file. However a read splits the files among tasks, a row keeps its number. What is no
+    stored table is written down first, so only reads of the result agree."""
+    try:
+        placed = _placed(df)
+    except AnalysisException:
+        df = staged(df, "rows")
+        placed = _placed(df)
+    # the listing writes "file:///a" where a row has "file:/a"
+    paths = sorted(path.replace(":///", ":/", 1) for path in df.inputFiles())
+    if len(paths) < 2:
+        return placed.withColumn(name, F.col("_place")).drop("_path", "_place")
+    # one literal text of all paths; a row per file of the table
+    files = df.sparkSession.range(1).select(
+        F.posexplode(F.split(F.lit("\n".join(paths)), "\n")).alias("_file", "_path"))
+    if len(paths) <= BROADCAST_ROWS:
+        files = F.broadcast(files)
+    # a path that the listing lacks must not lose its rows unnoticed
+    file = F.coalesce(F.col("_file").cast("bigint"),
+                      F.raise_error(F.concat(F.lit("file not listed: "), F.col("_path"))).cast("bigint"))
+    return (placed.join(files, "_path", "left")
+            .withColumn(name, F.shiftleft(file, PLACE_BITS) + F.col("_place")).drop("_path", "_file", "_place"))
 
 
 def given(df: DataFrame) -> DataFrame:

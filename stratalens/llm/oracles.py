@@ -76,3 +76,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT coalesce(failed, false) AS kept
 FROM b LEFT JOIN over USING (rid)
 """
+
+DIGEST_INDEX = """
+WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256,
+    row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id DESC NULLS LAST) AS place FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       place = 1 AS kept, text_sha256
+FROM d
+"""

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.llm import (
-    bpe, fingerprints, line_templates, mixing, oracles, quality_rules, ranking, secrets, sharding, simhash, warc,
+    bpe, conversation_repair, digest_index, fingerprints, line_templates, mixing, oracles, periodic_runs, quality_rules,
+    ranking, secrets, sharding, simhash, warc,
 )
 
 
@@ -67,6 +68,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "n_repeat_words", "base_failed", "kept")
 
 
+def op11_streamed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(_table(spark, sf_dir, "conversations"), damage=True)
+
+
+def op12_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_index.groups(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.detect(_table(spark, sf_dir, "documents"), damage=True)
+
+
 QUERIES = {
     "op1_multiset_hash": op1_multiset_hash,
     "op2_pairwise_ranking": op2_pairwise_ranking,
@@ -78,9 +91,13 @@ QUERIES = {
     "op8_line_templates": op8_line_templates,
     "op9_jump_shards": op9_jump_shards,
     "op10_quality_rules": op10_quality_rules,
+    "op11_streamed_repair": op11_streamed_repair,
+    "op12_digest_index": op12_digest_index,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE = {
     "op4_warc_merge": oracles.WARC,
     "op10_quality_rules": oracles.QUALITY_RULES,
+    "op12_digest_index": oracles.DIGEST_INDEX,
 }
