@@ -256,31 +256,41 @@ def near_copies(df: DataFrame, text: str = "text", width: int = 5, least: float
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     pairs = staged(pairs, "pairs")
     verified = staged(_verified(rows, pairs, text, width, least), "verified")
-    parts = _completed(rows, signed.join(same, signed["_row"] == same["_first"], "left_semi"),
-                       verified.union(equal), text, width, least)
+    firsts = same.select(F.col("_first").alias("_row"))
+    parts = _completed(rows, signed, firsts, verified.union(equal), text, width, least)
     return staged(parts.select(F.col("node").alias("_row"), F.col("root").alias("_root")), "groups")
 
 
-def _completed(rows: DataFrame, signed: DataFrame, found: DataFrame, text: str, width: int, least: float) -> DataFrame:
+def _completed(rows: DataFrame, signed: DataFrame, firsts: DataFrame, found: DataFrame, text: str, width: int,
+               least: float) -> DataFrame:
     """(node, root): components of the links ``found`` and of all pairs that share ``least``
-    of their shingles.
+    of their shingles. ``firsts`` are the rows of different texts.
 
     Texts of such a pair have one of their rarest shingles in common (``prefix``), and at
     the first such the shingles left in both are enough for the overlap. Only pairs of
-    different components are compared. Where many texts share a shingle, the one with the
+    different components are compared, so one aggregation first finds the shingles that
+    several components share (the least and the greatest component that has it); no entry
+    of any other shingle is ever moved. Where many texts share a shingle, the one with the
     fewest uncommon shingles, as the original among its copies, is compared with the others
     first, and once more among those left apart if that links any; then all pairs.
     """
-    listed = signed.select("_row", "_size", "_rare", F.posexplode("_prefix").alias("_at", "_h"))
-    met = staged(listed.groupBy("_h").agg(F.min("_row").alias("_lo"), F.max("_row").alias("_hi"))
-                 .where("_lo < _hi").select("_h", F.lit(True).alias("_met")), "shared")
-    listed = staged(attach(listed, met, ["_h"], F.col("_row")).where("_met").drop("_met"), "postings")
     parts = staged(components(found), "components")
 
+    def rooted(entries: DataFrame) -> DataFrame:
+        named = entries.join(parts.select(F.col("node").alias("_row"), F.col("root").alias("_part")), "_row", "left")
+        return named.withColumn("_part", F.coalesce("_part", "_row"))
+
+    # the component joins a text's row, not its entries
+    sides = (rooted(signed.select("_row", "_prefix").join(firsts, "_row", "left_semi")).select("_part", F.explode("_prefix").alias("_h"))
+             .groupBy("_h").agg(F.min("_part").alias("_lo"), F.max("_part").alias("_hi")))
+    shared = staged(sides.where("_lo < _hi").select("_h", F.lit(True).alias("_shared")), "shared")
+    listed = signed.select("_row", "_size", "_rare", F.posexplode("_prefix").alias("_at", "_h"))
+    listed = staged(attach(listed, shared, ["_h"], F.col("_row")).where("_shared").drop("_shared")
+                    .join(firsts, "_row", "left_semi"), "postings")
+
     def apart(entries: DataFrame) -> DataFrame:
         """Entries of shingles that texts of different components share, and their number."""
-        named = attach(entries, parts.select(F.col("node").alias("_row"), F.col("root").alias("_part")), ["_row"], F.col("_at"))
-        named = staged(named.withColumn("_part", F.coalesce("_part", "_row")), "named")
+        named = staged(rooted(entries), "named")
         open_ = staged(named.groupBy("_h").agg(F.min("_part").alias("_lo"), F.max("_part").alias("_hi"), F.count(F.lit(1)).alias("_n"))
                        .where("_lo < _hi").select("_h", "_n"), "open")
         return staged(attach(named, open_, ["_h"], F.col("_row")).where("_n IS NOT NULL"), "apart")
