@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stratalens.functions.numeric import round_exact
@@ -117,3 +119,39 @@ def quality_metrics(df: DataFrame, label: str = "label", score: str = "quality_s
         (1 - F.sum(error * error) / (F.var_pop(actual) * F.count(actual))).alias("r2"),
         F.count(F.lit(1)).alias("n"),
     )
+
+
+#: Mean held-out error over the folds, its deviation, and how much larger it is than in training.
+CV_FIGURES = ["cv_rmse", "cv_std", "overfit_gap"]
+
+
+def fold_of(key: Column, folds: int) -> Column:
+    """Fold of a whole-number key, as any engine can compute it."""
+    return F.pmod(key, F.lit(folds)).cast("int")
+
+
+def cross_validated(
+    df: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], fold: Column, folds: int,
+    label: str = "label", score: str = "quality_score",
+) -> DataFrame:
+    """One row of CV_FIGURES. ``fit`` takes training rows and gives a step that adds ``score``.
+
+    One model is fitted per fold, without that fold's rows. All models then score all rows in
+    one pass, so each has its error on the held-out and on the training rows.
+    """
+    rows = df.withColumn("_fold", fold)
+    steps = [fit(rows.filter(F.col("_fold") != i).drop("_fold")) for i in range(folds)]
+    for i, step in enumerate(steps):
+        rows = step(rows).withColumnRenamed(score, f"_score{i}")
+
+    def error(i: int, held: bool) -> Column:
+        squared = (F.col(f"_score{i}") - F.col(label)) * (F.col(f"_score{i}") - F.col(label))
+        return F.sqrt(F.avg(F.when((F.col("_fold") == i) == held, squared)))
+
+    errors = rows.agg(*[error(i, True).alias(f"_held{i}") for i in range(folds)],
+                      *[error(i, False).alias(f"_train{i}") for i in range(folds)], F.count(F.lit(1)).alias("n"))
+    mean = lambda columns: sum(columns[1:], columns[0]) / folds
+    held, train = ([F.col(f"_{name}{i}") for i in range(folds)] for name in ("held", "train"))
+    away = [(h - mean(held)) * (h - mean(held)) for h in held]
+    return errors.select(mean(held).alias("cv_rmse"), F.sqrt(mean(away)).alias("cv_std"),
+                         (mean(held) - mean(train)).alias("overfit_gap"), "n")

@@ -13,7 +13,7 @@ def fix_suggestions(details: DataFrame, replies: DataFrame | None = None) -> Dat
     """One row per violation. Layer and problem come from the detail, else
     from the catalogue; the advice is always the catalogue's. A type outside
     the catalogue gets the entry of ``clean``. ``replies`` hold the text of
-    an external fix by (project, type)."""
+    an external fix by (project, type) or, for requests, (request, position)."""
     fallback = dict(zip([f.split()[0] for f in SCHEMA.split(", ")], fallback_entry()))
     violations = details.filter(~F.coalesce("type", F.lit("")).isin(CLEAN, ""))
     keep = violations.columns
@@ -28,11 +28,12 @@ def fix_suggestions(details: DataFrame, replies: DataFrame | None = None) -> Dat
     else:
         # of several, the first that says anything, in text order
         told = replies.filter(F.length(F.coalesce("reply", F.lit(""))) > 0)
-        told = told.groupBy("project_id", "type").agg(F.min("reply").alias("reply"))
-        joined = known.join(told, ["project_id", "type"], "left")
+        keys = ["request_id", "position"] if "request_id" in replies.columns else ["project_id", "type"]
+        told = told.groupBy(*keys).agg(F.min("reply").alias("reply"))
+        joined = known.join(told, keys, "left")
     reply = F.coalesce("reply", F.lit(""))
     return joined.select(
-        "project_id", "position",
+        *[c for c in ("request_id",) if c in keep], "project_id", "position",
         F.col("type").alias("anti_pattern"),
         or_else(F.col("affected_layer"), F.col("catalog_usual_layer")).alias("layer"),
         "severity",

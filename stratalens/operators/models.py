@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -133,13 +134,35 @@ def load_models(spark: SparkSession, path: str) -> tuple[PipelineModel, Pipeline
     return PipelineModel.load(f"{path}/antipattern"), PipelineModel.load(f"{path}/quality")
 
 
+def fit_group_means(train: DataFrame, keys: list[str], label: str = "label"):
+    """The simplest regressor: the mean label of each group, the overall mean for groups
+    not seen. Gives a step that adds ``quality_score``."""
+    spots = {k: f"_group_{k}" for k in keys}
+    means = train.groupBy(*[F.col(k).alias(spots[k]) for k in keys]).agg(F.avg(label).alias("_mean"))
+    overall = train.agg(F.avg(label).alias("_overall"))  # one row
+
+    def step(df: DataFrame) -> DataFrame:
+        same = [df[k].eqNullSafe(means[spots[k]]) for k in keys]
+        scored = df.join(means, same, "left").join(F.broadcast(overall))
+        return scored.withColumn("quality_score", F.coalesce("_mean", "_overall")).drop("_mean", "_overall", *spots.values())
+
+    return step
+
+
+def write_metadata(spark: SparkSession, meta_path: str, names: list[str], performance: DataFrame | None = None) -> None:
+    """A model's metadata file: its feature list and, as ``performance``, a row of figures."""
+    listed = spark.range(1).select(F.split(F.lit("\n".join(names)), "\n").alias("feature_names"))
+    if performance is not None:
+        listed = listed.join(performance.select(F.struct(*performance.columns).alias("performance")))
+    listed.coalesce(1).write.mode("overwrite").json(meta_path)
+
+
 def feature_columns(spark: SparkSession, meta_path: str) -> list[str]:
     """Feature list of a model's metadata file, the default list without one."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(meta_path)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    if not found:
+    try:
+        meta = spark.read.json(meta_path, multiLine=True)
+    except AnalysisException:  # no such file
         return list(QUALITY_FEATURES)
-    meta = spark.read.json(meta_path, multiLine=True)
     if "feature_names" not in meta.columns:
         return list(QUALITY_FEATURES)
     return list(meta.select("feature_names").first()[0])

@@ -56,19 +56,19 @@ def _labelled(label: str, value: Column) -> Column:
     return F.concat(F.lit(f"{label}: "), value.cast("string"))
 
 
-def source_sections(sources: DataFrame, max_lines: int) -> DataFrame:
+def source_sections(sources: DataFrame, max_lines: int, owner: list[str] = ["project_id"]) -> DataFrame:
     """Shown part of each text under its file name. Cutting comes before any
     join or grouping, so only what is shown is shuffled."""
     section = F.concat(
         F.lit("=== "), F.col("file_name"), F.lit(" ===\n"),
         truncate_lines(F.col("source_code"), max_lines),
     )
-    return sources.select(*source_keys(sources), section.alias("section"))
+    return sources.select(*source_keys(sources, owner), section.alias("section"))
 
 
-def source_keys(sources: DataFrame) -> list[str]:
+def source_keys(sources: DataFrame, owner: list[str] = ["project_id"]) -> list[str]:
     """Texts go by position where it is known, else by name."""
-    return KEY if "file_seq" in sources.columns else ["project_id", "file_name"]
+    return KEY if "file_seq" in sources.columns else [*owner, "file_name"]
 
 
 def joined_sections(section: Column, *order: str, separator: str = "\n\n") -> Column:
@@ -236,27 +236,29 @@ def assessment_requests(
     )
 
 
-def first_members(members: DataFrame, limit: int = MAX_FIX_FILES) -> DataFrame:
-    """The first files of each (project, type). The rank filter is applied
+def first_members(members: DataFrame, limit: int = MAX_FIX_FILES, violation: list[str] = GROUP) -> DataFrame:
+    """The first files of each violation. The rank filter is applied
     before the shuffle too, so only a few rows per group move."""
-    order = Window.partitionBy("project_id", "type").orderBy("origin", "file_seq")
+    order = Window.partitionBy(*violation).orderBy("origin", "file_seq")
     return members.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
 def fix_requests(
     details: DataFrame, members: DataFrame, sources: DataFrame | None,
     architectures: DataFrame, max_lines: int = MAX_SOURCE_LINES,
+    owner: list[str] = ["project_id"], violation: list[str] = GROUP,
 ) -> DataFrame:
     """One request per violation: the first files by name, how many more
     there are, and their source where given. ``architectures`` has one row
-    per project, ``members`` come from ``final_members``."""
-    top = first_members(members)
+    per ``owner`` of violations, ``members`` come from ``final_members``.
+    The keys of ``violation`` are unique in ``details``."""
+    top = first_members(members, violation=violation)
     if sources is None:
         with_code = top.withColumn("section", F.lit(None).cast("string"))
     else:
-        with_code = top.join(source_sections(sources, max_lines), source_keys(sources), "left")
+        with_code = top.join(source_sections(sources, max_lines, owner), source_keys(sources, owner), "left")
     name = F.concat(F.lit("  - "), F.col("file_name"))
-    shown = with_code.groupBy("project_id", "type").agg(
+    shown = with_code.groupBy(*violation).agg(
         joined_sections(name, "rank", separator="\n").alias("_names"),
         joined_sections(F.col("section"), "rank").alias("_sources"),
         F.count("section").alias("n_sources"),
@@ -264,10 +266,10 @@ def fix_requests(
     )
     zero = F.lit(0).cast("bigint")
     rows = with_catalog(details.filter(F.col("type") != CLEAN)).join(
-        shown, ["project_id", "type"], "left"
+        shown, violation, "left"
     ).withColumns({
         "n_shown": F.coalesce("n_shown", zero), "n_sources": F.coalesce("n_sources", zero),
-    }).join(architectures.select("project_id", "architecture_pattern"), "project_id")
+    }).join(architectures.select(*owner, "architecture_pattern"), owner)
     more = F.col("n_files") - F.col("n_shown")
     before, after = F.col("catalog_before_code"), F.col("catalog_after_code")
     example = F.when(
@@ -288,7 +290,8 @@ def fix_requests(
         example,
         "Give a recommendation, a short example before and after, and tips.",
     )
+    keys = dict.fromkeys([*owner, *violation, *GROUP])
     return rows.select(
-        "project_id", "type", "architecture_pattern", "n_files", "n_shown", "n_sources",
+        *keys, "architecture_pattern", "n_files", "n_shown", "n_sources",
         prompt.alias("prompt"),
     )

@@ -2,7 +2,11 @@
 
 A request lists violations of one project, each with its files, and may bring
 a map from file name to text. The result is a fix row per violation, the
-prompt for an external fix, and the number of fixes per project.
+prompt for an external fix, and the number of fixes per request.
+
+Everything is keyed by the request and the position of the violation in it.
+A type may be listed any number of times, a project may send any number of
+requests, and a request need not name its project.
 """
 
 from __future__ import annotations
@@ -14,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stratalens.operators.fixes import fix_suggestions, fix_totals
 from stratalens.operators.requests import fix_requests
 from stratalens.schema import CLEAN
-from stratalens.sources.projects import sources_from_maps, with_defaults
+from stratalens.sources.projects import with_defaults
+from stratalens.sources.staging import staged
 
 REQUEST = (
     "project_id long, architecture_pattern string, file_sources map<string,string>, "
@@ -24,10 +29,10 @@ REQUEST = (
 
 
 class FixInput(NamedTuple):
-    details: DataFrame        # a row per violation
-    members: DataFrame        # a row per violation and file
-    sources: DataFrame        # project_id, file_name, source_code
-    architectures: DataFrame  # project_id, architecture_pattern
+    details: DataFrame   # a row per violation
+    members: DataFrame   # a row per violation and file
+    sources: DataFrame   # request_id, file_name, source_code
+    requests: DataFrame  # request_id, project_id, architecture_pattern, total_fixes
 
 
 class FixReport(NamedTuple):
@@ -36,35 +41,42 @@ class FixReport(NamedTuple):
     totals: DataFrame
 
 
+OWNER, VIOLATION = ["request_id"], ["request_id", "position"]
+
+
 def read_fix_requests(spark: SparkSession, path: str) -> FixInput:
     return fix_input(spark.read.schema(REQUEST).json(path))
 
 
 def fix_input(requests: DataFrame) -> FixInput:
-    """Tables of the requests, one request per project. Optional fields take
-    their defaults; ``clean`` and unnamed entries are dropped. A type listed
-    twice counts once, with the texts of its first entry and its files."""
-    entries = requests.select(
-        "project_id", F.posexplode("anti_patterns").alias("_at", "_entry")
-    ).select("project_id", "_at", "_entry.*").filter(~F.coalesce("type", F.lit("")).isin(CLEAN, ""))
+    """Tables of the requests, which are numbered and stored once. Optional fields take their
+    defaults; ``clean`` and unnamed entries are dropped, the others keep their place in the
+    request as ``position``, from 1."""
+    stored = staged(requests.withColumn("request_id", F.monotonically_increasing_id()), "requests")
+    asked = lambda kind: ~F.coalesce(kind, F.lit("")).isin(CLEAN, "")
+    entries = stored.select(
+        "request_id", "project_id", F.posexplode("anti_patterns").alias("_at", "_entry")
+    ).select("request_id", "project_id", (F.col("_at") + 1).cast("bigint").alias("position"), "_entry.*").filter(asked(F.col("type")))
     entries = with_defaults(entries.withColumn(
         "files", F.coalesce("files", F.array().cast("array<string>"))), "fix").drop("architecture_pattern")
-    first = F.min_by(F.struct("affected_layer", "severity", "description", "files"), "_at")
-    details = entries.groupBy("project_id", "type").agg(first.alias("_first"), F.min("_at").alias("_at"))
-    details = details.select(
-        "project_id", "type", (F.col("_at") + 1).cast("bigint").alias("position"),
-        "_first.affected_layer", "_first.severity", "_first.description",
-        F.size("_first.files").cast("bigint").alias("n_files"), F.col("_first.files").alias("_files"),
+    details = entries.select(
+        *VIOLATION, "project_id", "type", "affected_layer", "severity", "description",
+        F.size("files").cast("bigint").alias("n_files"),
     )
-    members = details.select(
-        "project_id", "type", F.lit(0).alias("origin"), F.posexplode("_files").alias("file_seq", "file_name"))
-    architectures = requests.select(
-        "project_id", F.coalesce("architecture_pattern", F.lit("layered")).alias("architecture_pattern"))
-    return FixInput(details.drop("_files"), members, sources_from_maps(requests), architectures)
+    members = entries.select(
+        *VIOLATION, F.lit(0).alias("origin"), F.posexplode("files").alias("file_seq", "file_name"))
+    sources = stored.select("request_id", F.explode("file_sources").alias("file_name", "source_code")).filter(
+        F.length("source_code") > 0)
+    fixes = F.size(F.filter("anti_patterns", lambda x: asked(x["type"])))
+    given = stored.select(
+        "request_id", "project_id", F.coalesce("architecture_pattern", F.lit("layered")).alias("architecture_pattern"),
+        F.when(F.col("anti_patterns").isNull(), 0).otherwise(fixes).cast("bigint").alias("total_fixes"))
+    return FixInput(details, members, sources, given)
 
 
 def suggest_fixes(given: FixInput, replies: DataFrame | None = None) -> FixReport:
-    """``replies`` hold the texts of external fixes by (project, type)."""
+    """``replies`` hold the texts of external fixes by (request, position), or for all
+    violations of a type in a project by (project, type)."""
     fixes = fix_suggestions(given.details, replies)
-    prompts = fix_requests(given.details, given.members, given.sources, given.architectures)
-    return FixReport(fixes, prompts, fix_totals(fixes))
+    prompts = fix_requests(given.details, given.members, given.sources, given.requests, owner=OWNER, violation=VIOLATION)
+    return FixReport(fixes, prompts, given.requests.drop("architecture_pattern"))

@@ -894,6 +894,12 @@ UNION ALL SELECT 'files', count(*), {_checksum('project_id', 'file_name', 'layer
 ORACLE["stream_scores"] = select(SCORED, f"""
 SELECT project_id, file_seq, type, confidence, quality_score,
   {display('quality_score')} AS quality_display, issues FROM s""")
+ORACLE["payload_stream_scores"] = select(SCORED, f"""
+SELECT project_id, file_name, 'scored' AS outcome, type, quality_score, '' AS reasons FROM s
+UNION ALL SELECT project_id, file_name, 'rejected', NULL, NULL, concat_ws('; ', {', '.join(
+    f"CASE WHEN {c} IS NULL THEN '{c} missing' END" for c in _MISSING)},
+  CASE WHEN violates_layer_separation IS NULL THEN 'violates_layer_separation missing' END)
+FROM rec WHERE NOT has_lines""")
 
 ORACLE["large_projects"] = select(SCORED + f""",
 {CAT},
@@ -926,14 +932,33 @@ ORACLE["saved_models_stream"] = select(FILES, _HELD + " FROM rl WHERE file_id %
 
 _FIX_GIVEN = """,
 md2 AS (SELECT * REPLACE (CASE WHEN position=2 THEN 'MEDIUM' ELSE severity END AS severity,
-  CASE WHEN position=3 THEN 'unknown' ELSE affected_layer END AS affected_layer) FROM md)"""
+  CASE WHEN position=3 THEN 'unknown' ELSE affected_layer END AS affected_layer),
+  count(*) OVER (PARTITION BY project_id) AS n_entries FROM md WHERE project_id % 13 <> 0),
+md3 AS (SELECT md2.* REPLACE (position + again * n_entries AS position), sent
+  FROM md2, (VALUES (0), (1)) AS a(again), (VALUES (0), (1)) AS b(sent)
+  WHERE (again=0 OR project_id % 5 = 0) AND (sent=0 OR project_id % 7 = 0))"""
+_GIVEN_ID = "CASE WHEN project_id % 11 <> 0 THEN project_id END AS project_id"
 ORACLE["fix_request_rows"] = select(ML_DETAILS + _FIX_GIVEN + """,
 fr AS (SELECT project_id, type, 'Move it. Files: ' || n_files AS reply FROM md
-  JOIN customer c ON c.c_custkey=project_id WHERE c_acctbal>=0)""", """
-SELECT project_id, position, type AS anti_pattern, affected_layer AS layer, severity,
+  JOIN customer c ON c.c_custkey=project_id WHERE c_acctbal>=0 AND project_id % 11 <> 0),
+un AS (SELECT DISTINCT project_id, sent FROM md, (VALUES (0), (1)) AS b(sent)
+  WHERE project_id % 13 = 0 AND (sent=0 OR project_id % 7 = 0))""", f"""
+SELECT {_GIVEN_ID}, position, type AS anti_pattern, affected_layer AS layer, severity,
   impact::BIGINT AS impact_points, description AS problem, n_files, coalesce(reply, '') AS ai_fix,
-  reply IS NOT NULL AS ai_powered, count(*) OVER (PARTITION BY project_id) AS total_fixes
-FROM md2 LEFT JOIN fr USING (project_id, type)""")
+  reply IS NOT NULL AS ai_powered, count(*) OVER (PARTITION BY md3.project_id, sent) AS total_fixes
+FROM md3 LEFT JOIN fr USING (project_id, type)
+UNION ALL SELECT {_GIVEN_ID}, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0 FROM un""")
 ORACLE["fix_request_prompts"] = (
-    ORACLE["fix_requests"].replace("md JOIN sh", "md2 JOIN sh").replace("\nrk AS (", _FIX_GIVEN[2:] + ",\nrk AS (")
+    ORACLE["fix_requests"].replace("md JOIN sh", "md3 JOIN sh").replace("\nrk AS (", _FIX_GIVEN[2:] + ",\nrk AS (")
+    .replace("SELECT project_id, type, architecture_pattern, n_files", f"SELECT {_GIVEN_ID}, type, position, architecture_pattern, n_files")
     .replace("LEFT JOIN src USING (project_id, file_seq)", "LEFT JOIN (SELECT * FROM src WHERE project_id % 2 = 0) src USING (project_id, file_seq)"))
+ORACLE["cross_validation"] = select(FILES, """
+, base AS (SELECT layer, architecture_pattern, file_id % 5 AS fold, 100e0 - 8e0*vs AS label FROM rl),
+means AS (SELECT k, layer, architecture_pattern, avg(label) AS p FROM base, range(5) t(k) WHERE fold <> k GROUP BY ALL),
+overall AS (SELECT k, avg(label) AS q FROM base, range(5) t(k) WHERE fold <> k GROUP BY ALL),
+err AS (
+  SELECT k, sqrt(avg((coalesce(p, q)-label)*(coalesce(p, q)-label)) FILTER (fold=k)) AS held,
+    sqrt(avg((coalesce(p, q)-label)*(coalesce(p, q)-label)) FILTER (fold<>k)) AS train, count(*) AS n
+  FROM base CROSS JOIN overall LEFT JOIN means USING (k, layer, architecture_pattern) GROUP BY k)
+SELECT round(avg(held), 6) AS cv_rmse, round(stddev_pop(held), 6) AS cv_std,
+  round(avg(held) - avg(train), 6) AS overfit_gap, any_value(n) AS n FROM err""")

@@ -28,12 +28,13 @@ from stratalens.plans.full import analyze_full, blended_files, review_findings
 from stratalens.plans.quality import analyze_quality, files_worst_first
 from stratalens.plans.scored import score_files, with_band
 from stratalens.queries import fixtures as fx
-from stratalens.schema import KEY, OPTIONAL_SIGNAL_COLS, REQUIRED_COLS, VERDICT_REPLY
+from stratalens.schema import KEY, OPTIONAL_SIGNAL_COLS, REQUIRED_COLS, VERDICT_REPLY, raw_file_type
 from stratalens.sources import projects as src
 from stratalens.sources.catalog import catalog, display_name
 from stratalens.sources.report import nested_reports, write_report
 from stratalens.sources.staging import staged_path
 from stratalens.sources.tables import order_records, project_files, source_texts, stored, table
+from stratalens.streaming.payloads import payload_stream, stored_tables, write_payload_scores
 from stratalens.streaming.scoring import file_stream, score_stream, write_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -417,7 +418,9 @@ def fixes_with_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fix_input(spark: SparkSession, sf_dir: str):
     """Fix requests written as JSON and read back. Even projects send their
-    sources; second entries lack the severity, third ones the layer."""
+    sources; second entries lack the severity, third ones the layer. Some
+    projects list every type twice, some send their request twice, some
+    without their id and some without violations."""
     scored = fx.scored(spark, sf_dir)
     lists = v.violation_files(scored).groupBy(*v.GROUP).agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "files"))), lambda x: x["files"])).alias("files"))
@@ -427,18 +430,25 @@ def _fix_input(spark: SparkSession, sf_dir: str):
         F.when(F.col("position") != 2, F.col("severity")).alias("severity"), "description",
     )
     listed = v.violation_details(scored).join(lists, v.GROUP).groupBy("project_id").agg(
-        F.sort_array(F.collect_list(entry)).alias("anti_patterns"))
+        F.sort_array(F.collect_list(entry)).alias("_once"))
     texts = source_texts(spark, sf_dir).filter("project_id % 2 = 0").groupBy("project_id").agg(
         F.map_from_entries(F.collect_list(F.struct("file_name", "source_code"))).alias("file_sources"))
     architectures = v.antipattern_summary(scored).select("project_id", "architecture_pattern")
+    requests_ = listed.join(texts, "project_id", "left").join(architectures, "project_id")
+    divides = lambda n: F.col("project_id") % n == 0
+    entries = F.when(divides(13), F.array_except("_once", "_once")).when(divides(5), F.concat("_once", "_once"))
+    sent = F.explode(F.when(divides(7), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     path = staged_path(spark, "fix-requests")
-    listed.join(texts, "project_id", "left").join(architectures, "project_id").write.json(path)
+    requests_.withColumn("anti_patterns", entries.otherwise(F.col("_once"))).withColumn("_sent", sent).withColumn(
+        "project_id", F.when(~divides(11), F.col("project_id"))).drop("_once", "_sent").write.json(path)
     return read_fix_requests(spark, path)
 
 
 def fix_request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixes with the number of fixes of their request; a request without
+    violations has one row without a fix."""
     report = suggest_fixes(_fix_input(spark, sf_dir), fx.fix_replies(spark, sf_dir))
-    return report.fixes.join(report.totals, "project_id").select(
+    return report.totals.join(report.fixes.drop("project_id"), "request_id", "left").select(
         "project_id", "position", "anti_pattern", "layer", "severity", *_long("impact_points"),
         "problem", "n_files", "ai_fix", "ai_powered", "total_fixes",
     )
@@ -446,7 +456,7 @@ def fix_request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fix_request_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest_fixes(_fix_input(spark, sf_dir)).prompts.select(
-        *v.GROUP, "architecture_pattern", "n_files", "n_shown", "n_sources", F.md5("prompt").alias("prompt_md5"))
+        *v.GROUP, "position", "architecture_pattern", "n_files", "n_shown", "n_sources", F.md5("prompt").alias("prompt_md5"))
 
 
 def fix_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -511,6 +521,15 @@ def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in ("rmse", "mae", "r2")})
 
 
+def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-fold errors of the mean score per layer and architecture, for the rule score."""
+    files = project_files(spark, sf_dir).select(
+        "file_id", "layer", "architecture_pattern", rule_score().alias("label"))
+    fit = lambda train: models.fit_group_means(train, ["layer", "architecture_pattern"])
+    rows = evaluate.cross_validated(files, fit, evaluate.fold_of(F.col("file_id"), 5), 5)
+    return rows.withColumns({c: F.round(c, 6) for c in evaluate.CV_FIGURES})
+
+
 # ---- full report ----------------------------------------------------------
 
 def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -668,6 +687,24 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def payload_stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of all projects in three arrivals, records without metrics among them, with
+    the stream started anew for each; the rows of both tables it writes."""
+    fields = [c for c in raw_file_type().names if c != "source_code"]
+    records = _raw_records(spark, sf_dir).groupBy("project_id").agg(
+        F.array_sort(F.collect_list(F.struct("file_seq", F.struct(*fields).alias("file")))).alias("_files"))
+    payloads = records.select("project_id", F.transform("_files", lambda x: x["file"]).alias("files"))
+    path, out, progress = (staged_path(spark, f"payload-stream-{x}") for x in ("in", "out", "progress"))
+    for arrival in range(3):
+        payloads.filter(F.col("project_id") % 3 == arrival).write.mode("append").json(path)
+        write_payload_scores(payload_stream(spark, path), out, progress).awaitTermination()
+    good, bad = stored_tables(spark, out)
+    nothing = lambda kind: F.lit(None).cast(kind)
+    scored = good.select("project_id", "file_name", F.lit("scored").alias("outcome"), "type", "quality_score", F.lit("").alias("reasons"))
+    return scored.union(bad.select("project_id", "file_name", F.lit("rejected"), nothing("string"), nothing("double"),
+                                   _text("reasons", "; ")))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -683,8 +720,8 @@ QUERIES: dict[str, Query] = {
         validation_requests, clean_check_requests, assessment_requests, fix_requests,
         fixes_static, fixes_with_replies, fix_request_rows, fix_request_prompts, fix_totals,
         accuracy_by_class, accuracy_by_arch, class_report, run_delta, transitions,
-        transitions_changed, quality_metrics,
+        transitions_changed, quality_metrics, cross_validation,
         full_report, full_report_layers, full_report_model_only, nested_report, written_report,
-        rf_predictions, gbt_scores, saved_models, saved_models_stream, stream_scores,
+        rf_predictions, gbt_scores, saved_models, saved_models_stream, stream_scores, payload_stream_scores,
     )
 }

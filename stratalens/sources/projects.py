@@ -12,6 +12,8 @@ from stratalens.schema import (
 
 NOT_NEGATIVE = [*SIZE_COLS, *DEPENDENCY_COLS]
 NO_FILES = "no files"
+#: Equal payloads of a file that one task unfolds.
+ALIKE = 1000
 
 # Defaults of a fix request.
 FIX_DEFAULTS = {
@@ -25,21 +27,38 @@ FALSE_TEXTS = ["0", "false", "f", "no", "n", "off"]
 
 
 def read_projects(spark: SparkSession, path: str, fmt: str = "json", **options: str) -> DataFrame:
-    """File rows of project payloads ``{"files": [...]}``, every field as
-    text. ``file_seq`` is the position in the payload. A payload without a
-    numeric ``project_id`` is a project of its own, named by a hash of its
-    file and its place in it. One without files keeps one row without a file,
-    for validation to report. Other formats hold one file per row already and
-    are read as they are."""
+    """File rows of project payloads ``{"files": [...]}``, see ``payload_rows``.
+    Other formats hold one file per row already and are read as they are."""
     if fmt != "json":
         return spark.read.format(fmt).options(**options).load(path)
-    payloads = spark.read.schema(payload_schema()).options(**options).json(path)
-    placed = payloads.select("*", F.xxhash64(
-        "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()
-    ).alias("_own"))
-    exploded = placed.select(
-        F.coalesce("project_id", "_own").alias("project_id"),
-        F.coalesce("first_seq", F.lit(0)).cast("bigint").alias("first_seq"),
+    return payload_rows(with_origin(spark.read.schema(payload_schema()).options(**options).json(path)))
+
+
+def with_origin(payloads: DataFrame) -> DataFrame:
+    """Payloads read from files, batch or stream, with the file each came from."""
+    return payloads.select("*", F.col("_metadata.file_path").alias("_file"))
+
+
+def payload_rows(payloads: DataFrame) -> DataFrame:
+    """A row per file of the payloads, every field as text. ``file_seq`` is the position in
+    the payload. One without files keeps one row without a file, for validation to report.
+
+    A payload without a numeric ``project_id`` is a project of its own. It is known by its
+    file, its content and, where a file repeats the content, by a number of occurrence: so
+    its name depends neither on how files are split among tasks nor on a batch. Only these
+    payloads are grouped, equal ones before the shuffle.
+    """
+    named = payloads.filter("project_id IS NOT NULL").select("project_id", "first_seq", "files")
+    alike = payloads.filter("project_id IS NULL").groupBy("_file", "first_seq", "files").agg(
+        F.count(F.lit(1)).alias("_n"))
+    # occurrences in runs of ALIKE, so that no task unfolds all of them
+    runs = alike.withColumn("_from", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n", F.lit(ALIKE).cast("bigint"))))
+    runs = runs.repartition("_file", "files", "_from")
+    last = F.least(F.col("_from") + (ALIKE - 1), F.col("_n"))
+    bare = runs.withColumn("_occurrence", F.explode(F.sequence("_from", last))).select(
+        F.xxhash64("_file", "first_seq", "files", "_occurrence").alias("project_id"), "first_seq", "files")
+    exploded = named.union(bare).select(
+        "project_id", F.coalesce("first_seq", F.lit(0)).cast("bigint").alias("first_seq"),
         F.posexplode_outer("files").alias("pos", "file"),
     )
     return exploded.select(

@@ -2,17 +2,20 @@
 
 import json
 
+import pytest
 from helpers import files, record
 from pyspark.sql import functions as F
 
 from stratalens.functions.issues import derive_issues
 from stratalens.functions.replies import with_object
 from stratalens.functions.text import title_name
-from stratalens.operators import evaluate, hybrid, review
+from stratalens.operators import evaluate, hybrid, models, review
 from stratalens.plans.fix_requests import fix_input, suggest_fixes
 from stratalens.plans.scored import score_files
+from stratalens.schema import NUMERIC_COLS, SIGNAL_COLS, payload_schema
 from stratalens.sources.catalog import catalog
-from stratalens.sources.projects import read_projects, validate_files
+from stratalens.sources.projects import read_projects, validate_files, with_origin
+from stratalens.streaming.payloads import payload_stream, store_batch, stored_tables, write_payload_scores
 
 
 def test_objects_inside_lists_are_not_read(spark):
@@ -102,4 +105,90 @@ def test_fix_requests_with_defaults_and_sources(spark):
     asked = prompts[1, "no_validation"]
     assert asked.n_sources == 1 and "class A" in asked.prompt and "Z.java" not in asked.prompt and "and 2 more" in asked.prompt
     assert prompts[2, "broad_catch"].n_sources == 0 and (1, "own_kind") in prompts
-    assert {r.project_id: r.total_fixes for r in report.totals.collect()} == {1: 2, 2: 1}
+    assert {r.project_id: r.total_fixes for r in report.totals.collect()} == {1: 2, 2: 1, 3: 0}
+
+
+REQUESTS = ("project_id long, architecture_pattern string, file_sources map<string,string>, anti_patterns "
+            "array<struct<type:string,files:array<string>,affected_layer:string,severity:string,description:string>>")
+
+
+def test_repeated_types_repeated_projects_and_no_project(spark):
+    one = ("broad_catch", ["A.java"], "service", "HIGH", "first")
+    two = ("broad_catch", ["B.java", "C.java"], "controller", "LOW", "second")
+    given = [(1, "mvc", {"A.java": "class A"}, [one, two]), (1, "layered", {"A.java": "other A"}, [one]),
+             (None, "mvc", {"B.java": "class B"}, [two]), (None, "mvc", None, None)]
+    requests = fix_input(spark.createDataFrame(given, REQUESTS))
+    ids = {(r.project_id, r.architecture_pattern, r.total_fixes): r.request_id for r in requests.requests.collect()}
+    first, own, empty = ids[1, "mvc", 2], ids[None, "mvc", 1], ids[None, "mvc", 0]
+    told = spark.createDataFrame([(first, 2, "only this one")], "request_id long, position long, reply string")
+    report = suggest_fixes(requests, told)
+    fixes = {(r.request_id, r.position): r for r in report.fixes.collect()}
+    assert len(fixes) == 4 and fixes[first, 2].n_files == 2 and fixes[first, 1].problem == "first"
+    assert [k for k, r in fixes.items() if r.ai_powered] == [(first, 2)]
+    prompts = {(r.request_id, r.position): r.prompt for r in report.prompts.collect()}
+    assert set(prompts) == set(fixes)
+    assert "class A" in prompts[first, 1] and "other A" not in prompts[first, 1] and "C.java" in prompts[first, 2]
+    assert "class B" in prompts[own, 1] and empty not in {k for k, _ in prompts}
+
+
+def test_payload_names_do_not_depend_on_the_split(spark, tmp_path):
+    body = {"files": [{"file_name": "A.java", "loc": "1"}]}
+    lines = [json.dumps({**body, "padding": "x" * (i % 50)}) for i in range(400)]
+    lines += [json.dumps({"files": []})] * 5 + [json.dumps({"project_id": 7, **body})]
+    for part in range(3):
+        (tmp_path / f"p{part}.json").write_text("\n".join(lines))
+    seen = []
+    try:
+        for cores, size in ((2, "128m"), (4, "10k"), (64, "2k")):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(cores))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            ids = [r.project_id for r in read_projects(spark, str(tmp_path)).select("project_id").collect()]
+            assert len(ids) == 3 * 406 and len(set(ids)) == 3 * 405 + 1
+            seen.append(sorted(ids))
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_payload_stream_equals_the_batch(spark, tmp_path):
+    good = {c: 1 for c in NUMERIC_COLS} | {c: True for c in SIGNAL_COLS} | {"architecture_pattern": "mvc", "file_path": "p"}
+    said = lambda **more: json.dumps({"files": [{**good, "file_name": "A.java", **more}, {"file_name": "B.java"}]})
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for i in range(3):
+        lines = [said(), said(), said(loc=-1), json.dumps({"project_id": i, "files": [{**good, "file_name": "C.java"}]}), "{}", "no json"]
+        (source / f"{i}.json").write_text("\n".join(lines))
+        write_payload_scores(payload_stream(spark, str(source), 1), out, str(tmp_path / "progress")).awaitTermination()
+    scored, rejected = stored_tables(spark, out)
+    valid, bad = validate_files(read_projects(spark, str(source)))
+    rows = lambda df, *c: sorted(map(tuple, df.select("project_id", "file_seq", *c).collect()))
+    expected = rows(score_files(valid), "type", "quality_score"), rows(bad, "reasons")
+    assert len(expected[0]) == 9 and len(expected[1]) > 9
+    assert (rows(scored, "type", "quality_score"), rows(rejected, "reasons")) == expected
+    # a batch that is repeated after a failure leaves its rows once
+    again = with_origin(spark.read.schema(payload_schema()).json(str(source / "1.json")))
+    number = scored.select("batch", "project_id").filter("project_id = 1").first()["batch"]
+    store_batch(again, number, out)
+    scored, rejected = stored_tables(spark, out)
+    assert (rows(scored, "type", "quality_score"), rows(rejected, "reasons")) == expected
+
+
+def test_cross_validated_figures_reach_the_metadata(spark, tmp_path):
+    rows = [(i, i % 3, float(i % 3 * 10 + i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, g long, label double")
+    figures = evaluate.cross_validated(df, lambda t: models.fit_group_means(t, ["g"]), evaluate.fold_of(F.col("k"), 5), 5)
+    held, train = [], []
+    for fold in range(5):
+        means = {g: [y for k, h, y in rows if h == g and k % 5 != fold] for g in range(3)}
+        wrong = lambda inside: [(sum(means[g]) / len(means[g]) - y) ** 2 for k, g, y in rows if (k % 5 == fold) == inside]
+        held.append((sum(wrong(True)) / len(wrong(True))) ** 0.5)
+        train.append((sum(wrong(False)) / len(wrong(False))) ** 0.5)
+    mean = sum(held) / 5
+    expected = (mean, (sum((h - mean) ** 2 for h in held) / 5) ** 0.5, mean - sum(train) / 5)
+    assert tuple(figures.first())[:3] == pytest.approx(expected)
+    models.write_metadata(spark, str(tmp_path / "meta"), ["b", "a"], figures)
+    assert models.feature_columns(spark, str(tmp_path / "meta")) == ["b", "a"]
+    stored = spark.read.json(str(tmp_path / "meta")).select("performance.*").first()
+    assert [stored[c] for c in evaluate.CV_FIGURES] == pytest.approx(expected)
+    assert models.feature_columns(spark, str(tmp_path / "none")) == models.QUALITY_FEATURES
