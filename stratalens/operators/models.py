@@ -21,12 +21,13 @@ from stratalens.functions.scores import clip_score
 from stratalens.sources.catalog import ENTRIES
 
 LABELS = [entry[0] for entry in ENTRIES]
-_IN = "f_"
+#: Prefix of the columns that hold model inputs.
+INPUT = "f_"
 
 
 def _with_inputs(df: DataFrame, columns: dict) -> DataFrame:
     """Add model inputs under their own prefix, next to the file's columns."""
-    return df.withColumns({f"{_IN}{name}": col for name, col in columns.items()})
+    return df.withColumns({f"{INPUT}{name}": col for name, col in columns.items()})
 
 
 def classifier_inputs(df: DataFrame) -> DataFrame:
@@ -50,8 +51,8 @@ def fit_antipattern(
 ) -> PipelineModel:
     """Random forest over the classifier inputs. Unseen categories get a slot
     of their own; the label order is the catalogue's and travels along."""
-    categories = [f"{_IN}{c}" for c in CATEGORICAL_FEATURES]
-    numeric = [f"{_IN}{c}" for c in ANTIPATTERN_FEATURES if c not in CATEGORICAL_FEATURES]
+    categories = [f"{INPUT}{c}" for c in CATEGORICAL_FEATURES]
+    numeric = [f"{INPUT}{c}" for c in ANTIPATTERN_FEATURES if c not in CATEGORICAL_FEATURES]
     index = StringIndexer(
         inputCols=categories, outputCols=[f"{c}_index" for c in categories], handleInvalid="keep",
     )
@@ -89,7 +90,7 @@ def fit_quality(
     """Boosted trees over the 33 regressor inputs, or those of ``names`` in
     that order."""
     assemble = VectorAssembler(
-        inputCols=[f"{_IN}{c}" for c in names or QUALITY_FEATURES], outputCol="features"
+        inputCols=[f"{INPUT}{c}" for c in names or QUALITY_FEATURES], outputCol="features"
     )
     boosted = GBTRegressor(
         labelCol=label, featuresCol="features", predictionCol="raw_score",

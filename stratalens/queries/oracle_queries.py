@@ -929,6 +929,9 @@ SELECT file_id, {rule_case('resolved_layer')} AS expected, true AS type_known, t
   true AS score_fits, true AS band_fits"""
 ORACLE["saved_models"] = select(FILES, _HELD + ", true AS r2_reached, true AS accuracy_reached FROM rl WHERE file_id % 5 = 0")
 ORACLE["saved_models_stream"] = select(FILES, _HELD + " FROM rl WHERE file_id % 5 = 0")
+ORACLE["compiled_models"] = select(FILES, f"""
+SELECT file_id, {rule_case('resolved_layer')} AS expected, true AS types_agree, true AS confidences_agree,
+  true AS scores_agree FROM rl WHERE file_id % 5 = 0""")
 
 _FIX_GIVEN = """,
 md2 AS (SELECT * REPLACE (CASE WHEN position=2 THEN 'MEDIUM' ELSE severity END AS severity,

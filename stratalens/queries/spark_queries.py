@@ -18,7 +18,7 @@ from stratalens.functions.layers import resolve_layer
 from stratalens.functions.replies import parse_reply, truthy, with_assessment, with_object
 from stratalens.functions.scores import rule_score, score_label
 from stratalens.functions.text import truncate_lines
-from stratalens.operators import evaluate, fixes, hybrid, models, requests, review, rollups
+from stratalens.operators import compiled, evaluate, fixes, hybrid, models, requests, review, rollups
 from stratalens.operators import violations as v
 from stratalens.operators.parts import with_file_seq, with_part
 from stratalens.operators.rules import classify_by_rules, rule_label
@@ -636,6 +636,25 @@ def _scored_by_models(spark: SparkSession, sf_dir: str):
         models.predict_antipattern(df, classifier), regressor, listed))
 
 
+def compiled_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out files scored by two saved models and by the SQL compiled from their node
+    tables; whether both agree."""
+    files = project_files(spark, sf_dir).withColumns({"expected": rule_label(), "label": rule_score()})
+    train, test = models.mod_split(files, "file_id")
+    path = staged_path(spark, "models")
+    models.save_models(path, models.fit_antipattern(train, trees=8, depth=6), models.fit_quality(train, trees=8, depth=4))
+    classifier, regressor = models.load_models(spark, path)
+    told = models.predict_quality(models.predict_antipattern(test, classifier), regressor).select(
+        "file_id", "expected", F.col("type").alias("_type"), F.col("confidence").alias("_confidence"), F.col("quality_score").alias("_score"))
+    again = compiled.compiled_quality(
+        compiled.compiled_antipattern(test, compiled.classifier_sql(spark, f"{path}/antipattern")),
+        compiled.regressor_sql(spark, f"{path}/quality"))
+    both = told.join(again.select("file_id", "type", "confidence", "quality_score"), "file_id")
+    return both.select("file_id", "expected", (F.col("type") == F.col("_type")).alias("types_agree"),
+                       (F.abs(F.col("confidence") - F.col("_confidence")) < 1e-9).alias("confidences_agree"),
+                       (F.col("quality_score") == F.col("_score")).alias("scores_agree"))
+
+
 def _checked(scored: DataFrame) -> DataFrame:
     """What must hold for every prediction, whatever the trees look like."""
     score, confidence = F.col("quality_score"), F.col("confidence")
@@ -722,6 +741,6 @@ QUERIES: dict[str, Query] = {
         accuracy_by_class, accuracy_by_arch, class_report, run_delta, transitions,
         transitions_changed, quality_metrics, cross_validation,
         full_report, full_report_layers, full_report_model_only, nested_report, written_report,
-        rf_predictions, gbt_scores, saved_models, saved_models_stream, stream_scores, payload_stream_scores,
+        rf_predictions, gbt_scores, compiled_models, saved_models, saved_models_stream, stream_scores, payload_stream_scores,
     )
 }

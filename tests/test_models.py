@@ -1,7 +1,9 @@
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from stratalens.functions.scores import rule_score
-from stratalens.operators import models
+from stratalens.operators import compiled, models
 from stratalens.operators.evaluate import quality_metrics
 from stratalens.operators.rules import rule_label
 from stratalens.plans.scored import score_files
@@ -54,3 +56,28 @@ def test_stream_equals_batch_over_several_batches(spark, sf_dir):
     got = spark.read.schema(stream.schema).parquet(out)
     want = score_files(files, fx.classify_with_confidence)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_compiled_models_give_the_same_in_another_engine(spark, sf_dir, tmp_path):
+    files_ = project_files(spark, sf_dir).withColumns({"expected": rule_label(), "label": rule_score()})
+    path = str(tmp_path / "models")
+    models.save_models(path, models.fit_antipattern(files_, trees=5, depth=5), models.fit_quality(files_, trees=5, depth=4))
+    classifier, regressor = models.load_models(spark, path)
+    odd = files_.withColumn("layer", F.when(F.col("file_id") % 3 == 0, "unheard of").otherwise(F.col("layer")))
+    told = models.predict_quality(models.predict_antipattern(odd, classifier), regressor)
+    expected = {r.file_id: (r.type, r.confidence, r.quality_score) for r in told.collect()}
+    sql = compiled.classifier_sql(spark, f"{path}/antipattern"), compiled.regressor_sql(spark, f"{path}/quality")
+    rows = compiled.compiled_quality(compiled.compiled_antipattern(odd, sql[0]), sql[1]).collect()
+    assert {r.file_id: (r.type, pytest.approx(r.confidence), r.quality_score) for r in rows} == expected
+    # the same text, but for lists, in another engine
+    for name, made in (("c", models.classifier_inputs(odd)), ("r", models.regressor_inputs(odd))):
+        made.select("file_id", *[c for c in made.columns if c.startswith(models.INPUT)]).write.parquet(str(tmp_path / name))
+    votes = compiled.classifier_sql(spark, f"{path}/antipattern", compiled.DUCKDB)
+    theirs = duckdb.sql(f"""
+        SELECT file_id, {compiled.DUCKDB.best.format('v', 'v')} AS best, raw
+        FROM (SELECT file_id, {votes} AS v FROM '{tmp_path}/c/*.parquet')
+        JOIN (SELECT file_id, {sql[1]} AS raw FROM '{tmp_path}/r/*.parquet') USING (file_id)""").fetchall()
+    assert len(theirs) == len(expected)
+    for file_id, best, raw in theirs:
+        assert models.LABELS[best - 1] == expected[file_id][0]
+        assert min(max(raw, 0.0), 100.0) == pytest.approx(expected[file_id][2], abs=0.0501)
