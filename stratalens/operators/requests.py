@@ -1,8 +1,9 @@
 """Request tables for an external reviewer.
 
 Each row holds one complete prompt. Prompts that list files or their source
-cover one part of a project, so their size is bounded; ordinary projects have
-one part and so one prompt. All wording is this engine's own.
+cover one part of a project, and those with source a slice of it whose bytes
+are bounded; ordinary projects have one part and so one prompt. All wording is
+this engine's own.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from stratalens.sources.catalog import with_catalog
 # Lines of source shown per file, files named in a fix request.
 MAX_SOURCE_LINES = 300
 MAX_FIX_FILES = 5
+#: Bytes of source in one validation request. One file's section has half of them at most.
+MAX_REQUEST_BYTES = 400_000
+SECTION_CUT = "\n... cut, the line is too long to show"
 
 VERDICT_FORMAT = (
     'Answer with one JSON object: {"is_valid": true|false, "reasoning": "...", '
@@ -77,12 +81,29 @@ def joined_sections(section: Column, *order: str, separator: str = "\n\n") -> Co
     return F.array_join(F.transform(listed, lambda x: x["_text"]), separator)
 
 
+def sliced(texts: DataFrame, keys: list[str], max_bytes: int) -> DataFrame:
+    """Sections cut to half of ``max_bytes``, with the slice of their group that each is in.
+
+    A section is in slice k if the bytes before it, in file order, end in the k-th half of
+    the budget. None is longer than a half, so a slice has ``max_bytes`` at most, none is
+    empty, and every section is in exactly one. A group is a part, a bounded number of files.
+    """
+    half = max_bytes // 2
+    # a code point has four bytes at most
+    short = F.concat(F.substring("section", 1, (half - len(SECTION_CUT)) // 4), F.lit(SECTION_CUT))
+    cut = texts.withColumn("section", F.when(F.octet_length("section") <= half, F.col("section")).otherwise(short))
+    before = Window.partitionBy(*keys).orderBy("file_seq").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.octet_length("section")).over(before), F.lit(0))
+    return cut.withColumn("slice", F.floor(start / half).cast("bigint"))
+
+
 def validation_requests(
     scored: DataFrame, verdict_groups: DataFrame, sources: DataFrame,
-    max_lines: int = MAX_SOURCE_LINES,
+    max_lines: int = MAX_SOURCE_LINES, max_bytes: int = MAX_REQUEST_BYTES,
 ) -> DataFrame:
-    """One request per reviewed (project, type, part): what was predicted and
-    the source of every affected file of the part."""
+    """Requests per reviewed (project, type, part): what was predicted and
+    the source of every affected file of the part, in slices of at most
+    ``max_bytes`` of source; most parts have one."""
     architectures = spread(project_architectures(scored), "last_seq").drop("last_seq")
     # the head shows the whole group, whatever part the request covers
     whole = verdict_groups.groupBy(*GROUP).agg(
@@ -96,10 +117,10 @@ def validation_requests(
         "catalog_description", "layers", "confidence",
     )
     members = with_part(scored.filter(F.col("type") != CLEAN)).select(*KEY, "type", "part")
-    texts = members.join(source_sections(sources, max_lines), KEY)
-    blocks = texts.groupBy(*PART_GROUP).agg(
+    texts = sliced(members.join(source_sections(sources, max_lines), KEY), PART_GROUP, max_bytes)
+    blocks = texts.groupBy(*PART_GROUP, "slice").agg(
         joined_sections(F.col("section"), "file_seq").alias("_sources"),
-        F.count(F.lit(1)).alias("n_files"),
+        F.count(F.lit(1)).alias("n_files"), F.sum(F.octet_length("section")).alias("source_bytes"),
     )
     layer = F.array_join("layers", ", ")
     prompt = _lines(
@@ -119,8 +140,8 @@ def validation_requests(
         VERDICT_FORMAT,
     )
     return asked.join(blocks, PART_GROUP).select(
-        *PART_GROUP, "architecture_pattern", layer.alias("affected_layer"), "confidence",
-        F.col("catalog_severity").alias("severity"), "n_files", prompt.alias("prompt"),
+        *PART_GROUP, "slice", "architecture_pattern", layer.alias("affected_layer"), "confidence",
+        F.col("catalog_severity").alias("severity"), "n_files", "source_bytes", prompt.alias("prompt"),
     )
 
 

@@ -74,16 +74,22 @@ def with_project_state(groups: DataFrame) -> DataFrame:
 
 
 def read_verdicts(replies: DataFrame) -> DataFrame:
-    """Fields of the readable verdicts, one per key."""
+    """Fields of the readable verdicts, one per key. Where a part was sent in slices, it is
+    valid if any slice's verdict says so, and has the texts of the first that does (of the
+    first at all if none does)."""
     keys = reply_keys(replies, *GROUP)
-    read = first_readable(with_object(replies), keys, "obj")
-    fields = read.withColumn("_reply", parse_reply(F.col("obj"), VERDICT_REPLY))
-    return fields.select(
-        *keys,
+    each = [*keys, *[c for c in ("slice",) if c in replies.columns]]
+    read = first_readable(with_object(replies), each, "obj")
+    fields = read.withColumn("_reply", parse_reply(F.col("obj"), VERDICT_REPLY)).select(
+        *each,
         truthy(F.col("obj"), "is_valid", absent=True).alias("is_valid"),
         *[F.col("_reply")[c].alias(c) for c in (*TEXTS, "severity")],
-        F.lit(True).alias("_read"),
     )
+    if each != keys:
+        said = F.struct("is_valid", *TEXTS, "severity")
+        fields = fields.groupBy(*keys).agg(
+            F.min_by(said, F.struct((~F.col("is_valid")).alias("no"), "slice")).alias("_said")).select(*keys, "_said.*")
+    return fields.withColumn("_read", F.lit(True))
 
 
 def apply_verdicts(groups: DataFrame, verdicts: DataFrame | None) -> DataFrame:

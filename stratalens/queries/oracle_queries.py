@@ -703,6 +703,27 @@ vq AS (
 SELECT project_id, type, part, project_arch AS architecture_pattern, affected_layer, confidence,
   cat.severity, n_files, md5({_VALIDATION_PROMPT}) AS prompt_md5
 FROM vq JOIN cat USING (type)""")
+_HALF = 2000
+ORACLE["validation_slices"] = select(GROUPS + SOURCES + f""",
+{CAT},
+sec0 AS (
+  SELECT s.project_id, s.type, s.part, src.file_seq, '=== ' || src.file_name || ' ===' || {NL} || {cut('code', 300)} AS whole
+  FROM s JOIN src USING (project_id, file_seq) WHERE type<>'clean'),
+sec AS (
+  SELECT * EXCLUDE (whole), CASE WHEN strlen(whole) <= {_HALF} THEN whole
+    ELSE substr(whole, 1, {(_HALF - len(rq.SECTION_CUT)) // 4}) || {NL} || {q(rq.SECTION_CUT[1:])} END AS section FROM sec0),
+sl AS (
+  SELECT *, (coalesce(sum(strlen(section)) OVER (PARTITION BY project_id, type, part ORDER BY file_seq
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {_HALF})::BIGINT AS slice FROM sec),
+vs1 AS (
+  SELECT project_id, type, part, slice, count(*) AS n_files, sum(strlen(section))::BIGINT AS source_bytes,
+    string_agg(section, {NL} || {NL} ORDER BY file_seq) AS sources FROM sl GROUP BY ALL),
+vq AS (
+  SELECT g.project_id, type, g.part, slice, p.arch AS project_arch, array_to_string(layers, ', ') AS affected_layer,
+    {r2('conf / g.n_files')} AS confidence, vs1.n_files, source_bytes, sources
+  FROM g JOIN p USING (project_id) JOIN vs1 USING (project_id, type, part) WHERE attempted)""", f"""
+SELECT project_id, type, part, slice, n_files, source_bytes, true AS fits, md5({_VALIDATION_PROMPT}) AS prompt_md5
+FROM vq JOIN cat USING (type)""")
 
 _CLEAN_PROMPT = lines(
     q("This file was predicted free of anti-patterns, with little confidence."),

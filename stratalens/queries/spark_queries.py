@@ -364,6 +364,15 @@ def validation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def validation_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests within 4,000 bytes of source each."""
+    groups = review.apply_verdicts(v.part_groups(fx.scored(spark, sf_dir)), None)
+    made = requests.validation_requests(
+        fx.scored(spark, sf_dir), groups, source_texts(spark, sf_dir), max_bytes=4000)
+    return made.select(*v.PART_GROUP, "slice", "n_files", "source_bytes", (F.col("source_bytes") <= 4000).alias("fits"),
+                       F.md5("prompt").alias("prompt_md5"))
+
+
 def clean_check_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = requests.clean_check_requests(
         review.clean_candidates(fx.status(spark, sf_dir)), source_texts(spark, sf_dir)
@@ -736,7 +745,7 @@ QUERIES: dict[str, Query] = {
         worst_files, violation_summary,
         verdicts_applied, false_positives, clean_candidates, discoveries, discoveries_merged,
         merged_file_lists, large_projects, clean_files, ambiguous_names, hybrid_scores, hybrid_overall,
-        validation_requests, clean_check_requests, assessment_requests, fix_requests,
+        validation_requests, validation_slices, clean_check_requests, assessment_requests, fix_requests,
         fixes_static, fixes_with_replies, fix_request_rows, fix_request_prompts, fix_totals,
         accuracy_by_class, accuracy_by_arch, class_report, run_delta, transitions,
         transitions_changed, quality_metrics, cross_validation,

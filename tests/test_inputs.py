@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stratalens.functions.issues import derive_issues
 from stratalens.functions.replies import with_object
 from stratalens.functions.text import title_name
-from stratalens.operators import evaluate, hybrid, models, review
+from stratalens.operators import evaluate, hybrid, models, requests, review
 from stratalens.plans.fix_requests import fix_input, suggest_fixes
 from stratalens.plans.scored import score_files
 from stratalens.schema import NUMERIC_COLS, SIGNAL_COLS, payload_schema
@@ -192,3 +192,27 @@ def test_cross_validated_figures_reach_the_metadata(spark, tmp_path):
     stored = spark.read.json(str(tmp_path / "meta")).select("performance.*").first()
     assert [stored[c] for c in evaluate.CV_FIGURES] == pytest.approx(expected)
     assert models.feature_columns(spark, str(tmp_path / "none")) == models.QUALITY_FEATURES
+
+
+def test_requests_are_bounded_in_bytes(spark):
+    sizes = [10, 900, 30, 5000, 400, 400, 400, 1, 2000]
+    texts = spark.createDataFrame([(1, "t", 0, i, "é" * n) for i, n in enumerate(sizes)],
+                                  "project_id long, type string, part long, file_seq long, section string")
+    rows = requests.sliced(texts, ["project_id", "type", "part"], 2000).orderBy("file_seq").collect()
+    assert [r.file_seq for r in rows] == list(range(len(sizes)))
+    slices = {}
+    for r in rows:
+        slices.setdefault(r.slice, []).append(len(r.section.encode()))
+    assert all(sum(s) <= 2000 for s in slices.values()) and len(slices) > 3
+    assert rows[3].section.endswith(requests.SECTION_CUT) and rows[1].section.endswith(requests.SECTION_CUT)
+    assert [rows[i].section for i in (0, 2, 4, 7)] == ["é" * sizes[i] for i in (0, 2, 4, 7)]
+
+
+def test_verdicts_of_slices_meet_in_their_part(spark):
+    said = lambda ok, why: json.dumps({"is_valid": ok, "reasoning": why})
+    rows = [(1, "a", 0, 0, said(False, "none here")), (1, "a", 0, 2, said(True, "late")), (1, "a", 0, 1, said(True, "first")),
+            (1, "b", 0, 1, said(False, "no")), (1, "b", 0, 0, "unreadable"), (1, "b", 0, 2, said(False, "nor here")),
+            (1, "c", 0, 0, "unreadable")]
+    replies = spark.createDataFrame(rows, "project_id long, type string, part long, slice long, reply string")
+    got = {r.type: (r.is_valid, r.reasoning) for r in review.read_verdicts(replies).collect()}
+    assert got == {"a": (True, "first"), "b": (False, "no")}
