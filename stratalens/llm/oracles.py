@@ -25,25 +25,29 @@ SELECT page_id, payload_bytes, {_base32('digest')} AS payload_digest,
 FROM f
 """
 
-# rule, share in ten-thousandths, least spread
-_RULES = [("symbol_share", "n_symbols", "word_chars", 300), ("upper_share", "n_upper", "n_words", 500),
-          ("dup_line_share", "n_dup_lines", "n_lines", 1500), ("repeat_share", "n_repeat_words", "n_words", 1300),
-          ("word_length", "word_chars", "n_words", 10000)]
+# rule, share in ten-thousandths, whether zeros count, multiple of the spread, least spread
+_RULES = [("symbol_share", "n_symbols", "word_chars", True, 3, 100), ("upper_share", "n_upper", "n_words", False, 16, 20),
+          ("dup_line_share", "n_dup_lines", "n_lines", False, 4, 500),
+          ("repeat_share", "n_repeat_words", "n_words", False, 12, 100), ("word_length", "word_chars", "n_words", True, 5, 500)]
 
 
 def _fences(name: str, group: str) -> str:
-    """Threshold per group and rule from its bucket counts."""
+    """Fence per group and rule from its bucket counts."""
     keys = f"{group}, " if group else ""
+    quartile = "min(value) FILTER (upto > 0 AND upto * 4 >= whole * {})"
     return f"""
-{name}_run AS (SELECT {keys}rule, value, floor,
+{name}_run AS (SELECT {keys}rule, value, reach, least,
     sum(n) OVER (PARTITION BY {keys}rule) AS whole, sum(n) OVER (PARTITION BY {keys}rule ORDER BY value) AS upto
-  FROM (SELECT {keys}rule, value, floor, count(*) AS n FROM buckets GROUP BY ALL)),
-{name} AS (SELECT {keys}rule, max(whole) AS texts,
-    min(value) FILTER (upto * 4 >= whole * 3)
-      + 3 * greatest(min(value) FILTER (upto * 4 >= whole * 3) - min(value) FILTER (upto * 4 >= whole), any_value(floor)) AS most
+  FROM (SELECT {keys}rule, value, reach, least, count(*) FILTER (zeros OR value > 0) AS n FROM buckets GROUP BY ALL)),
+{name} AS (SELECT {keys}rule, max(whole) AS texts, {quartile.format(3)} + any_value(reach)
+      * greatest({quartile.format(3)} - {quartile.format(1)}, any_value(least)) AS most
   FROM {name}_run GROUP BY ALL)"""
 
 
+def _pooled(texts: str, most: str, coarser: str) -> str:
+    return f"coalesce(({texts} * {most} + 50 * {coarser}) // ({texts} + 50), {coarser}, {most})"
+
+
 QUALITY_RULES = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '{WORD}+') AS ws,
@@ -59,15 +63,15 @@ m AS (SELECT rid, doc_id, lang, source, len(ws)::BIGINT AS n_words,
     len(list_filter(regexp_extract_all(text, '\\p{{L}}+'), lambda x: regexp_full_match(x, '\\p{{Lu}}{{2,}}')))::BIGINT AS n_upper
   FROM w LEFT JOIN r USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-s AS ({' UNION ALL '.join(f"SELECT rid, lang, source, base_failed, '{n}' AS rule, {f} AS floor, ({a} * 10000) // greatest({z}, 1) AS share FROM b" for n, a, z, f in _RULES)}),
-buckets AS (SELECT lang, source, rule, floor,
+s AS ({' UNION ALL '.join(f"SELECT rid, lang, source, base_failed, '{n}' AS rule, {zero} AS zeros, {k} AS reach, {f} AS least, ({a} * 10000) // greatest({z}, 1) AS share FROM b" for n, a, z, zero, k, f in _RULES)}),
+buckets AS (SELECT lang, source, rule, zeros, reach, least,
     (share >> greatest(length(bin(share)) - 7, 0)) << greatest(length(bin(share)) - 7, 0) AS value
   FROM s WHERE NOT base_failed),
 {_fences('own', 'lang, source')},
 {_fences('by_lang', 'lang')},
 {_fences('overall', '')},
 chosen AS (SELECT own.lang, own.source, own.rule,
-    CASE WHEN own.texts >= 100 THEN own.most WHEN by_lang.texts >= 100 THEN by_lang.most ELSE overall.most END AS most
+    {_pooled('own.texts', 'own.most', _pooled('by_lang.texts', 'by_lang.most', 'overall.most'))} AS most
   FROM own JOIN by_lang ON own.rule = by_lang.rule AND own.lang IS NOT DISTINCT FROM by_lang.lang
   JOIN overall ON own.rule = overall.rule),
 over AS (SELECT rid, bool_or(share > most) AS failed FROM s JOIN chosen ON s.rule = chosen.rule

@@ -5,11 +5,15 @@ very repetitive texts. The other rules look at shares (in ten-thousandths): symb
 among word characters, upper-case words, repeated lines, words in repeated
 three-word windows, and the mean word length. Quantile sketches of each share per
 language and source hold counts in buckets of fixed relative width; adding counts
-merges sketches, exactly and in any order. A rule's threshold is the third quartile
-plus ``REACH`` times the spread of the quartiles (at least a least spread, so that
-a share nobody has is not forbidden at once). A group of fewer than ``FEW`` texts
-takes the merged sketch of its language, and that of all texts where the language
-has few. Thresholds are joined to the rows and filter them.
+merges sketches, exactly and in any order.
+
+A sketch's fence is its third quartile plus a multiple (``RULES``) of the spread of its
+quartiles. Most texts have no repeated line or upper-case word at all, so for such
+shares the quartiles are those of the texts that have any. Only a spread below a small
+tolerance is widened to it. Fences are pooled by weight: a language's fence counts as
+many texts as its sketch, that of all texts as POOL more; a source's fence is pooled with
+its language's in the same way. So a group decides by itself the more the larger it is,
+and no size is a limit. Thresholds are joined to the rows and filter them.
 
 Only texts that the base rule keeps enter the sketches. Null texts count as empty
 and are rejected by the base rule; null languages and sources are groups of their
@@ -30,11 +34,12 @@ from stratalens.sources.staging import staged
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 50, 50, 3
 SYMBOLS = r"[#*$%&|<>]+"
 
-#: Shares that the rules look at, with their least spread.
-LEAST_SPREAD = {"symbol_share": 300, "upper_share": 500, "dup_line_share": 1500,
-                "repeat_share": 1300, "word_length": 10_000}
-REACH = 3
-FEW = 100
+#: Per share: whether texts without any count in the quartiles, the multiple of the spread, and
+#: the least spread. Prose has hardly a symbol, so there the texts without any are the measure.
+RULES = {"symbol_share": (True, 3, 100), "upper_share": (False, 16, 20), "dup_line_share": (False, 4, 500),
+         "repeat_share": (False, 12, 100), "word_length": (True, 5, 500)}
+#: Texts that a coarser sketch counts as in a finer one's fence.
+POOL = 50
 #: Values below 2**DIGITS have buckets of their own, larger ones keep so many leading bits.
 DIGITS = 7
 
@@ -90,7 +95,7 @@ def bucket(value: Column) -> Column:
 def sketches(rows: DataFrame, group: list[str]) -> DataFrame:
     """Counts by group, share and bucket."""
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), bucket(F.col(n)).alias("value"))
-                                for n in LEAST_SPREAD]))
+                                for n in RULES]))
     return (rows.select(*group, pairs.alias("_p"))
             .groupBy(*group, "_p.rule", "_p.value").agg(F.count(F.lit(1)).alias("n")))
 
@@ -100,21 +105,34 @@ def merged(sketch: DataFrame, group: list[str]) -> DataFrame:
     return sketch.groupBy(*group, "rule", "value").agg(F.sum("n").alias("n"))
 
 
+def _of_rule(place: int) -> Column:
+    """A parameter of the row's rule."""
+    return F.create_map(*[F.lit(x) for name, how in RULES.items() for x in (name, how[place])])[F.col("rule")]
+
+
 def fences(sketch: DataFrame, group: list[str]) -> DataFrame:
-    """Per group and rule: how many texts, and the threshold."""
+    """Per group and rule: how many texts count, the fence (null if none does), and whether
+    the spread is the sketch's own."""
     within = Window.partitionBy(*group, "rule")  # a bounded number of buckets
-    run = (sketch.withColumn("_all", F.sum("n").over(within))
-           .withColumn("_upto", F.sum("n").over(within.orderBy("value"))))
-    quartile = lambda q: F.min(F.when(F.col("_upto") * 4 >= F.col("_all") * q, F.col("value")))
-    found = run.groupBy(*group, "rule").agg(F.max("_all").alias("texts"), quartile(1).alias("_q1"),
-                                            quartile(3).alias("_q3"))
-    floor = F.create_map(*[F.lit(x) for pair in LEAST_SPREAD.items() for x in pair])
-    spread = F.greatest(F.col("_q3") - F.col("_q1"), floor[F.col("rule")].cast("bigint"))
-    return found.select(*group, "rule", "texts", (F.col("_q3") + spread * REACH).alias("most"))
+    counted = F.when(_of_rule(0) | (F.col("value") > 0), F.col("n")).otherwise(F.lit(0))
+    run = (sketch.withColumn("_n", counted).withColumn("_all", F.sum("_n").over(within))
+           .withColumn("_upto", F.sum("_n").over(within.orderBy("value"))))
+    quartile = lambda q: F.min(F.when((F.col("_upto") * 4 >= F.col("_all") * q) & (F.col("_upto") > 0), F.col("value")))
+    found = run.groupBy(*group, "rule").agg(F.max("_all").alias("texts"), quartile(1).alias("_q1"), quartile(3).alias("_q3"))
+    own, least = F.col("_q3") - F.col("_q1"), _of_rule(2).cast("bigint")
+    return found.select(*group, "rule", "texts", (F.col("_q3") + F.greatest(own, least) * _of_rule(1)).alias("most"),
+                        F.coalesce(own > least, F.lit(False)).alias("decided"))
 
 
-def thresholds(rows: DataFrame, lang: str, source: str) -> DataFrame:
-    """Per language and source one row: the most that each rule lets pass."""
+def pooled(texts: str, most: str, coarser: str) -> Column:
+    """The weighted mean of a fence and a coarser one."""
+    mean = F.expr(f"({texts} * {most} + {POOL} * {coarser}) div ({texts} + {POOL})")
+    return F.coalesce(mean, F.col(coarser), F.col(most)).cast("bigint")
+
+
+def fence_table(rows: DataFrame, lang: str, source: str) -> DataFrame:
+    """Per language, source and rule: the pooled fence as ``most``, the group's own as ``own``,
+    and whether its sketch's spread decided that."""
     fine = staged(sketches(rows, [lang, source]), "sketches")
     by_lang = merged(fine, [lang])
     own, lang_, all_ = fences(fine, [lang, source]), fences(by_lang, [lang]), fences(merged(by_lang, []), [])
@@ -123,10 +141,15 @@ def thresholds(rows: DataFrame, lang: str, source: str) -> DataFrame:
     all_ = all_.select(F.col("rule").alias("_ar"), F.col("most").alias("_am"))
     chosen = (own.join(lang_, own[lang].eqNullSafe(F.col("_l")) & (F.col("rule") == F.col("_r")))
               .join(F.broadcast(all_), F.col("rule") == F.col("_ar")))  # one row per rule
-    most = F.when(F.col("texts") >= FEW, F.col("most")).when(
-        F.col("_lt") >= FEW, F.col("_lm")).otherwise(F.col("_am"))
-    return chosen.groupBy(lang, source).agg(*[
-        F.max(F.when(F.col("rule") == n, most)).alias(f"most_{n}") for n in LEAST_SPREAD])
+    chosen = chosen.withColumn("_pl", pooled("_lt", "_lm", "_am"))
+    return chosen.select(lang, source, "rule", "texts", "decided", F.col("most").alias("own"),
+                         pooled("texts", "most", "_pl").alias("most"))
+
+
+def thresholds(rows: DataFrame, lang: str, source: str) -> DataFrame:
+    """Per language and source one row: the most that each rule lets pass."""
+    return fence_table(rows, lang, source).groupBy(lang, source).agg(*[
+        F.max(F.when(F.col("rule") == n, F.col("most"))).alias(f"most_{n}") for n in RULES])
 
 
 def judged(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
@@ -138,7 +161,7 @@ def judged(df: DataFrame, text: str = "text", lang: str = "lang", source: str =
     most = staged(thresholds(rows.where(~F.col("base_failed")), lang, source), "thresholds")
     rows = attach(rows, most, [lang, source], F.xxhash64("n_words", "word_chars", *also))
     over = F.lit(False)
-    for n in LEAST_SPREAD:
+    for n in RULES:
         over = over | F.coalesce(F.col(n) > F.col(f"most_{n}"), F.lit(False))
     return rows.withColumn("kept", ~F.col("base_failed") & ~over)
 

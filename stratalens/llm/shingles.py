@@ -35,29 +35,41 @@ def repeated_units(hashes: Column, width: int) -> Column:
     """How many units lie in windows whose hash occurs twice or more.
 
     Hash and position share a long, as many bits for the position as the row needs.
-    Sorted, equal windows stand together, so a neighbour tells whether a window
-    repeats; the positions found cover ``width`` units each.
+    Sorted, equal windows stand together, so a neighbour tells whether a window may
+    repeat; those whose shortened hash does are compared by their whole hash. The
+    positions found cover ``width`` units each.
     """
     n = F.size(hashes)
     bits = F.length(F.bin(n.cast("bigint"))).cast("int")
     row = F.struct(hashes.alias("h"), bits.alias("b"))
 
+    def beside(values: Column, j: Column, same) -> Column:
+        x = F.get(values, j)
+        near = lambda k: F.coalesce(same(x, F.get(values, k)), F.lit(False))
+        return near(j - 1) | near(j + 1)
+
     def packed(v: Column) -> Column:
         return F.sort_array(F.transform(
             v["h"], lambda h, i: shifted_left(h, v["b"]).bitwiseOR(i.cast("bigint"))))
 
-    def covered(v: Column) -> Column:
-        same = lambda x, y: F.coalesce(shifted_right(x.bitwiseXOR(y), v["b"]) == 0, F.lit(False))
+    def likely(v: Column) -> Column:
+        same = lambda x, y: shifted_right(x.bitwiseXOR(y), v["b"]) == 0
         low = shifted_left(F.lit(1).cast("bigint"), v["b"]) - 1
-        return F.transform(
-            F.filter(v["s"], lambda x, j: same(x, F.get(v["s"], j - 1)) | same(x, F.get(v["s"], j + 1))),
-            lambda x: x.bitwiseAND(low))
+        return F.transform(F.filter(v["s"], lambda x, j: beside(v["s"], j, same)), lambda x: x.bitwiseAND(low))
+
+    def settled(v: Column) -> Column:
+        whole = F.sort_array(F.transform(v["at"], lambda i: F.struct(F.get(v["h"], i.cast("int")).alias("h"), i.alias("i"))))
+        same = lambda x, y: x["h"] == y["h"]
+        return F.transform(bound(whole, lambda w: F.filter(w, lambda x, j: beside(w, j, same))), lambda x: x["i"])
 
     def units(starts: Column) -> Column:
         return F.size(F.array_distinct(F.concat(*[_plus(starts, k) for k in range(width)])))
 
-    found = bound(row, lambda v: bound(F.struct(packed(v).alias("s"), v["b"].alias("b")), covered))
-    return F.when(F.size(F.array_distinct(hashes)) == n, F.lit(0)).otherwise(bound(found, units))
+    def found(v: Column) -> Column:
+        at = bound(F.struct(packed(v).alias("s"), v["b"].alias("b")), likely)
+        return bound(F.struct(v["h"].alias("h"), at.alias("at")), settled)
+
+    return F.when(F.size(F.array_distinct(hashes)) == n, F.lit(0)).otherwise(bound(bound(row, found), units))
 
 
 def _plus(values: Column, k: int) -> Column:

@@ -283,3 +283,43 @@ def test_fingerprint_is_a_homomorphism_of_multisets(spark, tmp_path):
     pair = spark.createDataFrame([(of[1], of[2], of[3])], "a string, b string, c string")
     sums = pair.select(fingerprints.combine(F.col("a"), F.col("b")), fingerprints.combine(F.col("c"), F.col("b"), -1)).first()
     assert tuple(sums) == (of[3], of[1])
+
+
+def test_long_repetitive_texts_do_not_outgrow_the_lanes(spark, tmp_path):
+    long = "a b " * 40_000
+    table = cases.stored(spark, tmp_path / "t", cases.documents(spark, [(1, long, "en", "a"), (2, "other words here", "en", "a")]))
+    got = {r.doc_id: r for r in fingerprints.edited(table).collect()}
+    assert got[1].near_edited > 0.99 and got[1].near_next < 0.5
+    # reduced lanes still add up
+    both = spark.createDataFrame([(1, long + "\n" + long)], "doc_id long, text string")
+    whole = fingerprints.fingerprint(cases.stored(spark, tmp_path / "u", both)).first().fingerprint
+    one = F.lit(got[1].fingerprint)
+    assert spark.range(1).select(fingerprints.combine(one, one).alias("f")).first().f == whole
+
+
+def test_repeated_words_of_very_long_texts_are_exact(spark):
+    words = [f"w{i:x}" for i in range(4_000_000)]
+    text = " ".join([*words, *words[1000:1003]])
+    row = quality_rules.measured(spark.createDataFrame([(1, text)], "doc_id long, text string"), "text", ["doc_id"]).first()
+    assert (row.n_words, row.n_repeat_words) == (4_000_003, 6)
+
+
+def test_fences_follow_their_group(spark):
+    """A source in which words are long, and one in which lines repeat, set fences of their own."""
+    rng = random.Random(6)
+    made = lambda size: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(size - 2, size + 2))) for _ in range(80))
+    rows = [(i, made(5), "en", "short") for i in range(400)] + [(1000 + i, made(14), "en", "long") for i in range(400)]
+    rows += [(5000, made(14), "en", "short"), (5001, made(14), "en", "long"), (5002, "$$ ## " * 9 + made(5), "en", "short")]
+    kept = {r.doc_id: r.kept for r in quality_rules.judged(cases.documents(spark, rows)).collect()}
+    assert not kept[5000] and kept[5001] and not kept[5002]
+    assert sum(kept.values()) == len(rows) - 2
+
+
+def test_fences_are_pooled_by_weight(spark):
+    sketch = lambda rows: spark.createDataFrame(rows, "lang string, source string, rule string, value long, n long")
+    own = quality_rules.fences(sketch([("en", "a", "word_length", v, 10) for v in (40_000, 50_000, 60_000, 70_000)]), ["lang", "source"]).first()
+    assert (own.texts, own.most, own.decided) == (40, 60_000 + 5 * 20_000, True)
+    none = quality_rules.fences(sketch([("en", "a", "upper_share", 0, 10)]), ["lang", "source"]).first()
+    assert (none.texts, none.most, none.decided) == (0, None, False)
+    row = spark.createDataFrame([(40, 100, 400), (0, None, 400), (10 ** 6, 100, 400)], "t long, m long, c long")
+    assert [r.p for r in row.select(quality_rules.pooled("t", "m", "c").alias("p")).collect()] == [266, 400, 100]
