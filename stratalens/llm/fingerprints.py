@@ -8,6 +8,7 @@ deleted by adding or subtracting its vector (``combine``).
 The first EXACT lanes (32 bits) come from hashes of the whole paragraph: they tell
 multisets apart. The other LANES lanes (16 bits, signed) sum +1 or -1 per pair of
 neighbouring words: the cosine of two such vectors estimates how much the texts share.
+Where a sum outgrows its lane, likeness takes the sums themselves (``wide``).
 
 Null texts count as empty: all lanes zero. Two texts without words have likeness 1,
 such a text and one with words 0. ``edited`` sorts by key with nulls first; rows with
@@ -49,7 +50,8 @@ def _hex(value: Column, digits: int) -> Column:
 
 def vectors(rows: DataFrame, by: list[str], body: str) -> DataFrame:
     """Per row of ``by`` (unique, and partitioned by a part of it where possible): the exact
-    lanes as bytes, and the likeness lanes as an array of signed numbers."""
+    lanes as bytes, and the likeness lanes as an array of signed numbers, for long texts
+    also the sums before they are reduced to lanes."""
     parts = rows.select(*by, paragraphs(F.col(body)).alias("_parts"))
     # the exact lanes ride along as one grouping key: they are known per row
     parts = parts.select(*by, "_parts", F.concat(*[_hex(x, 8) for x in exact_lanes(F.col("_parts"))]).alias("_exact"))
@@ -62,9 +64,17 @@ def vectors(rows: DataFrame, by: list[str], body: str) -> DataFrame:
     hashed = pairs.select(*by, "_exact", F.when(there, F.xxhash64("_p")).alias("_h"),
                           F.when(there, F.xxhash64("_p", F.lit(1))).alias("_g"))
     sums = hashed.groupBy(*by, "_exact").agg(F.count("_h").alias("_n"), *bit_sums("_h", "_x"), *bit_sums("_g", "_y"))
-    signed = [(c * 2 - F.col("_n")).bitwiseAND(F.lit(LANE_MASK)) for c in bit_counts("_x") + bit_counts("_y")]
+    whole = [c * 2 - F.col("_n") for c in bit_counts("_x") + bit_counts("_y")]
+    signed = [s.bitwiseAND(F.lit(LANE_MASK)) for s in whole]
     lanes = F.array(*[(s.bitwiseXOR(F.lit(LANE_SIGN)) - LANE_SIGN).cast("smallint") for s in signed])
-    return sums.select(*by, F.unhex("_exact").alias("exact"), lanes.alias("lanes"))
+    # no sum exceeds the number of pairs
+    wide = F.when(F.col("_n") >= LANE_SIGN, F.array(*[s.cast("int") for s in whole]))
+    return sums.select(*by, F.unhex("_exact").alias("exact"), lanes.alias("lanes"), wide.alias("wide"))
+
+
+def compared(lanes: str, wide: str) -> Column:
+    """What ``likeness`` takes."""
+    return F.coalesce(F.col(wide), F.col(lanes).cast("array<int>"))
 
 
 def shown(exact: str, lanes: str) -> Column:
@@ -126,10 +136,11 @@ def edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     # both forms of a row are in one task already; lanes stay numbers until the end
     form = lambda n, c: F.first(F.when(F.col("_form") == n, F.col(c)), ignorenulls=True)
     made = staged(made.groupBy(*by).agg(form(0, "exact").alias("_x"), form(0, "lanes").alias("_l"),
-                                        form(1, "exact").alias("_ex"), form(1, "lanes").alias("_el")), "vectors")
-    after = made.select(F.col("_row").alias("_next"), F.col("_l").alias("_a"))
+                                        form(0, "wide").alias("_w"), form(1, "exact").alias("_ex"),
+                                        form(1, "lanes").alias("_el"), form(1, "wide").alias("_ew")), "vectors")
+    after = made.select(F.col("_row").alias("_next"), F.col("_l").alias("_a"), F.col("_w").alias("_aw"))
     out = made.join(after, "_next")
     return out.select(F.col("_id").alias(key), "n_chars", F.lower(F.hex("_sha")).alias("edited_sha256"),
                       shown("_x", "_l").alias("fingerprint"), shown("_ex", "_el").alias("edited_fingerprint"),
-                      likeness(F.col("_l"), F.col("_el")).alias("near_edited"),
-                      likeness(F.col("_l"), F.col("_a")).alias("near_next"))
+                      likeness(compared("_l", "_w"), compared("_el", "_ew")).alias("near_edited"),
+                      likeness(compared("_l", "_w"), compared("_a", "_aw")).alias("near_next"))
