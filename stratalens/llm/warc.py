@@ -7,6 +7,8 @@ archives and gives, per archive, a run of captures sorted by URL key, timestamp
 pieces go through a k-way loser tree, so the parts together are one ordered index. URL,
 timestamp and id all take part in the ranges, so captures of one URL may fill many.
 
+A record whose payload does not match its digest or length stops the read.
+
 Null payloads are empty, null URLs are empty. Pages that repeat id and payload of a
 response are responses too. A null id counts as the least. An empty table gives no
 records and an empty index.
@@ -36,8 +38,10 @@ HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ2
 START, SPAN = 1_577_836_800, 315_360_000
 
 CAPTURE = ("urlkey string, timestamp string, page_id long, url string, record_type string, refers_to long, "
-           "payload_bytes long, payload_digest string, intact boolean, archive string, offset long")
+           "payload_bytes long, payload_digest string, archive string, offset long")
 ORDER = ["urlkey", "timestamp", "page_id"]
+#: Captures in a range of the index: what a task of the merge holds.
+PER_RANGE = 100_000
 
 
 def base32_sha1(data: Column) -> Column:
@@ -124,9 +128,11 @@ def captures(data: bytes, archive: str) -> list[tuple]:
             kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
             own = base64.b32encode(sha1(payload).digest()).decode()
             intact = kind == "revisit" or (own == digest and size == len(payload))
+            if not intact:
+                raise ValueError(f"{archive}: the payload of the record at {start} is not what its head says")
             url, time = fields["WARC-Target-URI"], "".join(c for c in fields["WARC-Date"] if c.isdigit())
             found.append((url_key(url), time, _number(fields["WARC-Record-ID"]), url, kind,
-                          _number(fields.get("WARC-Refers-To", "")), size, digest, intact, archive, start))
+                          _number(fields.get("WARC-Refers-To", "")), size, digest, archive, start))
     return sorted(found, key=_key)
 
 
@@ -153,7 +159,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=[c.split()[0] for c in CAPTURE.split(", ")], dtype=object)
-    return frame.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64", "intact": "bool", "offset": "int64"})
+    return frame.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64", "offset": "int64"})
 
 
 def merged(runs: list[list]) -> Iterator:
@@ -180,7 +186,8 @@ def merged(runs: list[list]) -> Iterator:
 
 def history(captured: DataFrame) -> DataFrame:
     """All captures in the order of URL key, timestamp and id, with the part of the index
-    and the place in the part. A part's rows are held in memory as far as one range."""
+    and the place in the part. A task holds one range, whose size does not grow with the
+    data: their number does."""
     ship(captured.sparkSession)
     runs = staged(captured, "runs")  # the sampling of the ranges reads them, and so does the merge
     names = [c.split()[0] for c in CAPTURE.split(", ")]
@@ -198,7 +205,8 @@ def history(captured: DataFrame) -> DataFrame:
         if rows:
             yield _frame(rows).assign(place=range(len(rows)))
 
-    ranged = runs.repartitionByRange(*ORDER)
+    ranges = max(int(captured.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // PER_RANGE))
+    ranged = runs.repartitionByRange(ranges, *ORDER)
     return ranged.mapInPandas(merge, CAPTURE + ", place long").withColumn("part", F.spark_partition_id())
 
 
