@@ -64,12 +64,13 @@ def vectors(rows: DataFrame, by: list[str], body: str) -> DataFrame:
     hashed = pairs.select(*by, "_exact", F.when(there, F.xxhash64("_p")).alias("_h"),
                           F.when(there, F.xxhash64("_p", F.lit(1))).alias("_g"))
     sums = hashed.groupBy(*by, "_exact").agg(F.count("_h").alias("_n"), *bit_sums("_h", "_x"), *bit_sums("_g", "_y"))
-    whole = [c * 2 - F.col("_n") for c in bit_counts("_x") + bit_counts("_y")]
-    signed = [s.bitwiseAND(F.lit(LANE_MASK)) for s in whole]
-    lanes = F.array(*[(s.bitwiseXOR(F.lit(LANE_SIGN)) - LANE_SIGN).cast("smallint") for s in signed])
+    # an array first: the 128 sums are written out once, both forms are short loops over it
+    whole = F.array(*[c * 2 - F.col("_n") for c in bit_counts("_x") + bit_counts("_y")])
+    summed = sums.select(*by, F.unhex("_exact").alias("exact"), "_n", whole.alias("_whole"))
+    lane = lambda s: (s.bitwiseAND(F.lit(LANE_MASK)).bitwiseXOR(F.lit(LANE_SIGN)) - LANE_SIGN).cast("smallint")
     # no sum exceeds the number of pairs
-    wide = F.when(F.col("_n") >= LANE_SIGN, F.array(*[s.cast("int") for s in whole]))
-    return sums.select(*by, F.unhex("_exact").alias("exact"), lanes.alias("lanes"), wide.alias("wide"))
+    wide = F.when(F.col("_n") >= LANE_SIGN, F.transform("_whole", lambda s: s.cast("int")))
+    return summed.select(*by, "exact", F.transform("_whole", lane).alias("lanes"), wide.alias("wide"))
 
 
 def compared(lanes: str, wide: str) -> Column:
