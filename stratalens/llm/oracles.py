@@ -16,12 +16,19 @@ def _base32(digest: str) -> str:
 
 
 WARC = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
-d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS digest FROM p),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d)
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, lower(url) AS url FROM pages),
+d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS digest,
+             regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^www[.]', '') AS host,
+             regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path,
+             regexp_extract(url, '[?][^#]*') AS query,
+             strftime(make_timestamp((1577836800 + page_id % 315360000) * 1000000), '%Y%m%d%H%M%S') AS timestamp FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first,
+             array_to_string(list_reverse(string_split(host, '.')), ',') || ')' ||
+             CASE WHEN path = '' THEN '/' ELSE path END || query AS urlkey FROM d)
 SELECT page_id, payload_bytes, {_base32('digest')} AS payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first THEN first END AS refers_to
+       CASE WHEN page_id <> first THEN first END AS refers_to,
+       urlkey, timestamp, row_number() OVER (ORDER BY urlkey, timestamp, page_id) - 1 AS rank
 FROM f
 """
 

@@ -35,8 +35,9 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = warc.round_trip(_table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    index = warc.ranked(warc.round_trip(_table(spark, sf_dir, "pages")))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+                        "urlkey", "timestamp", "rank")
 
 
 def op5_simhash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

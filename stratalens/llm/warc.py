@@ -24,7 +24,7 @@ from hashlib import sha1
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalens.llm.common import attach, ship, text_of, with_row
@@ -210,6 +210,17 @@ def history(captured: DataFrame) -> DataFrame:
     return ranged.mapInPandas(merge, CAPTURE + ", place long").withColumn("part", F.spark_partition_id())
 
 
+def ranked(index: DataFrame) -> DataFrame:
+    """Add ``rank``, the 0-based place of a capture in the whole index: the captures of the
+    parts before its own, and its place in the part."""
+    index = staged(index, "index")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row per part, a part per PER_RANGE captures
+    starts = (index.groupBy("part").agg(F.count(F.lit(1)).alias("_n"))
+              .select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    return index.join(starts, "part").withColumn("rank", F.col("_start") + F.col("place")).drop("_start")
+
+
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write archives for the pages, read them back and give the merged capture index."""
     spark = pages.sparkSession

@@ -467,3 +467,6 @@ def test_ranges_of_the_index_grow_in_number(spark, tmp_path, monkeypatch):
     got = warc.round_trip(cases.stored(spark, tmp_path / "pages", pages)).orderBy("part", "place").collect()
     assert len({r.part for r in got}) > 10
     assert [(r.urlkey, r.timestamp, r.page_id) for r in got] == sorted((r.urlkey, r.timestamp, r.page_id) for r in got)
+    index = warc.ranked(warc.round_trip(cases.stored(spark, tmp_path / "again", pages))).orderBy("rank").collect()
+    assert [r.page_id for r in index] == [r.page_id for r in got]
+    assert [r["rank"] for r in index] == list(range(len(got)))
