@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import stratalens
 from stratalens.sources.staging import staged
@@ -16,8 +17,10 @@ from stratalens.sources.staging import staged
 SPACE = " \t\n\x0b\f\r"
 GAP = r"[ \t\n\x0B\f\r]+"
 
-#: Rows of a table that may be broadcast. Beyond, joins are shuffled and salted.
+#: Rows, and bytes of texts and arrays, of a table that may be broadcast. Beyond either,
+#: joins are shuffled and salted.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16_000_000
 #: A hot key's rows are spread over so many salts.
 SALTS = 32
 
@@ -115,17 +118,28 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
             .withColumn(name, at).drop("_part", "_at", "_start"))
 
 
+def fits_broadcast(small: DataFrame) -> bool:
+    """Whether a stored table is within both bounds of a broadcast. What is counted is
+    BROADCAST_ROWS + 1 rows at most."""
+    wide = [F.octet_length(f"`{f.name}`") if isinstance(f.dataType, T.StringType)
+            else F.octet_length(F.to_json(F.struct(f"`{f.name}`")))
+            for f in small.schema if isinstance(f.dataType, (T.StringType, T.ArrayType, T.StructType, T.MapType))]
+    total = sum((F.coalesce(w.cast("bigint"), F.lit(0)) for w in wide), F.lit(0))
+    n, size = small.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(total), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
 def attach(rows: DataFrame, small: DataFrame, keys: list[str], salt: Column) -> DataFrame:
     """Left join of a per-key table with null-safe keys, one row per key.
 
-    ``small`` must be a stored table. Up to BROADCAST_ROWS rows it is broadcast.
-    Beyond, it first meets the distinct (keys, salt) of ``rows``, at most SALTS per
+    ``small`` must be a stored table. Up to BROADCAST_ROWS rows and BROADCAST_BYTES it is
+    broadcast. Beyond, it first meets the distinct (keys, salt) of ``rows``, at most SALTS per
     key, and these meet the rows: no task gets all rows of a hot key.
     """
     right = small.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                          *[c for c in small.columns if c not in keys])
     renamed = [f"_k{i}" for i in range(len(keys))]
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits_broadcast(small):
         right = F.broadcast(right)
         return rows.join(right, [rows[k].eqNullSafe(right[r]) for k, r in zip(keys, renamed)], "left").drop(*renamed)
     spread = rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int"))

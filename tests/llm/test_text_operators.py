@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import cases
-from stratalens.llm import bpe, fingerprints, line_templates, quality_rules, secrets
+from stratalens.llm import bpe, common, fingerprints, line_templates, quality_rules, secrets
 from stratalens.llm.queries import tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -272,6 +272,35 @@ def test_families_of_one_leaf_have_templates_of_their_own(spark, tmp_path):
     assert got == {0: [], **{i: [1] for i in range(1, 6)}, 6: [], 7: [1, 2, 3]}
 
 
+def test_many_families_of_one_leaf_take_few_turns(spark, tmp_path, monkeypatch):
+    """200 families in one leaf, each with a field of few values shared by all families and
+    one of its own: no field tears a family apart, and turns do not grow with families."""
+    rng, turns, led = random.Random(2), [], line_templates._led
+    monkeypatch.setattr(line_templates, "_led", lambda forms: turns.append(1) or led(forms))
+    word = lambda: "".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(4))
+    families = [[word() for _ in range(8)] for _ in range(200)]
+    line = lambda family, colour: " ".join(["Now at the far gate", *family[:4], colour, *family[4:], word()])
+    given = [(i, "\n".join([cases.prose(i, 20), *(line(f, colour) for f in families)]), "en", "a")
+             for i, colour in enumerate(["red", "green", "blue"])]
+    docs = cases.stored(spark, tmp_path / "t", cases.documents(spark, given).coalesce(1))
+    got = {r.doc_id: r.gone for r in line_templates.dedup(docs, dropped="gone").collect()}
+    assert got == {0: [], 1: list(range(1, 201)), 2: list(range(1, 201))}
+    assert len(turns) <= 7
+
+
+def test_wide_tables_are_not_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 5000)
+    rows = [(i, ["word"] * 50) for i in range(60)]
+    small = cases.stored(spark, tmp_path / "s", spark.createDataFrame(rows, "k long, tokens array<string>"))
+    assert not common.fits_broadcast(small) and common.fits_broadcast(small.limit(3)) and common.fits_broadcast(small.select("k"))
+    assert common.fits_broadcast(small.limit(0))
+    left = spark.range(600).select((F.col("id") % 70).alias("k"), "id")
+    joined = common.attach(left, small, ["k"], F.col("id"))
+    assert joined.count() == 600 and joined.where("tokens IS NULL").count() == sum(i % 70 >= 60 for i in range(600))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    assert not common.fits_broadcast(small.select("k"))
+
+
 def test_short_lines_recur_too(spark, tmp_path):
     given = [(i, f"All rights reserved.\n\n{cases.prose(i, 20)}\nPage {i} of 9\n \nMenu" + "\nonly two" * (i < 2), "en", "a")
              for i in range(4)]
