@@ -121,9 +121,15 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
 def fits_broadcast(small: DataFrame) -> bool:
     """Whether a stored table is within both bounds of a broadcast. What is counted is
     BROADCAST_ROWS + 1 rows at most."""
-    wide = [F.octet_length(f"`{f.name}`") if isinstance(f.dataType, T.StringType)
-            else F.octet_length(F.to_json(F.struct(f"`{f.name}`")))
-            for f in small.schema if isinstance(f.dataType, (T.StringType, T.ArrayType, T.StructType, T.MapType))]
+    def size_of(field: T.StructField) -> Column:
+        name = f"`{field.name}`"
+        if isinstance(field.dataType, T.StringType):
+            return F.octet_length(name)
+        if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.NumericType):
+            return F.size(name) * 8
+        return F.octet_length(F.to_json(F.struct(name)))
+
+    wide = [size_of(f) for f in small.schema if isinstance(f.dataType, (T.StringType, T.ArrayType, T.StructType, T.MapType))]
     total = sum((F.coalesce(w.cast("bigint"), F.lit(0)) for w in wide), F.lit(0))
     n, size = small.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(total), F.lit(0))).first()
     return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
