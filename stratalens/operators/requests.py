@@ -8,6 +8,8 @@ this engine's own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratalens.functions.numeric import SCORE_BITS, exact_mean, exact_sum, whole_text
@@ -21,6 +23,10 @@ from stratalens.operators.violations import (
 from stratalens.schema import CLEAN, KEY
 from stratalens.sources.catalog import with_catalog
 
+#: Source texts: a table of them, or what adds ``source_name`` and ``source_code`` to rows that
+#: name a file by KEY, given the rows and the kind of join.
+Sources = DataFrame | Callable[[DataFrame, str], DataFrame]
+
 # Lines of source shown per file, files named in a fix request.
 MAX_SOURCE_LINES = 300
 MAX_FIX_FILES = 5
@@ -63,13 +69,25 @@ def _labelled(label: str, value: Column) -> Column:
 def source_sections(sources: DataFrame, max_lines: int, owner: list[str] = ["project_id"]) -> DataFrame:
     """Shown part of each text under its file name. Cutting comes before any
     join or grouping, so only what is shown is shuffled."""
-    section = F.concat(
-        F.lit("=== "), F.col("file_name"), F.lit(" ===\n"),
-        truncate_lines(F.col("source_code"), max_lines),
-    )
+    section = shown_section(F.col("file_name"), F.col("source_code"), max_lines)
     return sources.select(*source_keys(sources, owner), section.alias("section"))
 
 
+def shown_section(name: Column, text: Column, max_lines: int) -> Column:
+    return F.concat(F.lit("=== "), name, F.lit(" ===\n"), truncate_lines(text, max_lines))
+
+
+def with_sections(
+    wanted: DataFrame, sources: Sources, max_lines: int, how: str = "inner", owner: list[str] = ["project_id"],
+) -> DataFrame:
+    """``wanted`` with the shown part of each row's text. ``wanted`` has the columns that go
+    on only: where texts are looked up they take these along, and move next to their group."""
+    if isinstance(sources, DataFrame):
+        return wanted.join(source_sections(sources, max_lines, owner), source_keys(sources, owner), how)
+    section = shown_section(F.col("source_name"), F.col("source_code"), max_lines)
+    return sources(wanted, how).withColumn("section", section).drop("source_name", "source_code")
+
+
 def source_keys(sources: DataFrame, owner: list[str] = ["project_id"]) -> list[str]:
     """Texts go by position where it is known, else by name."""
     return KEY if "file_seq" in sources.columns else [*owner, "file_name"]
@@ -98,7 +116,7 @@ def sliced(texts: DataFrame, keys: list[str], max_bytes: int) -> DataFrame:
 
 
 def validation_requests(
-    scored: DataFrame, verdict_groups: DataFrame, sources: DataFrame,
+    scored: DataFrame, verdict_groups: DataFrame, sources: Sources,
     max_lines: int = MAX_SOURCE_LINES, max_bytes: int = MAX_REQUEST_BYTES,
 ) -> DataFrame:
     """Requests per reviewed (project, type, part): what was predicted and
@@ -117,7 +135,7 @@ def validation_requests(
         "catalog_description", "layers", "confidence",
     )
     members = with_part(scored.filter(F.col("type") != CLEAN)).select(*KEY, "type", "part")
-    texts = sliced(members.join(source_sections(sources, max_lines), KEY), PART_GROUP, max_bytes)
+    texts = sliced(with_sections(members, sources, max_lines), PART_GROUP, max_bytes)
     blocks = texts.groupBy(*PART_GROUP, "slice").agg(
         joined_sections(F.col("section"), "file_seq").alias("_sources"),
         F.count(F.lit(1)).alias("n_files"), F.sum(F.octet_length("section")).alias("source_bytes"),
@@ -146,13 +164,15 @@ def validation_requests(
 
 
 def clean_check_requests(
-    candidates: DataFrame, sources: DataFrame, max_lines: int = MAX_SOURCE_LINES,
+    candidates: DataFrame, sources: Sources, max_lines: int = MAX_SOURCE_LINES,
 ) -> DataFrame:
     """One request per low-confidence clean file."""
-    shown = sources.select(
-        *KEY, "file_name", truncate_lines(F.col("source_code"), max_lines).alias("_shown")
-    )
-    texts = candidates.select(*KEY, "architecture_pattern", "layer").join(shown, KEY)
+    asked = candidates.select(*KEY, "architecture_pattern", "layer")
+    if isinstance(sources, DataFrame):
+        found = asked.join(sources.select(*KEY, "file_name", "source_code"), KEY)
+    else:
+        found = sources(asked, "inner").withColumnRenamed("source_name", "file_name")
+    texts = found.withColumn("_shown", truncate_lines(F.col("source_code"), max_lines))
     prompt = _lines(
         "This file was predicted free of anti-patterns, with little confidence.",
         _labelled("File", F.col("file_name")),
@@ -265,7 +285,7 @@ def first_members(members: DataFrame, limit: int = MAX_FIX_FILES, violation: lis
 
 
 def fix_requests(
-    details: DataFrame, members: DataFrame, sources: DataFrame | None,
+    details: DataFrame, members: DataFrame, sources: Sources | None,
     architectures: DataFrame, max_lines: int = MAX_SOURCE_LINES,
     owner: list[str] = ["project_id"], violation: list[str] = GROUP,
 ) -> DataFrame:
@@ -277,7 +297,9 @@ def fix_requests(
     if sources is None:
         with_code = top.withColumn("section", F.lit(None).cast("string"))
     else:
-        with_code = top.join(source_sections(sources, max_lines, owner), source_keys(sources, owner), "left")
+        keys = source_keys(sources, owner) if isinstance(sources, DataFrame) else KEY
+        wanted = top.select(*dict.fromkeys([*violation, *keys, "rank", "file_name"]))
+        with_code = with_sections(wanted, sources, max_lines, "left", owner)
     name = F.concat(F.lit("  - "), F.col("file_name"))
     shown = with_code.groupBy(*violation).agg(
         joined_sections(name, "rank", separator="\n").alias("_names"),
@@ -285,12 +307,21 @@ def fix_requests(
         F.count("section").alias("n_sources"),
         F.count(F.lit(1)).alias("n_shown"),
     )
+    return fix_prompts(details, shown, architectures, owner, violation)
+
+
+def fix_prompts(
+    details: DataFrame, shown: DataFrame, architectures: DataFrame,
+    owner: list[str] = ["project_id"], violation: list[str] = GROUP,
+) -> DataFrame:
+    """``shown`` has the first files and their source as text, a row per violation that has
+    files; it is joined last, so that only narrow rows move for the other joins."""
     zero = F.lit(0).cast("bigint")
     rows = with_catalog(details.filter(F.col("type") != CLEAN)).join(
-        shown, violation, "left"
-    ).withColumns({
+        architectures.select(*owner, "architecture_pattern"), owner
+    ).join(shown, violation, "left").withColumns({
         "n_shown": F.coalesce("n_shown", zero), "n_sources": F.coalesce("n_sources", zero),
-    }).join(architectures.select(*owner, "architecture_pattern"), owner)
+    })
     more = F.col("n_files") - F.col("n_shown")
     before, after = F.col("catalog_before_code"), F.col("catalog_after_code")
     example = F.when(
