@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stratalens.operators.fixes import fix_suggestions, fix_totals
-from stratalens.operators.requests import fix_requests
+from stratalens.operators.requests import MAX_FIX_FILES, MAX_SOURCE_LINES, fix_prompts, shown_section
 from stratalens.schema import CLEAN
 from stratalens.sources.projects import with_defaults
 from stratalens.sources.staging import staged
@@ -30,8 +30,7 @@ REQUEST = (
 
 class FixInput(NamedTuple):
     details: DataFrame   # a row per violation
-    members: DataFrame   # a row per violation and file
-    sources: DataFrame   # request_id, file_name, source_code
+    shown: DataFrame     # per violation with files: names and source of the first, as text
     requests: DataFrame  # request_id, project_id, architecture_pattern, total_fixes
 
 
@@ -49,10 +48,13 @@ def read_fix_requests(spark: SparkSession, path: str) -> FixInput:
 
 
 def fix_input(requests: DataFrame) -> FixInput:
-    """Tables of the requests, which are numbered and stored once. Optional fields take their
-    defaults; ``clean`` and unnamed entries are dropped, the others keep their place in the
-    request as ``position``, from 1."""
-    stored = staged(requests.withColumn("request_id", F.monotonically_increasing_id()), "requests")
+    """Tables of the requests, which are numbered and stored once, with the texts of the files
+    that a prompt shows. Optional fields take their defaults; ``clean`` and unnamed entries are
+    dropped, the others keep their place in the request as ``position``, from 1."""
+    named = F.flatten(F.transform("anti_patterns", lambda x: first_files(x["files"])))
+    texts = F.filter(F.map_entries("file_sources"), lambda x: (F.length(x["value"]) > 0) & F.array_contains(named, x["key"]))
+    numbered = requests.withColumn("request_id", F.monotonically_increasing_id())
+    stored = staged(numbered.withColumn("texts", texts).drop("file_sources"), "requests")
     asked = lambda kind: ~F.coalesce(kind, F.lit("")).isin(CLEAN, "")
     entries = stored.select(
         "request_id", "project_id", F.posexplode("anti_patterns").alias("_at", "_entry")
@@ -63,20 +65,39 @@ def fix_input(requests: DataFrame) -> FixInput:
         *VIOLATION, "project_id", "type", "affected_layer", "severity", "description",
         F.size("files").cast("bigint").alias("n_files"),
     )
-    members = entries.select(
-        *VIOLATION, F.lit(0).alias("origin"), F.posexplode("files").alias("file_seq", "file_name"))
-    sources = stored.select("request_id", F.explode("file_sources").alias("file_name", "source_code")).filter(
-        F.length("source_code") > 0)
+    shown = stored.select("request_id", "texts", F.posexplode("anti_patterns").alias("_at", "_entry")).select(
+        "request_id", (F.col("_at") + 1).cast("bigint").alias("position"), shown_files().alias("_shown")).filter(F.size("_shown") > 0)
+    sections = F.transform("_shown", lambda x: x["section"])
+    shown = shown.select(
+        *VIOLATION, F.array_join(F.transform("_shown", lambda x: F.concat(F.lit("  - "), x["file_name"])), "\n").alias("_names"),
+        F.array_join(sections, "\n\n").alias("_sources"), F.size(F.array_compact(sections)).cast("bigint").alias("n_sources"),
+        F.size("_shown").cast("bigint").alias("n_shown"))
     fixes = F.size(F.filter("anti_patterns", lambda x: asked(x["type"])))
     given = stored.select(
         "request_id", "project_id", F.coalesce("architecture_pattern", F.lit("layered")).alias("architecture_pattern"),
         F.when(F.col("anti_patterns").isNull(), 0).otherwise(fixes).cast("bigint").alias("total_fixes"))
-    return FixInput(details, members, sources, given)
+    return FixInput(details, shown, given)
+
+
+def first_files(files: Column) -> Column:
+    return F.slice(F.coalesce(files, F.array().cast("array<string>")), 1, MAX_FIX_FILES)
+
+
+def shown_files() -> Column:
+    """The first files of an entry with the shown part of their text, looked up in the request
+    that both are in; one without a text stays, one given several is listed with each."""
+    def with_text(name: Column) -> Column:
+        given = F.filter("texts", lambda x: x["key"] == name)
+        sections = F.array_sort(F.transform(given, lambda x: shown_section(x["key"], x["value"], MAX_SOURCE_LINES)))
+        listed = F.when(F.size(given) > 0, sections).otherwise(F.array(F.lit(None).cast("string")))
+        return F.transform(listed, lambda section: F.struct(name.alias("file_name"), section.alias("section")))
+
+    return F.flatten(F.transform(first_files(F.col("_entry.files")), with_text))
 
 
 def suggest_fixes(given: FixInput, replies: DataFrame | None = None) -> FixReport:
     """``replies`` hold the texts of external fixes by (request, position), or for all
     violations of a type in a project by (project, type)."""
     fixes = fix_suggestions(given.details, replies)
-    prompts = fix_requests(given.details, given.members, given.sources, given.requests, owner=OWNER, violation=VIOLATION)
+    prompts = fix_prompts(given.details, given.shown, given.requests, owner=OWNER, violation=VIOLATION)
     return FixReport(fixes, prompts, given.requests.drop("architecture_pattern"))
