@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stratalens.functions.text import or_else
+from stratalens.operators.parts import grown
 from stratalens.schema import CLEAN
 from stratalens.sources.catalog import SCHEMA, fallback_entry, with_catalog
 
@@ -30,7 +31,7 @@ def fix_suggestions(details: DataFrame, replies: DataFrame | None = None) -> Dat
         told = replies.filter(F.length(F.coalesce("reply", F.lit(""))) > 0)
         keys = ["request_id", "position"] if "request_id" in replies.columns else ["project_id", "type"]
         told = told.groupBy(*keys).agg(F.min("reply").alias("reply"))
-        joined = known.join(told, keys, "left")
+        joined = known.join(grown(told), keys, "left")
     reply = F.coalesce("reply", F.lit(""))
     return joined.select(
         *[c for c in ("request_id",) if c in keep], "project_id", "position",
@@ -50,7 +51,7 @@ def fix_suggestions(details: DataFrame, replies: DataFrame | None = None) -> Dat
 def with_files(fixes: DataFrame, member_lists: DataFrame) -> DataFrame:
     """Fix rows with the affected file names, one row per part."""
     lists = member_lists.withColumnRenamed("type", "anti_pattern")
-    return fixes.join(lists, ["project_id", "anti_pattern"])
+    return fixes.join(grown(lists), ["project_id", "anti_pattern"])
 
 
 def fix_totals(fixes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stratalens.functions.numeric import clip, round_exact
 from stratalens.functions.replies import with_assessment
+from stratalens.operators.parts import grown
 from stratalens.operators.review import first_readable, per_part, reply_keys
 from stratalens.schema import KEY
 
@@ -40,7 +41,7 @@ def project_assessments(assessments: DataFrame, part_sizes: DataFrame | None = N
     part (``part_sizes``: project_id, part, n_files). One part stands as it is."""
     score = F.col("overall_score").try_cast("double")
     sized = assessments.withColumns({"_score": score, "n_files": F.lit(1)}) if part_sizes is None else (
-        assessments.withColumn("_score", score).join(part_sizes, ["project_id", "part"]))
+        assessments.withColumn("_score", score).join(grown(part_sizes), ["project_id", "part"]))
     scored = F.when(F.col("_score").isNotNull(), F.col("n_files"))
     fields = ["part", "reasoning", "strengths", "improvements"]
     # one entry per part of the project
@@ -77,8 +78,8 @@ def file_findings(found: DataFrame, details: DataFrame) -> DataFrame:
     """Penalties and findings added to files by discoveries. Severities go to
     the (project, type, part) that have a discovery, not to all parts."""
     asked = found.select("project_id", "type", "part").distinct()
-    severities = asked.join(details.select("project_id", "type", "severity"), ["project_id", "type"])
-    rows = found.select(*KEY, "part", "type").join(severities, ["project_id", "type", "part"])
+    severities = asked.join(grown(details.select("project_id", "type", "severity")), ["project_id", "type"])
+    rows = found.select(*KEY, "part", "type").join(grown(severities), ["project_id", "type", "part"])
     return rows.groupBy(*KEY, "part").agg(
         F.sum(penalty(F.col("severity"))).alias("found_penalty"),
         F.sort_array(F.collect_set(F.struct("type", "severity"))).alias("found"),
@@ -102,7 +103,7 @@ def with_findings(
     if found is None:
         return base.withColumn("in_clean_list", listed_clean)
     extra = file_findings(found, details)
-    joined = base.join(extra, [*KEY, "part"], "left")
+    joined = base.join(grown(extra), [*KEY, "part"], "left")
     return joined.withColumns({
         "in_clean_list": listed_clean & F.col("found").isNull(),
         "penalty": F.col("penalty") + F.coalesce("found_penalty", F.lit(0)),
@@ -123,7 +124,7 @@ def hybrid_scores(files: DataFrame, scores: DataFrame | None) -> DataFrame:
             "reply_score": F.lit(None).cast("double"), "has_reply_score": F.lit(None).cast("boolean"),
         })
     else:
-        joined = files.join(scores, NAME_KEY, "left")
+        joined = files.join(grown(scores), NAME_KEY, "left")
     model = F.col("model_score")
     blended = F.lit(MODEL_WEIGHT) * model + F.lit(REPLY_WEIGHT) * F.coalesce("reply_score", model)
     adjusted = (

@@ -12,6 +12,7 @@ from stratalens.functions.numeric import (
     SCORE_BITS, exact_mean, exact_sum, round_exact, whole_text,
 )
 from stratalens.functions.scores import score_display, score_emoji, score_label
+from stratalens.operators.parts import grown
 from stratalens.operators.violations import fill, first_architecture, per_architecture
 from stratalens.schema import CLEAN
 
@@ -131,7 +132,7 @@ def quality_summary(projects: DataFrame, layers: DataFrame) -> DataFrame:
         fill(ISSUES_LINE, issues=F.col("total_issues_found"), files=F.col("files_with_violations")),
     )
     return (
-        projects.join(ends, "project_id").withColumn("summary", summary)
+        projects.join(grown(ends), "project_id").withColumn("summary", summary)
         .drop("best", "worst", "n_layers")
     )
 
@@ -147,7 +148,7 @@ def violation_counts(details: DataFrame) -> DataFrame:
 def violation_summary(projects: DataFrame, details: DataFrame) -> DataFrame:
     """Add ``total_violations`` and a one-line summary to project rows."""
     counts = violation_counts(details)
-    joined = projects.join(counts, "project_id", "left")
+    joined = projects.join(grown(counts), "project_id", "left")
     total = F.coalesce("total_violations", F.lit(0).cast("bigint"))
     n = F.col("total_files_analyzed")
     parts = [fill(VIOLATIONS_PART, v=F.col("total_violations"), n=n)]

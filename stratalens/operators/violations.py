@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratalens.functions.numeric import SHARE_BITS, exact_mean, exact_sum, round_exact
-from stratalens.operators.parts import with_part
+from stratalens.operators.parts import grown, with_part
 from stratalens.schema import CLEAN
 from stratalens.sources.catalog import severity_rank, with_catalog
 
@@ -149,7 +149,7 @@ def antipattern_summary(scored: DataFrame, projects: DataFrame | None = None) ->
     )
     if projects is not None:
         zero = F.lit(0).cast("bigint")
-        totals = projects.select("project_id").join(totals, "project_id", "left").withColumns({
+        totals = projects.select("project_id").join(grown(totals), "project_id", "left").withColumns({
             "architecture_pattern": F.coalesce("architecture_pattern", F.lit("unknown")),
             "total_files_analyzed": F.coalesce("total_files_analyzed", zero),
             "total_violations": F.coalesce("total_violations", zero),

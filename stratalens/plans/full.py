@@ -15,6 +15,7 @@ from stratalens.operators.fixes import fix_suggestions
 from stratalens.operators.hybrid import (
     hybrid_scores, project_assessments, read_assessments, reply_scores, with_findings,
 )
+from stratalens.operators.parts import grown
 from stratalens.operators.review import (
     apply_verdicts, clean_candidates, clean_files, discoveries, final_members, member_lists,
     merge_discoveries, rejected_counts, reviewed_details, with_status,
@@ -80,7 +81,7 @@ def _project_flags(review: Review, assessments: DataFrame | None) -> DataFrame:
     flags = review.verdict_groups.groupBy("project_id").agg(
         F.max("attempted").alias("llm_enhanced"),
         F.max("any_source").alias("any_source"),
-    ).join(rejected_counts(review.verdict_groups), "project_id", "left").withColumn(
+    ).join(grown(rejected_counts(review.verdict_groups)), "project_id", "left").withColumn(
         "false_positives_filtered", F.coalesce("n_rejected", F.lit(0).cast("bigint"))
     ).drop("n_rejected")
     if assessments is None:
@@ -93,7 +94,7 @@ def _project_flags(review: Review, assessments: DataFrame | None) -> DataFrame:
         none = F.array().cast("array<string>")
         used = F.col("any_source")
         sizes = review.verdict_groups.groupBy("project_id", "part").agg(F.sum("n_files").alias("n_files"))
-        blank = flags.join(project_assessments(assessments, sizes), "project_id", "left").withColumns({
+        blank = flags.join(grown(project_assessments(assessments, sizes)), "project_id", "left").withColumns({
             "assessed": used & F.col("reasoning").isNotNull(),
             "quality_reasoning": F.coalesce(F.when(used, F.col("reasoning")), F.lit("")),
             "quality_strengths": F.coalesce(F.when(used, F.col("strengths")), none),
@@ -128,13 +129,13 @@ def analyze_full(
     projects = violation_summary(
         quality_summary(project_rollup(sums), layers).withColumnRenamed("summary", "quality_summary"),
         review.details,
-    ).join(_project_flags(review, assessments), "project_id").drop(*WORKING_COLS)
+    ).join(grown(_project_flags(review, assessments)), "project_id").drop(*WORKING_COLS)
     stamped = projects.withColumn(
         "analysis_date", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
     )
     sourced = review.verdict_groups.groupBy("project_id").agg(F.max("any_source").alias("_any"))
     with_source = review.details.filter(F.col("type") != CLEAN).join(
-        sourced.filter("_any").drop("_any"), "project_id", "left_semi"
+        grown(sourced.filter("_any").drop("_any")), "project_id", "left_semi"
     )
     return FullReport(
         projects=stamped,

@@ -9,7 +9,7 @@ from stratalens.operators.review import (
 )
 from stratalens.operators.rules import classify_by_rules
 from stratalens.operators.violations import PART_GROUP, part_groups, violation_groups
-from stratalens.operators.parts import with_part
+from stratalens.operators.parts import grown, with_part
 from stratalens.plans.full import Replies
 from stratalens.plans.scored import score_files
 from stratalens.sources.tables import project_files, stored
@@ -74,7 +74,7 @@ def quoted(text: Column) -> Column:
 def _verdict_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers to validation requests. Customers in debt never answer."""
     groups = part_groups(scored(spark, sf_dir)).filter("type <> 'clean'")
-    rows = groups.join(_customers(spark, sf_dir), "project_id").filter("c_acctbal >= 0")
+    rows = groups.join(grown(_customers(spark, sf_dir)), "project_id").filter("c_acctbal >= 0")
     kind = F.col("type")
     valid = (F.col("c_nationkey") + F.length(kind)) % 5 != 0
     json = text_json(
@@ -145,7 +145,7 @@ def _assessment_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fix_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = violation_groups(scored(spark, sf_dir))
-    rows = groups.join(_customers(spark, sf_dir), "project_id").filter("c_acctbal >= 0")
+    rows = groups.join(grown(_customers(spark, sf_dir)), "project_id").filter("c_acctbal >= 0")
     return rows.select(
         "project_id", "type", F.concat(F.lit("Move it. Files: "), F.col("n_files")).alias("reply")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stratalens.operators.parts import spread, with_part
+from stratalens.operators.parts import grown, spread, with_part
 from stratalens.plans.full import FullReport
 
 
@@ -44,10 +44,10 @@ def nested_reports(report: FullReport, last_seq: DataFrame) -> DataFrame:
     clean = with_part(report.clean_files).groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("file_seq", "file_name"))).alias("_clean")
     ).select(*keys, F.transform("_clean", lambda x: x["file_name"]).alias("clean_files"))
-    projects = report.projects.join(last_seq, "project_id").join(layers, "project_id")
+    projects = report.projects.join(grown(last_seq), "project_id").join(grown(layers), "project_id")
     for table in (details, fixes):
-        projects = projects.join(table, "project_id", "left")
-    rows = spread(projects, "last_seq").drop("last_seq").join(files, keys)
+        projects = projects.join(grown(table), "project_id", "left")
+    rows = spread(projects, "last_seq").drop("last_seq").join(grown(files), keys)
     for table in (layer_files, member_lists, clean):
-        rows = rows.join(table, keys, "left")
+        rows = rows.join(grown(table), keys, "left")
     return rows

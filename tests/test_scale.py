@@ -64,3 +64,15 @@ def test_fix_requests_keep_and_move_shown_texts_only(spark):
     assert "=== F.java ===\nclass F.java" in prompts[1, 2].prompt and "Files:\nProblem:" in prompts[None, 2].prompt
     plan = unaided_plan(spark, lambda: suggest_fixes(made).prompts)
     assert not re.search(r"Exchange hashpartitioning\(request_id#\d+L, file_name", plan)
+
+
+@pytest.mark.parametrize("name", ["assessment_requests", "verdicts_applied", "false_positives", "hybrid_scores", "clean_files"])
+def test_only_the_catalogue_is_broadcast(spark, sf_dir, name):
+    """However small a table looks, one with rows per project, group or file never passes the driver."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" in plan and set(re.findall(r"BroadcastHashJoin \[(.*?)#", plan)) <= {"type"}
