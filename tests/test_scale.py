@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,19 @@ def test_only_the_catalogue_is_broadcast(spark, sf_dir, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert "SortMergeJoin" in plan and set(re.findall(r"BroadcastHashJoin \[(.*?)#", plan)) <= {"type"}
+
+
+def test_every_labelled_row_counts_in_the_ranking(spark):
+    from stratalens.llm import ranking
+
+    names = ["a", "b"]
+    rows = [(1, 0.2 + 0.6 * (i % 97) / 97, (i % 7) / 7) for i in range(9000)] + [(0, 0.5 * (i % 89) / 89, (i % 5) / 5) for i in range(3000)]
+    known = spark.createDataFrame(rows, "_label int, a double, b double").repartition(7)
+    seen = ranking.binned_sums(known, names, np.array([1.0, -1.0]))
+    assert [n.sum() for n, _, _ in seen] == [9000, 3000]
+    model = ranking.fit_all(known, names)
+    assert model == ranking.fit_all(known.repartition(3), names) and model.weights[0] > abs(model.weights[1])
+    u = np.sort([a * model.weights[0] + b * model.weights[1] for _, a, b in rows])
+    assert abs(model.cut - (u[2999] + u[3000]) / 2) < 1e-9
+    near = ranking.fit(np.array([r[1:] for r in rows[:900]]), np.array([r[1:] for r in rows[9000:9400]]), 0.25)
+    assert np.allclose(near.weights, model.weights, atol=0.5)
