@@ -25,9 +25,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, or of texts that share 0.8 of their
-    five-word shingles."""
-    return simhash.dedup(docs, width=5, least=0.8)
+    """One document of each group that links of op5 join (fingerprints over three-word
+    shingles, at most 2 bits apart), or texts that share 0.8 of their five-word shingles."""
+    return simhash.dedup(docs, width=5, least=0.8, grid=3)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -196,7 +196,9 @@ def _counted(df: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarr
     return common[order], np.array([r["n"] for r in rows], dtype=np.int64)[order]
 
 
-def _signatures(df: DataFrame, text: str, width: int, least: float) -> DataFrame:
+def _signatures(df: DataFrame, text: str, width: int, least: float, printed: int) -> DataFrame:
+    """Per row what finds its like: digests of the text, the fingerprint over shingles of
+    ``printed`` words, and bands and rarest hashes of those of ``width`` words."""
     ship(df.sparkSession)
     common, times = _counted(df, text, width)
     schema = ("_row long, _same long, _same2 long, fingerprint long, _bands array<long>, "
@@ -211,16 +213,19 @@ def _signatures(df: DataFrame, text: str, width: int, least: float) -> DataFrame
                 distinct = np.unique(hashes)
                 first, rare = prefix(distinct, common, times, least)
                 rows.append((row, *[xxhash.xxh64_intdigest(raw, s) - (1 << 63) for s in (1, 2)],
-                             simhash(hashes), bands(distinct), first.view(np.int64), len(distinct), rare))
+                             simhash(hashes if printed == width else shingle_hashes(x or "", printed)), bands(distinct), first.view(np.int64), len(distinct), rare))
             yield pd.DataFrame(rows, columns=["_row", "_same", "_same2", "fingerprint", "_bands",
                                               "_prefix", "_size", "_rare"])
 
     return df.select("_row", text).mapInPandas(made, schema)
 
 
-def near_copies(df: DataFrame, text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+def near_copies(df: DataFrame, text: str = "text", width: int = 5, least: float = 0.8, grid: int | None = None) -> DataFrame:
     """(row, root): the group of every row of ``df``, which has ``_row`` and is stored.
 
+    With ``grid``, groups also join what ``classes`` joins for shingles of that width: there
+    fingerprints at most RADIUS bits apart link as they are.
+
     Groups join equal texts, and texts that share ``least`` of their shingles. One
     64-bit fingerprint does not find these: at 0.8 it differs in 4 to 14 bits. So
     candidates are texts whose fingerprints link on the grid, and texts that meet in a
@@ -229,7 +234,7 @@ def near_copies(df: DataFrame, text: str = "text", width: int = 5, least: float
     What these leave apart is joined exactly (``_completed``).
     """
     rows = df.select("_row", text)
-    signed = staged(_signatures(rows, text, width, least), "signatures")
+    signed = staged(_signatures(rows, text, width, least, grid or width), "signatures")
     same = staged(signed.groupBy("_same", "_same2").agg(F.min("_row").alias("_first")), "same")
     own = staged(signed.join(same, signed["_row"] == same["_first"]).select(
         "_row", "fingerprint", "_bands"), "distinct_texts")
@@ -252,10 +257,13 @@ def near_copies(df: DataFrame, text: str = "text", width: int = 5, least: float
     leader = staged(led.where("_rank = _lead").groupBy("_band").agg(F.min("_row").alias("_leader")), "leaders")
     by_band = (attach(led, leader, ["_band"], F.xxhash64("_row"))
                .select(F.col("_leader").alias("a"), F.col("_row").alias("b")))
-    pairs = (by_grid.union(by_mark).union(by_band).where("a <> b")
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    pairs = staged(pairs, "pairs")
+    by_print = by_grid.union(by_mark)
+    ordered = lambda pairs: (pairs.where("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = staged(ordered(by_band if grid else by_print.union(by_band)), "pairs")
     verified = staged(_verified(rows, pairs, text, width, least), "verified")
+    if grid:
+        verified = verified.union(staged(ordered(by_print), "linked"))
     firsts = same.select(F.col("_first").alias("_row"))
     parts = _completed(rows, signed, firsts, verified.union(equal), text, width, least)
     return staged(parts.select(F.col("node").alias("_row"), F.col("root").alias("_root")), "groups")
@@ -280,13 +288,13 @@ def _completed(rows: DataFrame, signed: DataFrame, firsts: DataFrame, found: Dat
         named = entries.join(parts.select(F.col("node").alias("_row"), F.col("root").alias("_part")), "_row", "left")
         return named.withColumn("_part", F.coalesce("_part", "_row"))
 
-    # the component joins a text's row, not its entries
-    sides = (rooted(signed.select("_row", "_prefix").join(firsts, "_row", "left_semi")).select("_part", F.explode("_prefix").alias("_h"))
+    # rows are chosen and meet their component before their entries are taken apart
+    chosen = staged(signed.select("_row", "_size", "_rare", "_prefix").join(firsts, "_row", "left_semi"), "chosen")
+    sides = (rooted(chosen.select("_row", "_prefix")).select("_part", F.explode("_prefix").alias("_h"))
              .groupBy("_h").agg(F.min("_part").alias("_lo"), F.max("_part").alias("_hi")))
     shared = staged(sides.where("_lo < _hi").select("_h", F.lit(True).alias("_shared")), "shared")
-    listed = signed.select("_row", "_size", "_rare", F.posexplode("_prefix").alias("_at", "_h"))
-    listed = staged(attach(listed, shared, ["_h"], F.col("_row")).where("_shared").drop("_shared")
-                    .join(firsts, "_row", "left_semi"), "postings")
+    listed = chosen.select("_row", "_size", "_rare", F.posexplode("_prefix").alias("_at", "_h"))
+    listed = staged(attach(listed, shared, ["_h"], F.col("_row")).where("_shared").drop("_shared"), "postings")
 
     def apart(entries: DataFrame) -> DataFrame:
         """Entries of shingles that texts of different components share, and their number."""
@@ -349,10 +357,10 @@ def _verified(rows: DataFrame, pairs: DataFrame, text: str, width: int, least: f
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(compared, "a long, b long")
 
 
-def dedup(df: DataFrame, text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of ``df`` without near copies: of each group the first row in stored order
-    stays. ``df`` must be a stored table, for its rows are numbered in several reads."""
+def dedup(df: DataFrame, text: str = "text", width: int = 5, least: float = 0.8, grid: int | None = None) -> DataFrame:
+    """The rows of ``df`` without near copies: of each group (``near_copies``) the first row in
+    stored order stays. ``df`` must be a stored table, for its rows are numbered in several reads."""
     rows = given(df)
     read = rows.select("_row", F.col("_given")[text].alias("text"))
-    gone = near_copies(read, "text", width, least).where("_row <> _root").select("_row")
+    gone = near_copies(read, "text", width, least, grid).where("_row <> _root").select("_row")
     return rows.join(gone, "_row", "left_anti").select("_given.*")

@@ -166,6 +166,18 @@ def test_near_copies_leave_one_of_each_group(spark, tmp_path):
     assert simhash.dedup(docs.limit(0)).collect() == []
 
 
+def test_near_copy_stage_joins_what_op5_joins(spark, tmp_path):
+    # a repeated line decides the fingerprint; the different shingles are mostly unlike
+    given = [(i, "same line here again please " * 40 + cases.prose(i, 20), "en", "a") for i in range(4)]
+    given += [(10 + i, cases.prose(50 + i, 90), "en", "a") for i in range(4)]
+    docs = cases.stored(spark, tmp_path / "t", cases.documents(spark, given))
+    classes = {r.doc_id: r.component_id for r in simhash.classes(docs).collect()}
+    assert [classes[i] for i in range(4)] == [0] * 4
+    assert simhash.similarity(given[0][1], given[1][1], 5) < 0.8
+    kept = corpus_pipeline.near_copy_stage(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 10, 11, 12, 13]
+
+
 def test_unlike_texts_stay_apart(spark, tmp_path):
     given = [(i, cases.prose(i, 90), "en", "a") for i in range(60)]
     docs = cases.stored(spark, tmp_path / "t", cases.documents(spark, given))
