@@ -11,6 +11,7 @@ from stratalens.operators import violations as v
 from stratalens.plans.fix_requests import REQUEST, fix_input, suggest_fixes
 from stratalens.queries import fixtures as fx
 from stratalens.queries.spark_queries import QUERIES
+from stratalens.sources import tables
 from stratalens.sources.tables import source_lookup, source_texts
 
 
@@ -31,6 +32,29 @@ def test_texts_do_not_move_to_meet_their_file(spark, sf_dir, name):
     assert met and not [x for x in met if re.search(r"\b(text|source_code|section|_shown)#", x.rpartition("output=")[2] or x)]
 
 
+def test_lines_move_once_and_files_without_names(spark, sf_dir, monkeypatch):
+    assert unaided_plan(spark, lambda: tables._line_counts(spark, sf_dir)).count("Exchange hashpartitioning") == 1
+    made = {}
+    monkeypatch.setattr(tables, "stored", lambda spark, sf_dir, name, make: made.setdefault(name, make()))
+    lines = unaided_plan(spark, lambda: tables.project_files(spark, sf_dir)).split("\n")
+    moved = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert moved and not [x for x in moved if re.search(r"\b(file_name|file_path|avg_cc)#", x)]
+
+
+def test_a_file_has_a_row_for_each_row_of_its_document(spark, tmp_path):
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write("customer", [(1, "MACHINERY", 3, 5.0), (2, None, 4, -5.0)], "c_custkey long, c_mktsegment string, c_nationkey int, c_acctbal double")
+    write("orders", [(10, 1, "F", "1-URGENT"), (11, 1, "O", "4-NOT SPECIFIED"), (13, 2, "P", None), (None, 2, "F", "5-LOW"), (14, 2, "F", "5-LOW")],
+          "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+    write("lineitem", [(k, s, n, 2.0, 0.1, 0.0, "A", "F") for k, s, n in
+                       [(10, 7, 1), (10, 7, 2), (10, 8, 3), (10, None, 4), (11, 7, 1), (13, 7, 1), (None, 7, 1)]],
+          "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string")
+    write("documents", [(0, 5), (0, 6), (1, 4), (3, 0), (4, None)], "doc_id long, n_chars long")
+    rows = tables.project_files(spark, str(tmp_path)).collect()
+    got = sorted((r.project_id, r.file_id, r.file_seq, r.doc_id, r.has_source, r.avg_cc, r.loc) for r in rows)
+    assert got == [(1, 10, 0, 0, True, 1.5, 16.0)] * 2 + [(1, 11, 1, 1, False, 1.25, 4.0), (2, 13, 0, 3, False, 1.25, 4.0)]
+
+
 def test_texts_of_all_files_are_not_stored(spark, sf_dir):
     read = unaided_plan(spark, lambda: source_texts(spark, sf_dir))
     assert "documents.parquet" in read and "source_code:string" not in read
