@@ -10,8 +10,9 @@ the least leading form that agrees with it in SIMILAR of the positions. Two such
 one of a few segments of their tokens in common, so forms meet by segment, each with the
 least form of the segment only; a form leads that finds no lesser one to belong to. Forms
 whose lesser one belongs elsewhere meet again among themselves, so turns grow with the
-logarithm of the forms of a leaf, not with their families. Any other form is a template of
-its own; so is every line of DEPTH tokens or fewer, all of which lead. A template that occurs
+logarithm of the forms of a leaf, not with their families. At last all forms that belong to
+no other meet by segment in all pairs: one that agrees with a lesser leading form belongs to
+it, together with what it leads. Any other form is a template of its own; so is every line of DEPTH tokens or fewer, all of which lead. A template that occurs
 in two or more documents is dropped everywhere but in the first document (in stored order)
 that has it, however long its lines are. Lines without a token are left alone.
 
@@ -33,6 +34,8 @@ from stratalens.llm.shingles import bound
 from stratalens.sources.staging import staged
 
 DEPTH, SIMILAR = 5, 0.8
+#: Leading forms of a segment up to which all its pairs are compared at once; a block of larger ones.
+BLOCK = 128
 #: A form with more than this share of all lines is hot. So few forms can be that.
 HOT = 1 / 1000
 VARIABLE = "<*>"
@@ -82,11 +85,14 @@ def templates(rows: DataFrame, text: str, forms: DataFrame) -> DataFrame:
     tokens = F.transform(F.slice(F.split("_form", " "), F.lit(DEPTH + 1), F.size(F.split("_form", " "))), lambda x: F.hash(x))
     left = staged(hashed(inside).groupBy("_leaf", "_a", "_b", "_form").agg(F.count(F.lit(1)).alias("_times"))
                   .withColumn("_tokens", tokens).drop("_form"), "forms")
-    found, left = _voted(left)
+    voted, left = _voted(left)
+    every, families = left, []
     while not left.isEmpty():
         near, left = _led(left)
-        found = found.union(near)
-    return staged(found, "templates")
+        families.append(near)
+    if families:
+        voted = voted.union(_joined(every, staged(reduce(DataFrame.union, families), "families")))
+    return staged(voted, "templates")
 
 
 def _similar(a: Column, b: Column) -> Column:
@@ -156,6 +162,47 @@ def _led(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     return near, staged(attach(forms, rest, own, salt).where("_rest").drop("_rest"), "forms")
 
 
+def _joined(forms: DataFrame, families: DataFrame) -> DataFrame:
+    """(_a, _b, _template) of ``families``, found among ``forms``, after the forms that belong to
+    no other have met in all pairs of a segment. Crowded segments are compared in blocks, so no
+    task gets all pairs of one."""
+    own, lead, salt = ["_a", "_b"], ["_la", "_lb"], F.col("_a")
+    name = F.xxhash64(*own)
+    members = staged(families.where(name != F.col("_template")).select(*own, F.lit(True).alias("_belongs")), "belong")
+    nodes = attach(forms, members, own, salt).where("_belongs IS NULL")
+    keys = ["_leaf", "_at", "_segment"]
+    keyed = nodes.select("_leaf", *own, "_tokens", F.posexplode(_segments(F.col("_tokens"))).alias("_at", "_segment"))
+    met = staged(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "leading_met")
+    dealt = attach(keyed, met, keys, salt).where("_n IS NOT NULL").withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    block = F.pmod(F.xxhash64("_b"), F.col("_blocks")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    left = dealt.select(*keys, "_a", "_b", "_tokens", block.alias("_i"), others.alias("_j"))
+    right = dealt.select(*keys, F.col("_a").alias("_la"), F.col("_b").alias("_lb"), F.col("_tokens").alias("_other"),
+                         others.alias("_i"), block.alias("_j"))
+    lesser = (F.col("_la") < F.col("_a")) | ((F.col("_la") == F.col("_a")) & (F.col("_lb") < F.col("_b")))
+    pairs = left.join(right, [*keys, "_i", "_j"]).where(lesser).where(_similar(F.col("_tokens"), F.col("_other")))
+    edges = staged(pairs.select(*own, *lead).distinct(), "agreeing")
+    rounds = []
+    while not edges.isEmpty():  # the least form of those left leads, so every turn takes some out
+        greater = staged(edges.select(F.col("_a").alias("_la"), F.col("_b").alias("_lb")).distinct()
+                         .withColumn("_greater", F.lit(True)), "greater")
+        led = attach(edges, greater, lead, salt).where("_greater IS NULL")
+        now = staged(led.groupBy(*own).agg(F.min(F.struct(*lead)).alias("_l")).select(*own, "_l._la", "_l._lb"), "joined")
+        rounds.append(now)
+        gone = staged(now.select(*own, F.lit(True).alias("_gone")), "gone")
+        edges = attach(edges, gone, own, F.col("_la")).where("_gone IS NULL").drop("_gone")
+        edges = attach(edges, gone.select(F.col("_a").alias("_la"), F.col("_b").alias("_lb"), "_gone"), lead, salt)
+        edges = staged(edges.where("_gone IS NULL").drop("_gone"), "agreeing")
+    if not rounds:
+        return families
+    joined = staged(reduce(DataFrame.union, rounds), "joining")
+    template = F.xxhash64(*lead)
+    now = staged(joined.select(name.alias("_template"), template.alias("_now")), "now")
+    moved = attach(families, now, ["_template"], salt).select(*own, F.coalesce("_now", "_template").alias("_template"))
+    return (moved.union(joined.select(*own, template.alias("_template")))
+            .union(joined.select(*lead, template.alias("_template"))).distinct())
+
+
 def _several(rest: DataFrame) -> DataFrame:
     """The forms of leaves that have several."""
     rest = rest.select("_leaf", "_a", "_b", "_times", "_tokens")

@@ -331,6 +331,18 @@ def test_lines_of_all_lengths_against_brute_force(spark, tmp_path, monkeypatch,
     assert sum(map(len, want.values())) > 100
 
 
+@pytest.mark.parametrize("block", [line_templates.BLOCK, 3])
+def test_forms_that_share_a_crowded_segment_only_find_each_other(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(line_templates, "BLOCK", block)
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03}")
+    # two of three tokens agree within a pair, one between pairs: all share the first
+    given = [(g, f"it was told that in every p{word(g)} q{word(g)}", "en", "a") for g in range(25)]
+    given += [(100 + g, f"it was told that in every p{word(g)} r{word(g)}", "en", "a") for g in range(25)]
+    docs = cases.stored(spark, tmp_path / "t", cases.documents(spark, given))
+    got = {r.doc_id: r.gone for r in line_templates.dedup(docs, dropped="gone").collect()}
+    assert got == {k: [0] if k >= 100 else [] for k, *_ in given}
+
+
 def test_line_templates_of_awkward_rows(docs):
     out = line_templates.dedup(docs, dropped="gone").select("doc_id", "text", "gone").collect()
     assert len(out) == docs.count()
