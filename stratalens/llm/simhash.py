@@ -46,6 +46,8 @@ COUNTED, COMMON = 4096, 100_000
 BLOCK = 128
 #: Rounds in which one text of a crowded shingle is compared with the others, before all pairs are.
 LEADS = 2
+#: Bits of the map that passes over most entries of unshared shingles before any moves, and of a part of it.
+MAP_BITS, PART_BITS = 1 << 26, 1 << 20
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -269,6 +271,43 @@ def near_copies(df: DataFrame, text: str = "text", width: int = 5, least: float
     return staged(parts.select(F.col("node").alias("_row"), F.col("root").alias("_root")), "groups")
 
 
+def _marked(shared: DataFrame) -> np.ndarray:
+    """A map of MAP_BITS bits, set for the shingles ``_h`` in ``shared``. Others may hit a set bit,
+    the more the more there are, so what passes it is still to be joined."""
+    places = shared.select(F.pmod("_h", F.lit(MAP_BITS)).alias("_bit")).distinct()
+
+    def packed(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(PART_BITS, dtype=np.uint8)
+        bits[part["_bit"].to_numpy() % PART_BITS] = 1
+        return pd.DataFrame({"_part": [key[0]], "_bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    parts = places.groupBy(F.shiftright("_bit", PART_BITS.bit_length() - 1).alias("_part")).applyInPandas(
+        packed, "_part long, _bits binary")
+    marked = np.zeros(MAP_BITS // 8, dtype=np.uint8)
+    width = PART_BITS // 8
+    for row in parts.collect():
+        marked[row["_part"] * width:(row["_part"] + 1) * width] = np.frombuffer(row["_bits"], dtype=np.uint8)
+    return marked
+
+
+def _listed(chosen: DataFrame, marked: np.ndarray) -> DataFrame:
+    """An entry for every rarest shingle of a text whose bit is set."""
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ats, shingles = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for first in batch["_prefix"]:
+                first = np.asarray(first, dtype=np.int64)
+                bit = first & (MAP_BITS - 1)
+                ats.append(np.flatnonzero(marked[bit >> 3] >> (bit & 7).astype(np.uint8) & 1))
+                shingles.append(first[ats[-1]])
+            times = [len(x) for x in ats[1:]]
+            yield pd.DataFrame({**{c: np.repeat(batch[c].to_numpy(), times) for c in ("_row", "_size", "_rare")},
+                                "_at": np.concatenate(ats), "_h": np.concatenate(shingles)})
+
+    return chosen.select("_row", "_size", "_rare", "_prefix").mapInPandas(
+        made, "_row long, _size int, _rare int, _at int, _h long")
+
+
 def _completed(rows: DataFrame, signed: DataFrame, firsts: DataFrame, found: DataFrame, text: str, width: int,
                least: float) -> DataFrame:
     """(node, root): components of the links ``found`` and of all pairs that share ``least``
@@ -277,8 +316,9 @@ def _completed(rows: DataFrame, signed: DataFrame, firsts: DataFrame, found: Dat
     Texts of such a pair have one of their rarest shingles in common (``prefix``), and at
     the first such the shingles left in both are enough for the overlap. Only pairs of
     different components are compared, so one aggregation first finds the shingles that
-    several components share (the least and the greatest component that has it); no entry
-    of any other shingle is ever moved. Where many texts share a shingle, the one with the
+    several components share (the least and the greatest component that has it); entries of
+    other shingles hardly move (``_marked``). A pair's texts move if the shared ones among its rarest
+    shingles and all that may follow them are enough. Where many texts share a shingle, the one with the
     fewest uncommon shingles, as the original among its copies, is compared with the others
     first, and once more among those left apart if that links any; then all pairs.
     """
@@ -293,7 +333,7 @@ def _completed(rows: DataFrame, signed: DataFrame, firsts: DataFrame, found: Dat
     sides = (rooted(chosen.select("_row", "_prefix")).select("_part", F.explode("_prefix").alias("_h"))
              .groupBy("_h").agg(F.min("_part").alias("_lo"), F.max("_part").alias("_hi")))
     shared = staged(sides.where("_lo < _hi").select("_h", F.lit(True).alias("_shared")), "shared")
-    listed = chosen.select("_row", "_size", "_rare", F.posexplode("_prefix").alias("_at", "_h"))
+    listed = _listed(chosen, _marked(shared))
     listed = staged(attach(listed, shared, ["_h"], F.col("_row")).where("_shared").drop("_shared"), "postings")
 
     def apart(entries: DataFrame) -> DataFrame:
@@ -306,16 +346,19 @@ def _completed(rows: DataFrame, signed: DataFrame, firsts: DataFrame, found: Dat
     def fits(a: str, b: str) -> Column:
         size = F.col(f"{a}_size") + F.col(f"{b}_size")
         left = F.least(F.col(f"{a}_size") - F.col(f"{a}_at"), F.col(f"{b}_size") - F.col(f"{b}_at"))
-        return (F.col(f"{a}_part") != F.col(f"{b}_part")) & (left * (1 + least) >= size * least - 1e-6)
+        return (F.col(f"{a}_part") != F.col(f"{b}_part")) & enough(left, size)
+
+    def enough(shared: Column, size: Column) -> Column:
+        return shared * (1 + least) >= size * least - 1e-6
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return staged(_verified(rows, staged(pairs, "pairs"), text, width, least), "verified")
 
     columns = ["_row", "_size", "_rare", "_at", "_h"]
-    rest = listed
+    rest = open_ = apart(listed)
     for _ in range(LEADS):
-        crowded = apart(rest).where(F.col("_n") > BLOCK)
+        crowded = rest.where(F.col("_n") > BLOCK)
         first = crowded.groupBy("_h").agg(F.min(F.struct(
             (F.col("_rare") / F.col("_size")).alias("_share"), F.col("_row"), F.col("_size"), F.col("_at"), F.col("_part"))).alias("_l"))
         first = staged(first.select("_h", *[F.col(f"_l.{c}").alias(f"_l{c}") for c in ("_row", "_size", "_at", "_part")]), "leaders")
@@ -330,17 +373,29 @@ def _completed(rows: DataFrame, signed: DataFrame, firsts: DataFrame, found: Dat
         # those that the leader's component does not hold now
         named = attach(led, parts.select(F.col("node").alias("_row"), F.col("root").alias("_now")), ["_row"], F.col("_at"))
         named = attach(staged(named, "now"), parts.select(F.col("node").alias("_l_row"), F.col("root").alias("_then")), ["_l_row"], F.col("_row"))
-        rest = staged(named.where(F.coalesce("_now", "_row") != F.coalesce("_then", "_l_row")).select(*columns), "rest")
+        rest = apart(staged(named.where(F.coalesce("_now", "_row") != F.coalesce("_then", "_l_row")).select(*columns), "rest"))
+        open_ = None
 
     # all pairs, a crowded shingle's in blocks: no task gets them all
-    open_ = apart(listed).withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    open_ = (apart(listed) if open_ is None else open_).withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("_row"), F.col("_blocks")).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     side = lambda s: [F.col(c).alias(f"{s}{c}") for c in ("_row", "_size", "_at", "_part")]
     left = open_.select("_h", *side("x"), own.alias("_i"), others.alias("_j"))
     right = open_.select("_h", *side("y"), others.alias("_i"), own.alias("_j"))
-    pairs = left.join(right, ["_h", "_i", "_j"]).where(F.col("x_row") < F.col("y_row")).where(fits("x", "y"))
-    new = linked(pairs.select(F.col("x_row").alias("a"), F.col("y_row").alias("b")))
+    size = F.col("x_size") + F.col("y_size")
+    met = left.join(right, ["_h", "_i", "_j"]).where(
+        (F.col("x_row") < F.col("y_row")) & (F.col("x_part") != F.col("y_part")) & enough(F.least("x_size", "y_size"), size))
+    # a pair meets at every shingle that the rarest of both have in common
+    pairs = met.groupBy("x_row", "y_row").agg(
+        F.count(F.lit(1)).alias("_both"), *[F.first(f"{s}_size").alias(f"{s}_size") for s in "xy"],
+        *[f(f"{s}_at").alias(f"{s}_{n}") for s in "xy" for n, f in (("from", F.min), ("to", F.max))])
+    # from the first such on, after the last, and beyond the rarest that end first in the common order
+    beyond = lambda s: F.ceil(F.col(f"{s}_size") * least - 1e-6) - 1
+    bounds = [F.least(*[F.col(f"{s}_size") - F.col(f"{s}_from") for s in "xy"]),
+              F.col("_both") + F.least(*[F.col(f"{s}_size") - F.col(f"{s}_to") - 1 for s in "xy"]),
+              F.col("_both") + F.greatest(beyond("x"), beyond("y"))]
+    new = linked(pairs.where(enough(F.least(*bounds), size)).select(F.col("x_row").alias("a"), F.col("y_row").alias("b")))
     return parts if new.isEmpty() else components(found.union(new))
 
 

@@ -209,6 +209,34 @@ def test_copies_that_only_their_base_links_are_one_group(spark, tmp_path, monkey
     assert simhash.dedup(docs).count() == 21
 
 
+def test_texts_with_a_shared_passage_alone_do_not_move(spark, tmp_path, monkeypatch):
+    """A common passage makes pairs of entries; texts move where enough of their rarest shingles agree."""
+    passage = " ".join(f"shared{i}" for i in range(9))
+    given = [(i, " ".join(f"w{i}x{j}" for j in range(60)) + " " + passage, None, None) for i in range(30)]
+    given += [(100, given[0][1] + " more", None, None)]
+    docs = cases.stored(spark, tmp_path / "t", cases.documents(spark, given))
+    asked, compare = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda rows, pairs, *how: asked.append(pairs.count()) or compare(rows, pairs, *how))
+    monkeypatch.setattr(simhash, "bands", lambda hashes: [])  # all is left to the rarest shingles,
+    monkeypatch.setattr(simhash, "COMMON", 0)  # the passage's among them
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    assert simhash.dedup(docs).count() == 30
+    assert sum(asked) == 1
+
+
+@pytest.mark.parametrize("bits", [1 << 20, 1 << 21, simhash.MAP_BITS])
+def test_the_map_passes_every_shared_shingle(spark, bits, monkeypatch):
+    monkeypatch.setattr(simhash, "MAP_BITS", bits)
+    monkeypatch.setattr(simhash, "PART_BITS", 1 << 19)
+    keys = [0, -1, 1, (1 << 63) - 1, -(1 << 63), *[x * 0x9E3779B97F4A7C15 % (1 << 63) - (1 << 62) for x in range(500)]]
+    marked = simhash._marked(spark.createDataFrame([(k,) for k in keys], "_h long"))
+    rows = [(i, 3, 2, [k, k + 12345 if k < 1 << 62 else 7]) for i, k in enumerate(keys)]
+    chosen = spark.createDataFrame([*rows, (9999, 0, 0, [])], "_row long, _size int, _rare int, _prefix array<long>")
+    listed = {(r._row, r._at, r._h) for r in simhash._listed(chosen, marked).collect()}
+    assert {(i, 0, k) for i, k in enumerate(keys)} <= listed
+    assert len(listed) < len(keys) + 20 and all(rows[i][3][at] == h for i, at, h in listed)
+
+
 @pytest.mark.parametrize("block", [simhash.BLOCK, 4])
 def test_near_copies_equal_brute_force(spark, tmp_path, monkeypatch, block):
     """Also without bands, fingerprints and leaders to help: all pairs near the limit are found."""
