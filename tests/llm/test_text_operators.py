@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import cases
+from stratalens.sources.staging import staged
 from stratalens.llm import bpe, common, fingerprints, line_templates, quality_rules, secrets
 from stratalens.llm.queries import tokenizer
 
@@ -184,6 +185,28 @@ def test_secrets_of_kinds_without_a_pattern_are_added(spark, tmp_path):
     assert sum(added[i] > 0 for i in range(last, len(given))) <= 0.05 * len(clean)
 
 
+def test_all_labelled_windows_are_learned_from(spark, tmp_path, monkeypatch):
+    """Every finding has a say, however many parts they are dealt to."""
+    rng = random.Random(5)
+    given = [(i, f"{cases.prose(i, 8)} token = {''.join(rng.choice('abcdefghjkmnpqrstuvw0123456789') for _ in range(30))} "
+              f"data/{i}/overview-{i}.html", "en", "plain") for i in range(1800)]
+    docs = cases.stored(spark, tmp_path / "t", cases.documents(spark, given))
+    monkeypatch.setattr(secrets, "PART", 4000)
+    fitted, fit_all = [], secrets.fit_all
+    monkeypatch.setattr(secrets, "fit_all", lambda known: fitted.append(
+        (known.where("kind = 0").count(), known.where("label = 0 and kind < 3").count())) or fit_all(known))
+    scanned = staged(secrets.scan(docs), "scanned")
+    net = secrets.learned(scanned)
+    want = [scanned.selectExpr("explode(seen) s").where(f"s.label = {x}").select("s.context").distinct().count()
+            for x in (secrets.SECRET, secrets.INNOCENT)]
+    assert want[0] > 1500  # more than a sample would hold
+    assert [f[0] for f in fitted] == [want[0]] * 2
+    assert 0.95 * want[1] <= fitted[1][1] <= want[1]
+    assert net.recall >= secrets.RECALL - 0.02 and net.precision >= 0.95
+    again = secrets.learned(scanned.repartition(7))
+    assert all(np.array_equal(a, b) for a, b in zip(net.weights(), again.weights()))
+
+
 # --- quality rules -----------------------------------------------------------------
 
 def plain_figures(text: str) -> tuple:
