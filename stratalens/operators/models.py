@@ -19,10 +19,14 @@ from stratalens.functions.features import (
 )
 from stratalens.functions.scores import clip_score
 from stratalens.sources.catalog import ENTRIES
+from stratalens.sources.staging import staged_path
 
 LABELS = [entry[0] for entry in ENTRIES]
 #: Prefix of the columns that hold model inputs.
 INPUT = "f_"
+#: Most training rows of a task. Trees are grown over rows kept as objects, about half a
+#: kilobyte each, and a task's rows are put into memory, or read back from disk, as one block.
+TRAINING_ROWS = 250_000
 
 
 def _with_inputs(df: DataFrame, columns: dict) -> DataFrame:
@@ -46,11 +50,28 @@ def regressor_inputs(df: DataFrame, names: list[str] | None = None) -> DataFrame
     )
 
 
+def training_rows(df: DataFrame, most: int | None = None) -> DataFrame:
+    """All rows of ``df``, dealt to tasks of ``most`` at most. A scan makes tasks by the bytes of
+    its files, and many millions of narrow rows are few bytes; where a task would have more rows,
+    they are stored in files of ``most`` rows, each of which is read as a task of its own."""
+    most = most or TRAINING_ROWS
+    sizes = df.groupBy(F.spark_partition_id().alias("_task")).agg(F.count(F.lit(1)).alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= most:
+        return df
+    path = staged_path(df.sparkSession, "training")
+    df.write.option("maxRecordsPerFile", most).parquet(path)
+    reader = df.sparkSession.newSession()  # its settings hold for this table alone
+    for setting in ("maxPartitionBytes", "openCostInBytes"):  # as dear to open as to read: a file is a task
+        reader.conf.set(f"spark.sql.files.{setting}", "1g")
+    return reader.read.schema(df.schema).parquet(path)
+
+
 def fit_antipattern(
     files: DataFrame, label: str = "expected", trees: int = 40, depth: int = 10, seed: int = 7,
 ) -> PipelineModel:
     """Random forest over the classifier inputs. Unseen categories get a slot
-    of their own; the label order is the catalogue's and travels along."""
+    of their own; the label order is the catalogue's and travels along.
+    Each row's node in each tree is kept from level to level, not looked for from the root."""
     categories = [f"{INPUT}{c}" for c in CATEGORICAL_FEATURES]
     numeric = [f"{INPUT}{c}" for c in ANTIPATTERN_FEATURES if c not in CATEGORICAL_FEATURES]
     index = StringIndexer(
@@ -66,12 +87,14 @@ def fit_antipattern(
     forest = RandomForestClassifier(
         labelCol="label_index", featuresCol="features", predictionCol="label_prediction",
         numTrees=trees, maxDepth=depth, seed=seed,
+        cacheNodeIds=True, checkpointInterval=-1,  # a level's nodes are those of the last, one step on
     )
     decode = IndexToString(inputCol="label_prediction", outputCol="type", labels=LABELS)
     indexed = StringIndexerModel.from_labels(
         LABELS, inputCol=label, outputCol="label_index", handleInvalid="error"
     ).transform(classifier_inputs(files))
-    return Pipeline(stages=[index, encode, assemble, forest, decode]).fit(indexed)
+    rows = training_rows(indexed.select("label_index", *categories, *numeric))
+    return Pipeline(stages=[index, encode, assemble, forest, decode]).fit(rows)
 
 
 def predict_antipattern(files: DataFrame, model: PipelineModel) -> DataFrame:
@@ -89,14 +112,14 @@ def fit_quality(
 ) -> PipelineModel:
     """Boosted trees over the 33 regressor inputs, or those of ``names`` in
     that order."""
-    assemble = VectorAssembler(
-        inputCols=[f"{INPUT}{c}" for c in names or QUALITY_FEATURES], outputCol="features"
-    )
+    inputs = [f"{INPUT}{c}" for c in names or QUALITY_FEATURES]
+    assemble = VectorAssembler(inputCols=inputs, outputCol="features")
     boosted = GBTRegressor(
         labelCol=label, featuresCol="features", predictionCol="raw_score",
         maxIter=trees, maxDepth=depth, seed=seed,
     )
-    return Pipeline(stages=[assemble, boosted]).fit(regressor_inputs(files, names))
+    rows = training_rows(regressor_inputs(files, names).select(label, *inputs))
+    return Pipeline(stages=[assemble, boosted]).fit(rows)
 
 
 def predict_quality(

@@ -81,3 +81,29 @@ def test_compiled_models_give_the_same_in_another_engine(spark, sf_dir, tmp_path
     for file_id, best, raw in theirs:
         assert models.LABELS[best - 1] == expected[file_id][0]
         assert min(max(raw, 0.0), 100.0) == pytest.approx(expected[file_id][2], abs=0.0501)
+
+
+def test_training_rows_are_dealt_to_bounded_tasks(spark, sf_dir, monkeypatch):
+    sizes = lambda df: [r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    few = spark.range(0, 1000, 1, 4).withColumn("x", F.col("id") * 2.0)
+    assert models.training_rows(few) is few
+    dealt = models.training_rows(few, 90)
+    assert max(sizes(dealt)) <= 90 and sum(sizes(dealt)) == 1000
+    assert few.exceptAll(dealt).count() == 0 and models.training_rows(few.limit(0), 90).count() == 0
+    # a fit trains on such rows, on all of them, and on its inputs alone
+    files = project_files(spark, sf_dir).withColumns({"expected": rule_label(), "label": rule_score()})
+    seen = []
+
+    class Watched:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, rows):
+            seen.append(rows)
+
+    monkeypatch.setattr(models, "Pipeline", Watched)
+    monkeypatch.setattr(models, "TRAINING_ROWS", 100)
+    models.fit_antipattern(files)
+    models.fit_quality(files)
+    assert [max(sizes(rows)) <= 100 and rows.count() for rows in seen] == [files.count()] * 2
+    assert all(c.startswith(models.INPUT) or c in ("label", "label_index") for rows in seen for c in rows.columns)
