@@ -65,4 +65,5 @@ def rule_label(layer: Column | None = None) -> Column:
 
 def classify_by_rules(df: DataFrame) -> DataFrame:
     """Add ``type`` and ``confidence``; a rule is always certain."""
-    return df.withColumns({"type": rule_label(), "confidence": F.lit(1.0)})
+    placed = df.withColumn("_layer", resolved_layer())  # found once, asked for by many rules
+    return placed.withColumns({"type": rule_label(F.col("_layer")), "confidence": F.lit(1.0)}).drop("_layer")

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from stratalens.operators.rules import classify_by_rules
 from stratalens.plans.scored import Step, score_by_rules, score_files
 from stratalens.schema import payload_schema
-from stratalens.sources.projects import payload_rows, split_sources, validate_files, with_origin
+from stratalens.sources.projects import checked_files, payload_rows, sorted_out, split_sources, with_origin
 
 SCORED, REJECTED, BATCH = "scored", "rejected", "batch"
 
@@ -30,12 +30,12 @@ def store_batch(
     payloads: DataFrame, number: int, out: str, classify: Step = classify_by_rules, score: Step = score_by_rules,
 ) -> None:
     """Write the scored and the rejected rows of one batch of payloads."""
-    rows = payload_rows(payloads).persist()  # parsed once, written to two tables
-    valid, rejected = validate_files(rows)
+    checked = checked_files(payload_rows(payloads)).persist()  # parsed and checked once, written to two tables
+    valid, rejected = sorted_out(checked)
     files, _ = split_sources(valid)
     score_files(files, classify, score).write.mode("overwrite").parquet(f"{out}/{SCORED}/{BATCH}={number}")
     rejected.write.mode("overwrite").parquet(f"{out}/{REJECTED}/{BATCH}={number}")
-    rows.unpersist()
+    checked.unpersist()
 
 
 def write_payload_scores(

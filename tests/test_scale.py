@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from stratalens.operators import requests, review
 from stratalens.operators import violations as v
 from stratalens.plans.fix_requests import REQUEST, fix_input, suggest_fixes
-from stratalens.queries import fixtures as fx
+from stratalens.queries import fixtures as fx, spark_queries
 from stratalens.queries.spark_queries import QUERIES
-from stratalens.sources import tables
+from stratalens.schema import NUMERIC_COLS, OPTIONAL_SIGNAL_COLS, REQUIRED_COLS, SIGNAL_COLS
+from stratalens.sources import projects, tables
 from stratalens.sources.tables import source_lookup, source_texts
 
 
@@ -117,3 +118,41 @@ def test_every_labelled_row_counts_in_the_ranking(spark):
     assert abs(model.cut - (u[2999] + u[3000]) / 2) < 1e-9
     near = ranking.fit(np.array([r[1:] for r in rows[:900]]), np.array([r[1:] for r in rows[9000:9400]]), 0.25)
     assert np.allclose(near.weights, model.weights, atol=0.5)
+
+
+def test_payloads_are_derived_once_for_all_arrivals(spark, sf_dir, monkeypatch):
+    seen, made = spark.sparkContext.accumulator(0), spark_queries._raw_records
+
+    def counted(spark, sf_dir):
+        def count(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch
+
+        records = made(spark, sf_dir)
+        return records.mapInPandas(count, records.schema)
+
+    monkeypatch.setattr(spark_queries, "_raw_records", counted)
+    rows = spark_queries.payload_stream_scores(spark, sf_dir).count()
+    assert rows == seen.value == made(spark, sf_dir).count()
+
+
+def test_fields_are_read_from_their_text_once_for_both_tables(spark):
+    words = [" True", "YES\t", "0", "maybe", None, "true", "false", "TRUE", "f", ""]
+    given = [(1, i, "F", "p", "x" if i == 8 else "3.5", word) for i, word in enumerate(words)]
+    names = [c for c in (*REQUIRED_COLS, *OPTIONAL_SIGNAL_COLS, "source_code") if c not in ("loc", "has_validation")]
+    rows = spark.createDataFrame(given, "project_id long, file_seq long, file_name string, file_path string, loc string, has_validation string")
+    rows = rows.withColumns({c: F.lit("1") if c in [*NUMERIC_COLS, *SIGNAL_COLS, *OPTIONAL_SIGNAL_COLS] else F.lit("service") for c in names})
+    valid, rejected = projects.validate_files(rows)
+    assert rejected.columns == [*rows.columns, "reasons"]
+    assert {r.file_seq: (r.has_validation, r.loc) for r in valid.collect()} == {
+        0: (True, 3.5), 1: (True, 3.5), 2: (False, 3.5), 5: (True, 3.5), 6: (False, 3.5), 7: (True, 3.5)}
+    assert {r.file_seq: r.reasons for r in rejected.collect()} == {
+        3: ["has_validation not a truth value"], 4: ["has_validation missing"], 8: ["loc not a number"], 9: ["has_validation not a truth value"]}
+    checked = projects.checked_files(rows).persist()
+    try:
+        for df in projects.sorted_out(checked):  # what follows the stored rows reads no text again
+            above = df._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+            assert "InMemoryRelation" in df._jdf.queryExecution().optimizedPlan().toString() and "cast(" not in above and "trim(" not in above
+    finally:
+        checked.unpersist()
