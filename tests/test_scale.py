@@ -1,18 +1,20 @@
 """What must not move or be stored, whatever the size of the tables."""
 
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens.operators import requests, review
+from stratalens.operators import parts, requests, review
 from stratalens.operators import violations as v
 from stratalens.plans.fix_requests import REQUEST, fix_input, suggest_fixes
 from stratalens.queries import fixtures as fx, spark_queries
 from stratalens.queries.spark_queries import QUERIES
 from stratalens.schema import NUMERIC_COLS, OPTIONAL_SIGNAL_COLS, REQUIRED_COLS, SIGNAL_COLS
 from stratalens.sources import projects, tables
+from stratalens.sources.staging import CLEANUP, staged
 from stratalens.sources.tables import source_lookup, source_texts
 
 
@@ -92,6 +94,49 @@ def test_fix_requests_keep_and_move_shown_texts_only(spark):
     assert not re.search(r"Exchange hashpartitioning\(request_id#\d+L, file_name", plan)
 
 
+def shuffle_files(spark) -> set:
+    kept = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {kept.apply(i).name() for i in range(kept.size()) if kept.apply(i).name().startswith("shuffle_")}
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    before = shuffle_files(spark)
+    summed = spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).agg(F.collect_list("id").alias("ids"))
+    kept = staged(summed, "sums")
+    deadline = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before and spark.conf.get(CLEANUP, None) is None
+    assert kept.select(F.explode("ids")).count() == summed.select(F.explode("ids")).count() == 1000
+
+
+def test_every_row_is_in_one_pass(spark, monkeypatch):
+    rows = spark.range(1000).select(F.when(F.col("id") % 9 > 0, F.col("id")).alias("project_id"), (F.col("id") % 3).alias("part"))
+    assert rows.filter(parts.passes(parts.PASS_FILES, *parts.PLACE)[0]).count() == 1000
+    monkeypatch.setattr(parts, "PASS_FILES", 300)
+    dealt = [rows.filter(mine).count() for mine in parts.passes(1000, *parts.PLACE)]
+    assert len(dealt) == 4 and sum(dealt) == 1000 and min(dealt) > 100
+
+
+@pytest.mark.parametrize("name", ["fix_request_rows", "fix_request_prompts"])
+def test_fix_requests_are_written_in_passes(spark, sf_dir, monkeypatch, name):
+    whole = QUERIES[name](spark, sf_dir)
+    paths, read, written = set(), spark_queries.read_fix_requests, []
+
+    def counted(spark, path):
+        paths.add(path)
+        written.append(spark.read.text(path).count())
+        return read(spark, path)
+
+    monkeypatch.setattr(spark_queries, "read_fix_requests", counted)
+    monkeypatch.setattr(parts, "PASS_FILES", 200)
+    passed = QUERIES[name](spark, sf_dir)
+    assert len(written) > 2 and min(written) > 0
+    # the files of a pass take the place of those of the one before, and no request is lost
+    assert len(paths) == 1 and spark.read.text(paths.pop()).count() == written[-1] < sum(written)
+    assert whole.exceptAll(passed).count() == passed.exceptAll(whole).count() == 0 < whole.count()
+
+
 @pytest.mark.parametrize("name", ["assessment_requests", "verdicts_applied", "false_positives", "hybrid_scores", "clean_files"])
 def test_only_the_catalogue_is_broadcast(spark, sf_dir, name):
     """However small a table looks, one with rows per project, group or file never passes the driver."""
