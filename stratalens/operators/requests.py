@@ -317,7 +317,7 @@ def fix_prompts(
     """``shown`` has the first files and their source as text, a row per violation that has
     files; it is joined last, so that only narrow rows move for the other joins."""
     zero = F.lit(0).cast("bigint")
-    rows = with_catalog(details.filter(F.col("type") != CLEAN)).join(
+    rows = details.filter(F.col("type") != CLEAN).join(
         grown(architectures.select(*owner, "architecture_pattern")), owner
     ).join(grown(shown), violation, "left").withColumns({
         "n_shown": F.coalesce("n_shown", zero), "n_sources": F.coalesce("n_sources", zero),
@@ -340,10 +340,15 @@ def fix_prompts(
         _labelled("Problem", or_else(F.col("description"), F.col("catalog_description"))),
         F.when(F.col("n_sources") > 0, F.concat(F.lit("\nSource:\n"), F.col("_sources"))),
         example,
+    return prompts_of(rows, [*owner, *violation, *GROUP])
+
+
+def prompts_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The prompt of each violation, made in its row: a detail with its architecture and
+    ``_names``, ``_sources``, ``n_sources`` and ``n_shown``."""
         "Give a recommendation, a short example before and after, and tips.",
     )
-    keys = dict.fromkeys([*owner, *violation, *GROUP])
-    return rows.select(
-        *keys, "architecture_pattern", "n_files", "n_shown", "n_sources",
+    return with_catalog(rows).select(
+        *dict.fromkeys(keys), "architecture_pattern", "n_files", "n_shown", "n_sources",
         prompt.alias("prompt"),
     )

@@ -16,7 +16,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stratalens.operators.fixes import fix_suggestions, fix_totals
-from stratalens.operators.requests import MAX_FIX_FILES, MAX_SOURCE_LINES, fix_prompts, shown_section
+from stratalens.operators.requests import MAX_FIX_FILES, MAX_SOURCE_LINES, prompts_of, shown_section
+from stratalens.operators.violations import GROUP
 from stratalens.schema import CLEAN
 from stratalens.sources.projects import with_defaults
 from stratalens.sources.staging import staged
@@ -30,7 +31,7 @@ REQUEST = (
 
 class FixInput(NamedTuple):
     details: DataFrame   # a row per violation
-    shown: DataFrame     # per violation with files: names and source of the first, as text
+    shown: DataFrame     # the same with their architecture, and names and source of the first files as text
     requests: DataFrame  # request_id, project_id, architecture_pattern, total_fixes
 
 
@@ -54,24 +55,23 @@ def fix_input(requests: DataFrame) -> FixInput:
     named = F.flatten(F.transform("anti_patterns", lambda x: first_files(x["files"])))
     texts = F.filter(F.map_entries("file_sources"), lambda x: (F.length(x["value"]) > 0) & F.array_contains(named, x["key"]))
     numbered = requests.withColumn("request_id", F.monotonically_increasing_id())
-    stored = staged(numbered.withColumn("texts", texts).drop("file_sources"), "requests")
+    stored = staged(numbered.withColumn("texts", texts).drop("file_sources"), "requests", "zstd")
     asked = lambda kind: ~F.coalesce(kind, F.lit("")).isin(CLEAN, "")
     entries = stored.select(
-        "request_id", "project_id", F.posexplode("anti_patterns").alias("_at", "_entry")
-    ).select("request_id", "project_id", (F.col("_at") + 1).cast("bigint").alias("position"), "_entry.*").filter(asked(F.col("type")))
-    entries = with_defaults(entries.withColumn(
-        "files", F.coalesce("files", F.array().cast("array<string>"))), "fix").drop("architecture_pattern")
-    details = entries.select(
-        *VIOLATION, "project_id", "type", "affected_layer", "severity", "description",
-        F.size("files").cast("bigint").alias("n_files"),
-    )
-    shown = stored.select("request_id", "texts", F.posexplode("anti_patterns").alias("_at", "_entry")).select(
-        "request_id", (F.col("_at") + 1).cast("bigint").alias("position"), shown_files().alias("_shown")).filter(F.size("_shown") > 0)
+        "request_id", "project_id", "architecture_pattern", "texts", F.posexplode("anti_patterns").alias("_at", "_entry")
+    ).select("request_id", "project_id", "architecture_pattern", "texts",
+             (F.col("_at") + 1).cast("bigint").alias("position"), "_entry.*").filter(asked(F.col("type")))
+    entries = with_defaults(entries.withColumn("files", F.coalesce("files", F.array().cast("array<string>"))), "fix")
+    detail = [*VIOLATION, "project_id", "type", "affected_layer", "severity", "description",
+              F.size("files").cast("bigint").alias("n_files")]
+    details = entries.select(*detail)
+    # a prompt has all it needs in its request, so nothing is joined for it
     sections = F.transform("_shown", lambda x: x["section"])
-    shown = shown.select(
-        *VIOLATION, F.array_join(F.transform("_shown", lambda x: F.concat(F.lit("  - "), x["file_name"])), "\n").alias("_names"),
-        F.array_join(sections, "\n\n").alias("_sources"), F.size(F.array_compact(sections)).cast("bigint").alias("n_sources"),
-        F.size("_shown").cast("bigint").alias("n_shown"))
+    names = F.transform("_shown", lambda x: F.concat(F.lit("  - "), x["file_name"]))
+    some = F.size("_shown") > 0
+    shown = entries.select(*detail, "architecture_pattern", shown_files().alias("_shown")).withColumns({
+        "_names": F.when(some, F.array_join(names, "\n")), "_sources": F.when(some, F.array_join(sections, "\n\n")),
+        "n_sources": F.size(F.array_compact(sections)).cast("bigint"), "n_shown": F.size("_shown").cast("bigint")}).drop("_shown")
     fixes = F.size(F.filter("anti_patterns", lambda x: asked(x["type"])))
     given = stored.select(
         "request_id", "project_id", F.coalesce("architecture_pattern", F.lit("layered")).alias("architecture_pattern"),
@@ -92,12 +92,12 @@ def shown_files() -> Column:
         listed = F.when(F.size(given) > 0, sections).otherwise(F.array(F.lit(None).cast("string")))
         return F.transform(listed, lambda section: F.struct(name.alias("file_name"), section.alias("section")))
 
-    return F.flatten(F.transform(first_files(F.col("_entry.files")), with_text))
+    return F.flatten(F.transform(first_files(F.col("files")), with_text))
 
 
 def suggest_fixes(given: FixInput, replies: DataFrame | None = None) -> FixReport:
     """``replies`` hold the texts of external fixes by (request, position), or for all
     violations of a type in a project by (project, type)."""
     fixes = fix_suggestions(given.details, replies)
-    prompts = fix_prompts(given.details, given.shown, given.requests, owner=OWNER, violation=VIOLATION)
+    prompts = prompts_of(given.shown, [*VIOLATION, *GROUP])
     return FixReport(fixes, prompts, given.requests.drop("architecture_pattern"))

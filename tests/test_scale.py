@@ -137,6 +137,12 @@ def test_fix_requests_are_written_in_passes(spark, sf_dir, monkeypatch, name):
     assert whole.exceptAll(passed).count() == passed.exceptAll(whole).count() == 0 < whole.count()
 
 
+def test_prompts_are_made_in_the_row_of_their_request(spark):
+    given = [(1, "mvc", {"A.java": "class A"}, [("broad_catch", ["A.java"], "service", "LOW", "told")])]
+    made = fix_input(spark.createDataFrame(given, REQUEST))
+    assert "hashpartitioning" not in unaided_plan(spark, lambda: suggest_fixes(made).prompts)
+
+
 @pytest.mark.parametrize("name", ["assessment_requests", "verdicts_applied", "false_positives", "hybrid_scores", "clean_files"])
 def test_only_the_catalogue_is_broadcast(spark, sf_dir, name):
     """However small a table looks, one with rows per project, group or file never passes the driver."""
