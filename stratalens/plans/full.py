@@ -122,7 +122,10 @@ def analyze_full(
     assessments = None
     if replies.assessments is not None:
         assessments = read_assessments(replies.assessments, review.verdict_groups)
-    files = keep(blended_files(review, assessments), "files")
+    # what the report and its sums show of a file; the rest of the review need not move with it
+    files = keep(blended_files(review, assessments).select(
+        *FILE_COLS, "architecture_pattern", "type", "n_issues", "loc", "imports", "total_cross_layer_deps",
+        "scoring_method", "in_clean_list"), "files")
 
     sums = keep(layer_sums(files), "layer_sums")
     layers = layer_rollup(sums)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stratalens.operators import parts, requests, review
 from stratalens.operators import violations as v
+from stratalens.plans import full
 from stratalens.plans.fix_requests import REQUEST, fix_input, suggest_fixes
 from stratalens.queries import fixtures as fx, spark_queries
 from stratalens.queries.spark_queries import QUERIES
@@ -143,6 +144,28 @@ def test_prompts_are_made_in_the_row_of_their_request(spark):
     assert "hashpartitioning" not in unaided_plan(spark, lambda: suggest_fixes(made).prompts)
 
 
+def test_nested_reports_are_stored_packed_and_files_without_their_review(spark, sf_dir, monkeypatch):
+    paths, columns, named, keep = [], {}, spark_queries.staged_path, full.staged
+    monkeypatch.setattr(spark_queries, "staged_path", lambda spark, name: paths.append(named(spark, name)) or paths[-1])
+    monkeypatch.setattr(full, "staged", lambda df, name: columns.setdefault(name, df.columns) and keep(df, name))
+    rows = spark_queries.nested_report(spark, sf_dir).count()
+    written = {r.path for r in spark.read.format("binaryFile").load(paths[-1]).select("path").collect()}
+    assert rows and written and all(x.endswith(".json.gz") for x in written)
+    assert {"file_path", "issues", "in_clean_list"} < set(columns["files"])
+    assert not {"findings", "reasoning", "severity", "resolved_layer"} & set(columns["files"])
+
+
+def test_nested_reports_are_written_in_passes(spark, sf_dir, monkeypatch):
+    whole = spark_queries.nested_report(spark, sf_dir)
+    made, nest = [], spark_queries.nested_reports
+    monkeypatch.setattr(spark_queries, "nested_reports", lambda *a: made.append(nest(*a)) or made[-1])
+    monkeypatch.setattr(parts, "PASS_FILES", 150)
+    passed = spark_queries.nested_report(spark, sf_dir)
+    assert len(made) > 1 and whole.exceptAll(passed).count() == passed.exceptAll(whole).count() == 0 < whole.count()
+    sizes = [m.count() for m in made]
+    assert min(sizes) > 0 and sum(sizes) == whole.count()
+
+
 @pytest.mark.parametrize("name", ["assessment_requests", "verdicts_applied", "false_positives", "hybrid_scores", "clean_files"])
 def test_only_the_catalogue_is_broadcast(spark, sf_dir, name):
     """However small a table looks, one with rows per project, group or file never passes the driver."""
