@@ -9,19 +9,21 @@ this engine's own.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratalens.functions.numeric import SCORE_BITS, exact_mean, exact_sum, whole_text
 from stratalens.functions.text import or_else, truncate_lines
 from stratalens.operators.hybrid import PENALTIES
-from stratalens.operators.parts import PLACE, grown, spread, with_part
+from stratalens.operators.parts import PLACE, grown, passes, spread, with_part
 from stratalens.operators.review import rejected_counts
 from stratalens.operators.violations import (
     GROUP, PART_GROUP, first_architecture, mean_confidence, per_architecture, project_architectures,
 )
 from stratalens.schema import CLEAN, KEY
 from stratalens.sources.catalog import with_catalog
+from stratalens.sources.staging import staged
 
 #: Source texts: a table of them, or what adds ``source_name`` and ``source_code`` to rows that
 #: name a file by KEY, given the rows and the kind of join.
@@ -118,10 +120,14 @@ def sliced(texts: DataFrame, keys: list[str], max_bytes: int) -> DataFrame:
 def validation_requests(
     scored: DataFrame, verdict_groups: DataFrame, sources: Sources,
     max_lines: int = MAX_SOURCE_LINES, max_bytes: int = MAX_REQUEST_BYTES,
+    n_files: int = 0, kept: Callable[[DataFrame], DataFrame] = lambda made: made,
 ) -> DataFrame:
     """Requests per reviewed (project, type, part): what was predicted and
     the source of every affected file of the part, in slices of at most
-    ``max_bytes`` of source; most parts have one."""
+    ``max_bytes`` of source; most parts have one.
+
+    Where the texts of ``n_files`` affected files are too many to move at once, the requests
+    are made in passes by part, and what ``kept`` gives of each pass is stored."""
     architectures = spread(project_architectures(scored), "last_seq").drop("last_seq")
     # the head shows the whole group, whatever part the request covers
     whole = verdict_groups.groupBy(*GROUP).agg(
@@ -135,6 +141,18 @@ def validation_requests(
         "catalog_description", "layers", "confidence",
     )
     members = with_part(scored.filter(F.col("type") != CLEAN)).select(*KEY, "type", "part")
+    several = passes(n_files, *PLACE)
+    if len(several) == 1:
+        return kept(_prompted(asked, members, sources, max_lines, max_bytes))
+    asked = staged(asked, "asked")
+    return reduce(DataFrame.unionByName, [
+        staged(kept(_prompted(asked.filter(mine), members.filter(mine), sources, max_lines, max_bytes)), "requests")
+        for mine in several])
+
+
+def _prompted(
+    asked: DataFrame, members: DataFrame, sources: Sources, max_lines: int, max_bytes: int,
+) -> DataFrame:
     texts = sliced(with_sections(members, sources, max_lines), PART_GROUP, max_bytes)
     blocks = texts.groupBy(*PART_GROUP, "slice").agg(
         joined_sections(F.col("section"), "file_seq").alias("_sources"),
@@ -322,6 +340,12 @@ def fix_prompts(
     ).join(grown(shown), violation, "left").withColumns({
         "n_shown": F.coalesce("n_shown", zero), "n_sources": F.coalesce("n_sources", zero),
     })
+    return prompts_of(rows, [*owner, *violation, *GROUP])
+
+
+def prompts_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The prompt of each violation, made in its row: a detail with its architecture and
+    ``_names``, ``_sources``, ``n_sources`` and ``n_shown``."""
     more = F.col("n_files") - F.col("n_shown")
     before, after = F.col("catalog_before_code"), F.col("catalog_after_code")
     example = F.when(
@@ -340,12 +364,6 @@ def fix_prompts(
         _labelled("Problem", or_else(F.col("description"), F.col("catalog_description"))),
         F.when(F.col("n_sources") > 0, F.concat(F.lit("\nSource:\n"), F.col("_sources"))),
         example,
-    return prompts_of(rows, [*owner, *violation, *GROUP])
-
-
-def prompts_of(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The prompt of each violation, made in its row: a detail with its architecture and
-    ``_names``, ``_sources``, ``n_sources`` and ``n_shown``."""
         "Give a recommendation, a short example before and after, and tips.",
     )
     return with_catalog(rows).select(

@@ -166,6 +166,15 @@ def test_nested_reports_are_written_in_passes(spark, sf_dir, monkeypatch):
     assert min(sizes) > 0 and sum(sizes) == whole.count()
 
 
+def test_validation_requests_are_made_in_passes(spark, sf_dir, monkeypatch):
+    whole, kept, keep = spark_queries.validation_requests(spark, sf_dir), [], requests.staged
+    monkeypatch.setattr(requests, "staged", lambda df, name: kept.append(name) or keep(df, name))
+    monkeypatch.setattr(parts, "PASS_FILES", 150)
+    passed = spark_queries.validation_requests(spark, sf_dir)
+    assert kept[0] == "asked" and kept.count("requests") > 1
+    assert whole.exceptAll(passed).count() == passed.exceptAll(whole).count() == 0 < whole.count()
+
+
 @pytest.mark.parametrize("name", ["assessment_requests", "verdicts_applied", "false_positives", "hybrid_scores", "clean_files"])
 def test_only_the_catalogue_is_broadcast(spark, sf_dir, name):
     """However small a table looks, one with rows per project, group or file never passes the driver."""
